@@ -16,8 +16,9 @@ from promospark.operators import aggregates as A
 from promospark.operators import query as Q
 from promospark.operators.dedup import first_seen, key_duplicates
 from promospark.operators.extract import normalize_tiles
-from promospark.operators.upsert import plan_upsert, upsert_counts
+from promospark.operators.upsert import initial_state, plan_upsert, upsert_counts
 from promospark.plans import ingest as I
+from promospark.session import tune
 from promospark.plans import oracle as O
 from promospark.sources.feeds import load_promo_tiles
 
@@ -26,7 +27,12 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
 
 def register(name: str, sql: str | None):
     def deco(fn):
-        REGISTRY[name] = (fn, sql)
+        def run(spark, sf_dir):
+            tune(spark)
+            return fn(spark, sf_dir)
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        REGISTRY[name] = (run, sql)
         return fn
     return deco
 
@@ -115,3 +121,117 @@ def q_key_duplicates(spark, sf_dir):
 def q_first_seen(spark, sf_dir):
     """First row per key in hub then tile order."""
     return first_seen(promotions(spark, sf_dir)).select("bank", "source_id", "seq", "title", "checksum")
+
+
+# ------------------------------------------------------------------ state maintenance
+_STATE_OUT = ["id", "bank", "source_id", "checksum", "title", "image_url", "is_active",
+              "created_at", "updated_at"]
+
+
+@register("upsert_next_state", O.with_state(f"SELECT {', '.join(_STATE_OUT)} FROM state2"))
+def q_upsert_next_state(spark, sf_dir):
+    """The table after run 2 (inserts, updates, soft deletes)."""
+    return state(spark, sf_dir).select(*_STATE_OUT)
+
+
+@register("upsert_run_counts", O.with_state(
+    "SELECT k AS bank, "
+    "count(*) FILTER (WHERE s_id IS NULL AND n_id IS NOT NULL) AS promotions_new, "
+    "count(*) FILTER (WHERE s_id IS NOT NULL AND n_id IS NOT NULL AND wrote) AS promotions_updated, "
+    "count(*) FILTER (WHERE n_id IS NOT NULL) AS promotions_found, "
+    "count(*) FILTER (WHERE gone) AS promotions_deactivated "
+    "FROM (SELECT *, k_bank AS k FROM j2) GROUP BY k"))
+def q_upsert_run_counts(spark, sf_dir):
+    """Per source new / updated / found / deactivated of run 2."""
+    _, run2 = I.feed_states(spark, sf_dir)
+    counts = upsert_counts(run2.plan)
+    gone = run2.state.groupBy("bank").agg(F.count_if("deactivated").alias("promotions_deactivated"))
+    return counts.join(gone, "bank", "full_outer").select(
+        "bank", F.coalesce("promotions_new", F.lit(0)).cast("long").alias("promotions_new"),
+        F.coalesce("promotions_updated", F.lit(0)).cast("long").alias("promotions_updated"),
+        F.coalesce("promotions_found", F.lit(0)).cast("long").alias("promotions_found"),
+        F.coalesce("promotions_deactivated", F.lit(0)).cast("long").alias("promotions_deactivated"))
+
+
+_U4_SQL = O.with_state(
+    "SELECT bank, source_id, bool_or(stored_c IS NULL) AS is_new, "
+    "count(*) FILTER (WHERE coalesce(prev, stored_c) IS NOT NULL AND coalesce(prev, stored_c) <> checksum) "
+    "AS n_updates, count(*) AS n_rows, "
+    "arg_max(checksum, rk) FILTER (WHERE wrote) AS winner_checksum "
+    "FROM (SELECT *, (rk = 1 AND stored_c IS NULL) OR (coalesce(prev, stored_c) IS NOT NULL "
+    "AND coalesce(prev, stored_c) <> checksum) AS wrote FROM u4rows) GROUP BY bank, source_id",
+    extra_ctes=(
+        "u4rows AS (SELECT r.*, s.checksum AS stored_c FROM ("
+        f"SELECT bank, source_id, checksum, row_number() OVER w AS rk, lag(checksum) OVER w AS prev "
+        f"FROM snaps WHERE snap = 2 WINDOW w AS (PARTITION BY bank, source_id ORDER BY {O.ORDER_COLS})) r "
+        "LEFT JOIN state1 s ON r.bank = s.bank AND r.source_id = s.source_id)"))
+
+
+@register("upsert_batch_repeats", _U4_SQL)
+def q_upsert_batch_repeats(spark, sf_dir):
+    """U4: run 2's raw snapshot (repeated keys kept) planned against state 1 with
+    sequential in-batch semantics; per key new flag, update count, rows, winner."""
+    snaps = I.feed_snapshots(spark, sf_dir)
+    state1, _ = I.feed_states(spark, sf_dir)
+    raw2 = snaps.filter(F.col("snap") == 2).drop("snap")
+    plan = plan_upsert(state1, raw2, bucket_width=64)
+    return plan.select("bank", "source_id", "is_new", "n_updates", "n_rows",
+                       F.col("w.checksum").alias("winner_checksum"))
+
+
+@register("deactivated_keys", O.with_state("SELECT bank, source_id FROM state2 WHERE deactivated"))
+def q_deactivated_keys(spark, sf_dir):
+    """Keys soft-deleted by run 2."""
+    _, run2 = I.feed_states(spark, sf_dir)
+    return run2.state.filter("deactivated").select("bank", "source_id")
+
+
+_AUDIT_SQL = O.with_state(
+    "SELECT sha256(concat_ws('/', '{now}', bank)) AS id, bank, 'success' AS status, "
+    "CAST(count(*) AS INTEGER) AS promotions_found, "
+    "CAST({new} AS INTEGER) AS promotions_new, CAST({upd} AS INTEGER) AS promotions_updated "
+    "FROM (SELECT d2.*, s.checksum AS stored_c FROM d2 LEFT JOIN state1 s "
+    "ON d2.bank = s.bank AND d2.source_id = s.source_id) GROUP BY bank")
+
+
+def _audit_sql(new: str, upd: str) -> str:
+    return _AUDIT_SQL.replace("{now}", I.NOW_2).replace("{new}", new).replace("{upd}", upd)
+
+
+@register("run_audit", _audit_sql("count(*) FILTER (WHERE stored_c IS NULL)",
+                                  "count(*) FILTER (WHERE stored_c IS NOT NULL AND stored_c <> checksum)"))
+def q_run_audit(spark, sf_dir):
+    """One audit row per source for run 2."""
+    _, run2 = I.feed_states(spark, sf_dir)
+    return run2.audit.select("id", "bank", "status", "promotions_found", "promotions_new",
+                             "promotions_updated")
+
+
+@register("dry_run_audit", _audit_sql("0", "0"))
+def q_dry_run_audit(spark, sf_dir):
+    """A dry run counts what it found and reports no new or updated rows."""
+    deduped = first_seen(I.feed_snapshots(spark, sf_dir), key=("snap", "bank", "source_id"))
+    state1 = initial_state(deduped.filter("snap = 1").drop("snap"), I.NOW_1)
+    d2 = deduped.filter("snap = 2").drop("snap")
+    res = I.run_ingest(state1, d2, I.NOW_2, dry_run=True, deduplicated=True)
+    return res.audit.select("id", "bank", "status", "promotions_found", "promotions_new",
+                            "promotions_updated")
+
+
+@register("failed_source_isolation", O.with_state(
+    "SELECT k_bank AS bank, count(*) FILTER (WHERE gone AND k_bank <> 'uob') AS promotions_deactivated, "
+    "count(*) FILTER (WHERE n_id IS NOT NULL AND k_bank <> 'uob' AND wrote) AS promotions_written "
+    "FROM j2 GROUP BY k_bank"))
+def q_failed_source_isolation(spark, sf_dir):
+    """Run 2 with one source failing: it writes and deactivates nothing,
+    the other sources proceed."""
+    deduped = first_seen(I.feed_snapshots(spark, sf_dir), key=("snap", "bank", "source_id"))
+    state1 = initial_state(deduped.filter("snap = 1").drop("snap"), I.NOW_1)
+    d2 = deduped.filter("snap = 2").drop("snap")
+    failed = spark.range(1).select(F.lit("uob").alias("bank"), F.lit("fetch failed").alias("error_message"))
+    res = I.run_ingest(state1, d2, I.NOW_2, failed=failed, deduplicated=True)
+    written = res.plan.groupBy("bank").agg(F.count_if(F.col("w").isNotNull()).alias("promotions_written"))
+    gone = res.state.groupBy("bank").agg(F.count_if("deactivated").alias("promotions_deactivated"))
+    return gone.join(written, "bank", "left").select(
+        "bank", F.col("promotions_deactivated").cast("long").alias("promotions_deactivated"),
+        F.coalesce("promotions_written", F.lit(0)).cast("long").alias("promotions_written"))

@@ -24,6 +24,10 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Plans carry large CASE expressions (one branch per source); keep the
+    # plan descriptions Spark renders for listeners short.
+    "spark.sql.ui.explainMode": "simple",
+    "spark.sql.maxPlanStringLength": "20000",
     "spark.ui.showConsoleProgress": "false",
 }
 
@@ -73,3 +77,19 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
+
+
+RUNTIME_CONF = {
+    "spark.sql.ui.explainMode": "simple",
+    "spark.sql.maxPlanStringLength": "20000",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the runtime SQL settings this library relies on to a given session."""
+    for k, v in RUNTIME_CONF.items():
+        try:
+            spark.conf.set(k, v)
+        except Exception:  # noqa: BLE001 - a locked-down session keeps its own values
+            pass
+    return spark
