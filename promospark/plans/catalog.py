@@ -235,3 +235,197 @@ def q_failed_source_isolation(spark, sf_dir):
     return gone.join(written, "bank", "left").select(
         "bank", F.col("promotions_deactivated").cast("long").alias("promotions_deactivated"),
         F.coalesce("promotions_written", F.lit(0)).cast("long").alias("promotions_written"))
+
+
+# ------------------------------------------------------------------ filters, sort, paging
+_KEY_OUT = ["id", "bank", "source_id"]
+
+
+def _filter_query(name: str, f: Q.PromotionFilter, where: str, doc: str):
+    @register(name, O.with_state(f"SELECT id, bank, source_id FROM state2 WHERE {where}"))
+    def q(spark, sf_dir):
+        return Q.filter_promotions(state(spark, sf_dir), f).select(*_KEY_OUT)
+    q.__doc__ = doc
+    return q
+
+
+_filter_query("filter_bank", Q.PromotionFilter(bank="krungsri"), "bank = 'krungsri'", "F1")
+_filter_query("filter_category", Q.PromotionFilter(category="dining"), "category = 'dining'", "F2")
+_filter_query("filter_merchant_contains", Q.PromotionFilter(merchant_name="widget"),
+              "merchant_name ILIKE '%widget%'", "F3")
+_filter_query("filter_discount_type", Q.PromotionFilter(discount_type="cashback"),
+              "discount_type = 'cashback'", "F4")
+_filter_query("filter_card_type", Q.PromotionFilter(card_type="brand#1"),
+              "len(list_filter(card_types, lambda x: x ILIKE '%brand#1%')) > 0", "F5 element-wise")
+_filter_query("filter_card_type_json_text", Q.PromotionFilter(card_type="brand#1", card_type_json_text=True),
+              "CAST(to_json(card_types) AS VARCHAR) ILIKE '%brand#1%'", "F5 JSON-text compat")
+_filter_query("filter_search", Q.PromotionFilter(search="bolt"),
+              "(title ILIKE '%bolt%' OR description ILIKE '%bolt%')", "F6")
+_filter_query("filter_inactive", Q.PromotionFilter(is_active=False), "is_active = false", "F7")
+_filter_query("filter_start_date_range",
+              Q.PromotionFilter(start_date_from="1996-01-01", start_date_to="1997-12-31"),
+              "start_date >= DATE '1996-01-01' AND start_date <= DATE '1997-12-31'", "F8")
+_filter_query("filter_end_date_range",
+              Q.PromotionFilter(end_date_from="1998-01-01", end_date_to="1999-06-30"),
+              "end_date >= DATE '1998-01-01' AND end_date <= DATE '1999-06-30'", "F9")
+_filter_query("filter_min_spend_range", Q.PromotionFilter(min_spend_min=1000, min_spend_max=3000),
+              "minimum_spend >= 1000 AND minimum_spend <= 3000", "F10")
+_filter_query("filter_combined",
+              Q.PromotionFilter(bank="kasikorn", is_active=True, discount_type="percentage",
+                                min_spend_min=0, search="%"),
+              "bank = 'kasikorn' AND is_active AND discount_type = 'percentage' AND minimum_spend >= 0 "
+              "AND (title ILIKE '%%%' OR description ILIKE '%%%')", "F1+F4+F6+F7+F10 ANDed")
+
+_SORTS = {
+    "title_asc": ("title", "asc", "title ASC NULLS FIRST, id ASC"),
+    "end_date_desc": ("end_date", "desc", "end_date DESC NULLS LAST, id ASC"),
+    "created_at_asc": ("created_at", "asc", "created_at ASC NULLS FIRST, id ASC"),
+    "unknown_field_desc": ("foo", "desc", "scraped_at DESC NULLS LAST, id ASC"),
+}
+
+
+def _page_query(name, sort_key, page, size, f: Q.PromotionFilter, where: str):
+    col, order, sql_order = _SORTS[sort_key]
+
+    @register(name, O.with_state(
+        f"SELECT id, bank, source_id, title, end_date FROM state2 WHERE {where} "
+        f"ORDER BY {sql_order} LIMIT {size} OFFSET {(page - 1) * size}"))
+    def q(spark, sf_dir):
+        rows, _ = Q.query_promotions(state(spark, sf_dir), f, col, order, page, size)
+        return rows.select("id", "bank", "source_id", "title", "end_date")
+    q.__doc__ = "O1/O2: sorted page"
+    return q
+
+
+_page_query("page_title_asc_p2", "title_asc", 2, 20, Q.PromotionFilter(), "true")
+_page_query("page_end_date_desc_p1", "end_date_desc", 1, 50, Q.PromotionFilter(bank="amex"),
+            "bank = 'amex'")
+_page_query("page_created_asc_p3", "created_at_asc", 3, 10, Q.PromotionFilter(is_active=True), "is_active")
+_page_query("page_default_sort_p1", "unknown_field_desc", 1, 100, Q.PromotionFilter(discount_type="points"),
+            "discount_type = 'points'")
+
+
+@register("page_total", O.with_state(
+    "SELECT count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages FROM state2 "
+    "WHERE bank = 'amex' AND is_active"))
+def q_page_total(spark, sf_dir):
+    """O3/A4: total before paging and page count."""
+    _, total = Q.query_promotions(state(spark, sf_dir), Q.PromotionFilter(bank="amex", is_active=True))
+    return total
+
+
+@register("by_id", O.with_state("SELECT id, bank, source_id, title FROM state2 "
+                                "WHERE id = (SELECT min(id) FROM state2)"))
+def q_by_id(spark, sf_dir):
+    """one row by id (the smallest id of the table as the parameter)."""
+    t = state(spark, sf_dir)
+    return Q.by_id(t, t.agg(F.min("id").alias("id"))).select("id", "bank", "source_id", "title")
+
+
+@register("list_by_bank", O.with_state(
+    "SELECT id, bank, source_id, scraped_at FROM state2 WHERE bank = 'amex' AND is_active"))
+def q_list_by_bank(spark, sf_dir):
+    """active rows of one bank, newest first."""
+    return Q.list_by_bank(state(spark, sf_dir), "amex").select("id", "bank", "source_id", "scraped_at")
+
+
+@register("latest_display", O.with_state(
+    "SELECT id, bank, substring(title, 1, 40) AS title_40, coalesce(category, '-') AS category_text, "
+    "CASE WHEN discount_type IS NOT NULL THEN discount_type || ': ' || coalesce(discount_value, 'None') "
+    "ELSE '-' END AS discount_text, coalesce(strftime(end_date, '%Y-%m-%d'), '-') AS end_date_text "
+    "FROM state2 WHERE is_active ORDER BY scraped_at DESC NULLS LAST, id ASC LIMIT 20"))
+def q_latest_display(spark, sf_dir):
+    """Latest 20 active promotions as display columns."""
+    return Q.display_rows(state(spark, sf_dir), 20)
+
+
+@register("expiry_status", O.with_state(
+    "SELECT id, bank, source_id, end_date, CASE WHEN end_date IS NULL THEN 'none' "
+    "WHEN end_date < DATE '1998-06-01' THEN 'expired' "
+    "WHEN datediff('day', DATE '1998-06-01', end_date) <= 7 THEN 'expiring' ELSE 'active' END "
+    "AS expiry_status FROM state2"))
+def q_expiry_status(spark, sf_dir):
+    """Expiry status of every promotion against a given day."""
+    return Q.expiry_status(state(spark, sf_dir), "1998-06-01")
+
+
+# ------------------------------------------------------------------ aggregates
+@register("bank_stats", O.with_state(
+    "SELECT bank, count(*) AS total, count(*) FILTER (WHERE is_active) AS active FROM state2 GROUP BY bank"))
+def q_bank_stats(spark, sf_dir):
+    """A1: per bank total and active."""
+    return A.bank_stats(state(spark, sf_dir))
+
+
+@register("facets", O.with_state(
+    "SELECT DISTINCT facet, value FROM ("
+    "SELECT 'bank' AS facet, bank AS value FROM state2 UNION ALL "
+    "SELECT 'category', category FROM state2 UNION ALL "
+    "SELECT 'discount_type', discount_type FROM state2 UNION ALL "
+    "SELECT 'merchant_name', merchant_name FROM state2 UNION ALL "
+    "SELECT 'card_types', unnest(card_types) FROM state2) "
+    "WHERE value IS NOT NULL AND (facet <> 'card_types' OR value <> '')"))
+def q_facets(spark, sf_dir):
+    """A2/A3: distinct facet values in one scan (inactive rows included)."""
+    return A.facets(state(spark, sf_dir))
+
+
+@register("card_type_facet", O.with_state(
+    "SELECT DISTINCT card_type FROM (SELECT unnest(card_types) AS card_type FROM state2) "
+    "WHERE card_type IS NOT NULL AND card_type <> ''"))
+def q_card_type_facet(spark, sf_dir):
+    """A3: distinct non-empty card types."""
+    return A.card_type_facet(state(spark, sf_dir))
+
+
+def _pct_sql(n, d):
+    t = f"(1000 * CAST({n} AS BIGINT))"
+    q = f"({t} // {d})"
+    r = f"({t} - {q} * {d})"
+    q2 = f"({q} + CASE WHEN 2 * {r} > {d} OR (2 * {r} = {d} AND {q} % 2 = 1) THEN 1 ELSE 0 END)"
+    return (f"CASE WHEN {d} = 0 THEN '—' ELSE CAST({q2} // 10 AS VARCHAR) || '.' || "
+            f"CAST({q2} % 10 AS VARCHAR) || '%' END")
+
+
+_COVERAGE_CTE = (
+    "cov AS (SELECT coalesce(nullif(bank, ''), 'unknown') AS bank, count(*) AS total, "
+    "count(*) FILTER (WHERE merchant_name IS NULL OR merchant_name = '') AS merchant_null, "
+    "count(*) FILTER (WHERE card_types IS NULL OR len(card_types) = 0) AS card_types_empty "
+    "FROM state2 GROUP BY 1)")
+
+
+@register("coverage", O.with_state("SELECT * FROM cov", _COVERAGE_CTE))
+def q_coverage(spark, sf_dir):
+    """A5: per bank rows, merchant missing, card types empty."""
+    return A.coverage(state(spark, sf_dir))
+
+
+@register("coverage_report", O.with_state(
+    "SELECT bank, CAST(total AS BIGINT) AS total, CAST(merchant_null AS BIGINT) AS merchant_null, "
+    "CAST(card_types_empty AS BIGINT) AS card_types_empty, "
+    f"{_pct_sql('merchant_null', 'total')} AS merchant_null_pct, "
+    f"{_pct_sql('card_types_empty', 'total')} AS card_types_empty_pct FROM ("
+    "SELECT * FROM cov UNION ALL SELECT 'ALL', sum(total), sum(merchant_null), sum(card_types_empty) FROM cov)",
+    _COVERAGE_CTE))
+def q_coverage_report(spark, sf_dir):
+    """Per-bank coverage with percent texts and a grand-total row."""
+    return A.coverage_report(state(spark, sf_dir))
+
+
+@register("missing_merchant_samples", O.with_state(
+    "SELECT bank, title, sample_rank FROM (SELECT coalesce(nullif(bank, ''), 'unknown') AS bank, "
+    "trim(coalesce(title, '')) AS title, row_number() OVER (PARTITION BY coalesce(nullif(bank, ''), 'unknown') "
+    "ORDER BY scraped_at DESC NULLS LAST, id ASC) AS sample_rank FROM state2 "
+    "WHERE (merchant_name IS NULL OR merchant_name = '') AND trim(coalesce(title, '')) <> '') "
+    "WHERE sample_rank <= 10"))
+def q_missing_merchant_samples(spark, sf_dir):
+    """First 10 titles per bank among rows without a merchant (API order)."""
+    return A.missing_merchant_samples(state(spark, sf_dir),
+                                      [F.col("scraped_at").desc_nulls_last(), F.col("id")], 10)
+
+
+@register("low_coverage_banks", O.with_state(
+    "SELECT * FROM cov WHERE total > 0 AND merchant_null / total > 0.2", _COVERAGE_CTE))
+def q_low_coverage_banks(spark, sf_dir):
+    """Banks with more than 20% of rows missing a merchant."""
+    return A.low_coverage_banks(state(spark, sf_dir), 0.2)
