@@ -10,6 +10,7 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from promospark.operators import aggregates as A
@@ -429,3 +430,130 @@ def q_missing_merchant_samples(spark, sf_dir):
 def q_low_coverage_banks(spark, sf_dir):
     """Banks with more than 20% of rows missing a merchant."""
     return A.low_coverage_banks(state(spark, sf_dir), 0.2)
+
+
+# ------------------------------------------------------------------ runs
+from promospark.operators import runs as R  # noqa: E402
+from promospark.sources.feeds import load_run_events  # noqa: E402
+from promospark.sources.specs import SOURCE_NAMES  # noqa: E402
+
+RUNS_NOW = "2024-01-30 12:00:00"
+_RUN_OUT = ["id", "bank", "started_at", "finished_at", "status", "promotions_found",
+            "promotions_new", "promotions_updated", "error_message"]
+
+
+def runs(spark, sf_dir):
+    return R.fold_runs(load_run_events(spark, sf_dir))
+
+
+@register("run_state_fold", O.with_runs(f"SELECT {', '.join(_RUN_OUT)} FROM runs"))
+def q_run_state_fold(spark, sf_dir):
+    """Run rows folded from the append-only start/finish audit log."""
+    return runs(spark, sf_dir).select(*_RUN_OUT)
+
+
+@register("runs_page", O.with_runs(
+    "SELECT id, bank, status, started_at FROM runs WHERE bank = 'ktc' AND status = 'success' "
+    "AND started_at >= TIMESTAMP '2024-01-05 00:00:00' AND started_at <= TIMESTAMP '2024-01-20 00:00:00' "
+    "ORDER BY started_at DESC NULLS LAST, id ASC LIMIT 20 OFFSET 20"))
+def q_runs_page(spark, sf_dir):
+    """Filtered runs, newest first, page 2 of 20."""
+    f = R.filter_runs(runs(spark, sf_dir), "ktc", "success", "2024-01-05 00:00:00", "2024-01-20 00:00:00")
+    return Q.page_of(f, R.newest_first(), 2, 20).select("id", "bank", "status", "started_at")
+
+
+@register("runs_total", O.with_runs(
+    "SELECT count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages FROM runs "
+    "WHERE bank = 'ktc' AND status = 'success' AND started_at >= TIMESTAMP '2024-01-05 00:00:00' "
+    "AND started_at <= TIMESTAMP '2024-01-20 00:00:00'"))
+def q_runs_total(spark, sf_dir):
+    """Total of the filtered runs and page count."""
+    f = R.filter_runs(runs(spark, sf_dir), "ktc", "success", "2024-01-05 00:00:00", "2024-01-20 00:00:00")
+    return Q.total_and_pages(f, 20)
+
+
+@register("running_banks", O.with_runs(
+    "SELECT DISTINCT bank FROM runs WHERE status = 'running' "
+    f"AND started_at > TIMESTAMP '{RUNS_NOW}' - INTERVAL 30 MINUTE"))
+def q_running_banks(spark, sf_dir):
+    """R2: banks with a non-stale running run at ``now``."""
+    return R.running_banks(runs(spark, sf_dir), RUNS_NOW)
+
+
+@register("stale_runs", O.with_runs(
+    "SELECT id, bank, started_at FROM runs WHERE status = 'running' "
+    f"AND started_at <= TIMESTAMP '{RUNS_NOW}' - INTERVAL 30 MINUTE"))
+def q_stale_runs(spark, sf_dir):
+    """Runs still marked running past the stale threshold."""
+    return R.stale_runs(runs(spark, sf_dir), RUNS_NOW).select("id", "bank", "started_at")
+
+
+_REQUESTED = SOURCE_NAMES + ["scb"]
+
+
+@register("trigger_check", O.with_runs(
+    "SELECT r.bank, CASE WHEN r.bank NOT IN (" + ", ".join(O.lit(s) for s in SOURCE_NAMES) + ") "
+    "THEN 'unknown' WHEN r.bank IN (SELECT bank FROM runs WHERE status = 'running' "
+    f"AND started_at > TIMESTAMP '2024-01-10 12:00:00' - INTERVAL 30 MINUTE) THEN 'conflict' "
+    "ELSE 'ok' END AS verdict FROM (SELECT unnest(" + O.lst(_REQUESTED) + ") AS bank) r"))
+def q_trigger_check(spark, sf_dir):
+    """Verdict per requested bank against known sources and running runs."""
+    requested = spark.createDataFrame([(b,) for b in _REQUESTED], "bank STRING")
+    known = spark.createDataFrame([(b,) for b in SOURCE_NAMES], "bank STRING")
+    running = R.running_banks(runs(spark, sf_dir), "2024-01-10 12:00:00")
+    return R.trigger_check(requested, known, running)
+
+
+@register("run_durations", O.with_runs(
+    f"SELECT id, {O.duration_sql('started_at', 'finished_at')} AS duration FROM runs"))
+def q_run_durations(spark, sf_dir):
+    """Duration text of every run."""
+    r = runs(spark, sf_dir)
+    return r.select("id", R.duration_text(F.col("started_at"), F.col("finished_at")).alias("duration"))
+
+
+@register("latest_runs", O.with_runs(
+    "SELECT id, bank, status, started_at FROM runs ORDER BY started_at DESC NULLS LAST, id ASC LIMIT 20"))
+def q_latest_runs(spark, sf_dir):
+    """Latest 20 runs of all banks."""
+    return R.latest_runs(runs(spark, sf_dir), 20).select("id", "bank", "status", "started_at")
+
+
+@register("latest_runs_bank", O.with_runs(
+    "SELECT id, bank, status, started_at FROM runs WHERE bank = 'amex' "
+    "ORDER BY started_at DESC NULLS LAST, id ASC LIMIT 5"))
+def q_latest_runs_bank(spark, sf_dir):
+    """Latest 5 runs of one bank."""
+    return R.latest_runs(runs(spark, sf_dir), 5, "amex").select("id", "bank", "status", "started_at")
+
+
+@register("runs_display", O.with_runs(
+    "SELECT id, bank, status, promotions_found, promotions_new, promotions_updated, "
+    "strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started_text, "
+    "substring(coalesce(error_message, '-'), 1, 40) AS error_text, "
+    f"{O.duration_sql('started_at', 'finished_at')} AS duration FROM runs "
+    "ORDER BY started_at DESC NULLS LAST, id ASC LIMIT 10"))
+def q_runs_display(spark, sf_dir):
+    """Latest 10 runs as display columns."""
+    return R.runs_display(runs(spark, sf_dir), 10)
+
+
+@register("repeated_failures", O.with_runs(
+    "SELECT bank, count(*) AS consecutive_failures, arg_min(error_message, rn) AS last_error FROM ("
+    "SELECT *, row_number() OVER (PARTITION BY bank ORDER BY started_at DESC NULLS LAST, id ASC) AS rn "
+    "FROM runs) WHERE rn <= 3 GROUP BY bank HAVING count(*) >= 3 AND bool_and(status = 'failed')"))
+def q_repeated_failures(spark, sf_dir):
+    """Banks whose latest three runs all failed."""
+    return R.repeated_failures(runs(spark, sf_dir), 3)
+
+
+@register("failure_streaks", O.with_runs(
+    "SELECT bank, count(*) AS failures_in_last_3 FROM ("
+    "SELECT *, row_number() OVER (PARTITION BY bank ORDER BY started_at DESC NULLS LAST, id ASC) AS rn "
+    "FROM runs) WHERE rn <= 3 AND status = 'failed' GROUP BY bank"))
+def q_failure_streaks(spark, sf_dir):
+    """U10 input: failed runs among each bank's latest three."""
+    w = Window.partitionBy("bank").orderBy(*R.newest_first())
+    r = runs(spark, sf_dir).withColumn("_rn", F.row_number().over(w))
+    return r.filter((F.col("_rn") <= 3) & (F.col("status") == "failed")).groupBy("bank") \
+        .agg(F.count(F.lit(1)).alias("failures_in_last_3"))

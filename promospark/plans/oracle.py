@@ -453,3 +453,42 @@ state2 AS (
 def with_state(select: str, extra_ctes: str = "") -> str:
     more = (",\n" + extra_ctes) if extra_ctes else ""
     return "WITH " + state_ctes() + more + "\n" + select
+
+
+# ---------------------------------------------------------------- runs
+def runs_ctes() -> str:
+    return f"""ev AS (
+  SELECT 'run-' || CAST(event_id AS VARCHAR) AS id,
+    {lst(SOURCE_NAMES)}[CAST(user_id % {len(SOURCE_NAMES)} AS INTEGER) + 1] AS bank, ts AS started_at,
+    CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'signup' THEN 'running'
+         ELSE 'success' END AS final_status,
+    CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, value
+  FROM events
+),
+runlog AS (
+  SELECT id, bank, started_at, started_at AS event_time, CAST(NULL AS TIMESTAMP) AS finished_at,
+    'running' AS status, 0 AS promotions_found, 0 AS promotions_new, 0 AS promotions_updated,
+    CAST(NULL AS VARCHAR) AS error_message FROM ev
+  UNION ALL
+  SELECT id, bank, started_at, ft, ft, final_status,
+    CASE WHEN ok THEN k ELSE 0 END, CASE WHEN ok THEN k % 5 ELSE 0 END, CASE WHEN ok THEN k % 3 ELSE 0 END,
+    CASE WHEN NOT ok THEN 'fetch failed after ' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || 's' END
+  FROM (SELECT *, started_at + to_microseconds(CAST(round(value * 1000000) AS BIGINT)) AS ft,
+               final_status = 'success' AS ok FROM ev WHERE final_status <> 'running')
+),
+runs AS (
+  SELECT * EXCLUDE (rn, event_time) FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY event_time DESC) AS rn FROM runlog) WHERE rn = 1
+)"""
+
+
+def with_runs(select: str, extra_ctes: str = "") -> str:
+    more = (",\n" + extra_ctes) if extra_ctes else ""
+    return "WITH " + runs_ctes() + more + "\n" + select
+
+
+def duration_sql(s: str, f: str) -> str:
+    secs = f"CAST(round((epoch_ms({f}) - epoch_ms({s})) / 1000.0) AS BIGINT)"
+    return (f"CASE WHEN {f} IS NULL OR {secs} < 0 THEN '-' WHEN {secs} // 60 > 0 THEN "
+            f"CAST({secs} // 60 AS VARCHAR) || 'm ' || CAST({secs} % 60 AS VARCHAR) || 's' "
+            f"ELSE CAST({secs} % 60 AS VARCHAR) || 's' END")

@@ -176,3 +176,43 @@ def promo_tiles(lineitem: DataFrame, part: DataFrame) -> DataFrame:
 
 def load_promo_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return promo_tiles(read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "part"))
+
+
+# ------------------------------------------------------------------ run feed
+def run_events(events: DataFrame) -> DataFrame:
+    """Audit events of scrape runs: every ``events`` row is one run of the
+    ``user_id % 7``-th source. It emits a start event ('running'); runs that are
+    not still running also emit a finish event ``value`` seconds later with the
+    final status ('error' -> failed, other types -> success) and counts."""
+    e = events.select("event_id", "ts", "user_id", "event_type", "value", "props")
+    bank = F.element_at(F.array(*[F.lit(s) for s in SOURCE_NAMES]),
+                        (F.col("user_id") % len(SOURCE_NAMES)).cast("int") + 1)
+    k = F.get_json_object("props", "$.k").cast("int")
+    status = (F.when(F.col("event_type") == "error", F.lit("failed"))
+              .when(F.col("event_type") == "signup", F.lit("running"))
+              .otherwise(F.lit("success")))
+    base = e.select(
+        F.concat(F.lit("run-"), F.col("event_id").cast("string")).alias("id"),
+        bank.alias("bank"), F.col("ts").alias("started_at"), status.alias("final_status"), k.alias("k"),
+        F.col("value"))
+    start = base.select("id", "bank", "started_at", F.col("started_at").alias("event_time"),
+                        F.lit(None).cast("timestamp_ntz").alias("finished_at"),
+                        F.lit("running").alias("status"), F.lit(0).alias("promotions_found"),
+                        F.lit(0).alias("promotions_new"), F.lit(0).alias("promotions_updated"),
+                        F.lit(None).cast("string").alias("error_message"))
+    fin_time = F.col("started_at") + F.expr("make_dt_interval(0, 0, 0, CAST(value AS DECIMAL(18, 6)))")
+    ok = F.col("final_status") == "success"
+    finish = base.filter(F.col("final_status") != "running").select(
+        "id", "bank", "started_at", fin_time.alias("event_time"), fin_time.alias("finished_at"),
+        F.col("final_status").alias("status"),
+        F.when(ok, F.col("k")).otherwise(0).alias("promotions_found"),
+        F.when(ok, F.col("k") % 5).otherwise(0).alias("promotions_new"),
+        F.when(ok, F.col("k") % 3).otherwise(0).alias("promotions_updated"),
+        F.when(~ok, F.concat(F.lit("fetch failed after "),
+                             F.floor("value").cast("bigint").cast("string"), F.lit("s")))
+        .alias("error_message"))
+    return start.unionByName(finish)
+
+
+def load_run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_events(read_table(spark, sf_dir, "events"))
