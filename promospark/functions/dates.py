@@ -89,7 +89,7 @@ def thai_date(part) -> Column:
     month = _month_of(p)
     nums = F.regexp_extract_all(p, F.lit(r"(?U)(\d+)"), 1)
     day = F.try_element_at(nums, F.lit(1))
-    year = F.try_element_at(nums, F.size(nums))
+    year = F.try_element_at(nums, F.lit(-1))
     d = ascii_digits(day).try_cast("int")
     y = buddhist_year(ascii_digits(year).try_cast("int"))
     return F.when(month.isNotNull() & (F.size(nums) >= 2), make_date_or_null(y, month, d))
@@ -160,7 +160,7 @@ def part_parse_steps(i: int, part: str) -> list:
     return [
         ("cols", {f"_s{i}": _strip(p), f"_m{i}": _month_of(p),
                   f"_n{i}": F.regexp_extract_all(p, F.lit(r"(?U)(\d+)"), 1)}),
-        ("cols", {f"_y{i}": buddhist_year(ascii_digits(F.try_element_at(n, F.size(n))).try_cast("int")),
+        ("cols", {f"_y{i}": buddhist_year(ascii_digits(F.try_element_at(n, F.lit(-1))).try_cast("int")),
                   f"_d{i}": ascii_digits(F.try_element_at(n, F.lit(1))).try_cast("int"),
                   **{_fmt_col(i, fmt): _parse_stripped(F.col(f"_s{i}"), fmt) for fmt in ALL_FORMATS}}),
         ("cols", {f"_t{i}": F.when(F.col(f"_m{i}").isNotNull() & (F.size(n) >= 2),

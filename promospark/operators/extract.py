@@ -86,7 +86,8 @@ def _build_recipe():
         return title if spec.description_from_title else normalize_text("description_raw")
 
     def href_abs(spec):
-        return F.when(F.col("href") != "", url_join(spec.promotion_url, F.col("href"))).otherwise(F.lit(""))
+        base = F.coalesce(F.col("page_url"), F.lit(spec.promotion_url))
+        return F.when(F.col("href") != "", url_join(base, F.col("href"))).otherwise(F.lit(""))
 
     def source_id(spec):
         if spec.kind == "json":

@@ -557,3 +557,39 @@ def q_failure_streaks(spark, sf_dir):
     r = runs(spark, sf_dir).withColumn("_rn", F.row_number().over(w))
     return r.filter((F.col("_rn") <= 3) & (F.col("status") == "failed")).groupBy("bank") \
         .agg(F.count(F.lit(1)).alias("failures_in_last_3"))
+
+
+# ------------------------------------------------------------------ page tiles
+from promospark.operators import tiles as X  # noqa: E402
+from promospark.sources.tables import read_table  # noqa: E402
+
+
+def page_tile_rows(spark, sf_dir):
+    return X.explode_tiles(X.page_snapshots(read_table(spark, sf_dir, "pages")))
+
+
+@register("page_tiles", O.with_page_tiles("SELECT bank, page_id, pos, href, inner_html FROM page_tiles"))
+def q_page_tiles(spark, sf_dir):
+    """Tiles of every page in document order, fallback when none."""
+    return page_tile_rows(spark, sf_dir).select("bank", "page_id", "pos", "href", "inner_html")
+
+
+@register("page_promotions", O.with_page_promos(
+    "SELECT bank, source_id, source_url, title, merchant_name, discount_type, discount_value, "
+    "page_id, pos, checksum FROM promos_ck"))
+def q_page_promotions(spark, sf_dir):
+    """X5-X13 (+T/M/U1): page tiles normalised to promotion rows."""
+    p = normalize_tiles(X.tiles_for_extraction(page_tile_rows(spark, sf_dir)))
+    return p.select("bank", "source_id", "source_url", "title", "merchant_name", "discount_type",
+                    "discount_value", F.col("ord.page_id").alias("page_id"), F.col("ord.pos").alias("pos"),
+                    "checksum")
+
+
+@register("page_first_seen", O.with_page_promos(
+    "SELECT bank, source_id, page_id, pos FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY bank, source_id ORDER BY hub_ord, page_id, pos) AS rn FROM promos) WHERE rn = 1"))
+def q_page_first_seen(spark, sf_dir):
+    """P1 over page tiles: first tile per (source, id) in page then tile order."""
+    p = normalize_tiles(X.tiles_for_extraction(page_tile_rows(spark, sf_dir)))
+    return first_seen(p).select("bank", "source_id", F.col("ord.page_id").alias("page_id"),
+                                F.col("ord.pos").alias("pos"))

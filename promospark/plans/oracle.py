@@ -153,18 +153,17 @@ def date_range(text: str, spec: SourceSpec) -> tuple[str, str]:
 
 # ---------------------------------------------------------------- urls
 def url_join(base: str, href: str) -> str:
-    scheme = base.split(":", 1)[0]
-    rest = base.split("://", 1)[1]
-    host = rest.split("/", 1)[0].split("?", 1)[0].split("#", 1)[0]
-    origin = f"{scheme}://{host}"
-    base_path = rest[len(host):].split("?", 1)[0].split("#", 1)[0]
-    base_dir = base_path[: base_path.rfind("/") + 1] if "/" in base_path else ""
-    base_no_query = base.split("?", 1)[0].split("#", 1)[0]
-    base_no_frag = base.split("#", 1)[0]
+    """``base`` is a SQL expression (a column or a quoted literal)."""
+    scheme = f"regexp_extract({base}, '^([a-zA-Z][a-zA-Z0-9+.\\-]*):', 1)"
+    origin = f"regexp_extract({base}, '^([a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]*)', 1)"
+    base_path = f"regexp_extract({base}, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]*([^?#]*)', 1)"
+    base_dir = f"regexp_replace({base_path}, '[^/]*$', '')"
+    base_no_query = f"regexp_extract({base}, '^([^?#]*)', 1)"
+    base_no_frag = f"regexp_extract({base}, '^([^#]*)', 1)"
     hpath = f"regexp_extract({href}, '^([^?#]*)', 1)"
     tail = f"substring({href}, length({hpath}) + 1)"
     is_abs = f"starts_with({hpath}, '/')"
-    merged = f"(CASE WHEN {is_abs} THEN {hpath} ELSE {lit(base_dir)} || {hpath} END)"
+    merged = f"(CASE WHEN {is_abs} THEN {hpath} ELSE {base_dir} || {hpath} END)"
     segs = f"string_split({merged}, '/')"
     kept = (f"(CASE WHEN {is_abs} THEN {segs} ELSE "
             f"list_filter({segs}, lambda x, i: i = 1 OR i = len({segs}) OR x <> '') END)")
@@ -174,12 +173,12 @@ def url_join(base: str, href: str) -> str:
     folded = f"(CASE WHEN {kept}[-1] IN ('.', '..') THEN list_append({folded}, '') ELSE {folded} END)"
     joined = f"array_to_string({folded}, '/')"
     resolved = f"(CASE WHEN {joined} = '' THEN '/' ELSE {joined} END)"
-    return (f"CASE WHEN {href} = '' THEN {lit(base)} "
+    return (f"CASE WHEN {href} = '' THEN {base} "
             f"WHEN regexp_matches({href}, '^[a-zA-Z][a-zA-Z0-9+.\\-]*:') THEN {href} "
-            f"WHEN starts_with({href}, '//') THEN {lit(scheme + ':')} || {href} "
-            f"WHEN starts_with({href}, '?') THEN {lit(base_no_query)} || {href} "
-            f"WHEN starts_with({href}, '#') THEN {lit(base_no_frag)} || {href} "
-            f"ELSE {lit(origin)} || {resolved} || {tail} END")
+            f"WHEN starts_with({href}, '//') THEN {scheme} || ':' || {href} "
+            f"WHEN starts_with({href}, '?') THEN {base_no_query} || {href} "
+            f"WHEN starts_with({href}, '#') THEN {base_no_frag} || {href} "
+            f"ELSE {origin} || {resolved} || {tail} END")
 
 
 def source_id_from_url(url: str, title: str, strip_query: bool, strip_html: bool, n: int) -> str:
@@ -295,6 +294,7 @@ tiles AS (
     CASE p_size % 3 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN [p_brand]
                     ELSE [p_brand, {lit(CARD_EXTRA)}] END AS card_types,
     l_shipdate AS scraped_at,
+    CAST(NULL AS VARCHAR) AS page_url,
     CAST(hub_ord AS BIGINT) * 17592186044416 + l_orderkey * 8 + l_linenumber AS seq
   FROM (SELECT *, l_partkey AS p_partkey_s FROM j)
 )"""
@@ -304,13 +304,14 @@ def _by_source(fn) -> str:
     return "CASE bank " + " ".join(f"WHEN {lit(n)} THEN {fn(s)}" for n, s in SPECS.items()) + " END"
 
 
-def promos_sql(src: str = "tiles", extra: str = "") -> str:
+def promos_sql(src: str = "tiles", extra: str = "", order_cols: str | None = None,
+               pre_ctes: str = "") -> str:
     """CTEs ``j``, ``tiles``, ``t1``, ``t2``, ``promos`` (normalised promotion rows)."""
     def description(s):
         return "title" if s.description_from_title else normalize("description_raw")
 
     def href_abs(s):
-        return f"CASE WHEN href <> '' THEN {url_join(s.promotion_url, 'href')} ELSE '' END"
+        return f"CASE WHEN href <> '' THEN {url_join(f'coalesce(page_url, {lit(s.promotion_url)})', 'href')} ELSE '' END"
 
     def valid(s):
         if s.kind == "json":
@@ -361,7 +362,8 @@ def promos_sql(src: str = "tiles", extra: str = "") -> str:
         text = "description" if s.date_from_description else "date_raw"
         return date_range(text, s)[which]
 
-    pre = tiles_sql() + (",\n" + SNAP_TILES if src == "snap_tiles" else "")
+    pre = tiles_sql() + (",\n" + SNAP_TILES if src == "snap_tiles" else "") + \
+        ((",\n" + pre_ctes) if pre_ctes else "")
     return pre + f""",
 t1 AS (
   SELECT *, {_by_source(description)} AS description, {_by_source(href_abs)} AS href_abs
@@ -383,8 +385,7 @@ promos AS (
     {_by_source(lambda s: dates(s, 0))} AS start_date,
     {_by_source(lambda s: dates(s, 1))} AS end_date,
     CAST(NULL AS VARCHAR) AS terms_and_conditions,
-    scraped_at, hub_ord, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
-    l_extendedprice, l_discount, l_shipdate, seq{extra}
+    scraped_at, {order_cols or ORDER_COLS}, seq{extra}
   FROM t2
 )"""
 
@@ -492,3 +493,47 @@ def duration_sql(s: str, f: str) -> str:
     return (f"CASE WHEN {f} IS NULL OR {secs} < 0 THEN '-' WHEN {secs} // 60 > 0 THEN "
             f"CAST({secs} // 60 AS VARCHAR) || 'm ' || CAST({secs} % 60 AS VARCHAR) || 's' "
             f"ELSE CAST({secs} % 60 AS VARCHAR) || 's' END")
+
+
+# ---------------------------------------------------------------- page tiles
+def page_tiles_ctes() -> str:
+    from promospark.operators.tiles import ENTITIES, HTML_SOURCES, TileSelector
+    sel = TileSelector()
+    spaced = [x for x in HTML_SOURCES if SPECS[x].text_joiner == " "]
+    text = "regexp_replace(inner_html, '<[^>]*>', CASE WHEN bank IN (" + ", ".join(lit(x) for x in spaced) + \
+        ") THEN ' ' ELSE '' END, 'g')"
+    for ent, ch in ENTITIES:
+        text = f"replace({text}, {lit(ent)}, {lit(ch)})"
+    return f"""pages_snap AS (
+  SELECT {lst(HTML_SOURCES)}[CAST(page_id % {len(HTML_SOURCES)} AS INTEGER) + 1] AS bank,
+    'main' AS hub_slug, 0 AS hub_ord, page_id, url,
+    regexp_extract_all(html, {lit(sel.primary)}, 1) AS ph, regexp_extract_all(html, {lit(sel.primary)}, 2) AS pt,
+    regexp_extract_all(html, {lit(sel.fallback)}, 1) AS fh, regexp_extract_all(html, {lit(sel.fallback)}, 2) AS ft
+  FROM pages
+),
+pages_sel AS (
+  SELECT *, CASE WHEN len(ph) > 0 THEN ph ELSE fh END AS hs, CASE WHEN len(ph) > 0 THEN pt ELSE ft END AS tx
+  FROM pages_snap
+),
+page_tiles AS (
+  SELECT bank, hub_slug, hub_ord, page_id, url, CAST(i - 1 AS INTEGER) AS pos, hs[i] AS href, tx[i] AS inner_html
+  FROM (SELECT *, unnest(generate_series(1, len(hs))) AS i FROM pages_sel)
+),
+ptiles AS (
+  SELECT bank, hub_slug, hub_ord, '' AS item_id, {text} AS title_raw, '' AS description_raw, '' AS date_raw,
+    CAST(NULL AS VARCHAR) AS start_raw, CAST(NULL AS VARCHAR) AS end_raw, href, '' AS image_raw,
+    CAST(NULL AS VARCHAR) AS category_raw, []::VARCHAR[] AS card_types,
+    TIMESTAMP '2026-03-01 06:00:00' AS scraped_at, url AS page_url, page_id, pos,
+    page_id * 1048576 + pos AS seq
+  FROM page_tiles
+)"""
+
+
+def with_page_promos(select: str) -> str:
+    body = promos_sql("ptiles", order_cols="hub_ord, page_id, pos", pre_ctes=page_tiles_ctes())
+    ck = f"promos_ck AS (SELECT *, {checksum()} AS checksum FROM promos)"
+    return "WITH " + body + ",\n" + ck + "\n" + select
+
+
+def with_page_tiles(select: str) -> str:
+    return "WITH " + page_tiles_ctes() + "\n" + select

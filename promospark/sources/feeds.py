@@ -168,6 +168,7 @@ def promo_tiles(lineitem: DataFrame, part: DataFrame) -> DataFrame:
                 F.when(F.col("p_size") % 2 == 0, F.lower("p_type")).alias("category_raw"),
                 cards.alias("card_types"),
                 F.col("l_shipdate").alias("scraped_at"),
+                F.lit(None).cast("string").alias("page_url"),
             )
             .withColumn("ord", F.struct(*TILE_ORDER))
             .withColumn("seq", F.col("hub_ord").cast("long") * (1 << 44)
