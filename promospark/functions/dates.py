@@ -136,7 +136,7 @@ def date_range(text, spec: SourceSpec) -> Column:
 
 def epoch_millis_date(col) -> Column:
     """D-3: epoch milliseconds to a date in the session time zone."""
-    return F.to_date(F.timestamp_millis(_c(col).cast("long")))
+    return F.to_date(F.timestamp_millis(F.floor(_c(col)).cast("long")))
 
 
 # --------------------------------------------------------------------------

@@ -97,7 +97,8 @@ def _build_recipe():
 
     def source_url(spec):
         if spec.kind == "json":
-            return F.concat(F.lit(spec.base_url + JSON_URL_PATHS[spec.name]), F.col("item_id"))
+            return F.concat(F.lit(spec.base_url + JSON_URL_PATHS[spec.name]),
+                            F.coalesce(F.nullif(F.col("slug"), F.lit("")), F.col("item_id")))
         return F.when(F.col("href_abs") != "", F.col("href_abs")).otherwise(F.lit(spec.promotion_url))
 
     def image(spec):
@@ -125,7 +126,7 @@ def _build_recipe():
 
     def date_text(spec):
         if spec.kind == "json":
-            return F.col("start_raw")
+            return F.coalesce(F.col("start_raw"), F.lit(""))
         t = F.col("description") if spec.date_from_description else F.col("date_raw")
         if spec.date_prefix:
             t = D._strip(F.regexp_replace(t, spec.date_prefix, ""))
@@ -137,13 +138,23 @@ def _build_recipe():
         return F.split(F.col("_dtext"), spec.split_regex, 2)
 
     def start(spec):
+        if spec.kind == "json":
+            return F.coalesce(D.part_rule(spec, 0), D.epoch_millis_date(F.col("start_epoch")))
         return F.when(F.col("_dtext").isNotNull(), D.part_rule(spec, 0))
 
     def end(spec):
         if spec.kind == "json":
-            return D.part_rule(spec, 1)
+            return F.coalesce(D.part_rule(spec, 1), D.epoch_millis_date(F.col("end_epoch")))
         return F.when(F.col("_has1"), D.part_rule(spec, 1))
 
+    def _merchant(spec):
+        if spec.name == "ktc":
+            given = F.nullif(F.col("merchant_raw"), F.lit(""))
+            return F.when(given.isNotNull(), normalize_text(given)).otherwise(normalize_text("title_raw"))
+        if spec.name == "cardx":
+            return F.nullif(F.col("merchant_raw"), F.lit(""))
+        return merchant_for_spec(spec, F.col("title"), F.col("description"))
+
     def cards(spec):
         if spec.kind == "json":
             return F.coalesce(F.col("card_types"), F.array().cast("array<string>"))
@@ -174,7 +185,7 @@ def _build_recipe():
         by_source(image).alias("image_url"),
         by_source(cards).alias("card_types"),
         by_source(category).alias("category"),
-        by_source(lambda s: merchant_for_spec(s, F.col("title"), F.col("description"))).alias("merchant_name"),
+        by_source(_merchant).alias("merchant_name"),
         F.col("_disc.discount_type").alias("discount_type"),
         F.col("_disc.discount_value").alias("discount_value"),
         by_source(min_spend).alias("minimum_spend"),

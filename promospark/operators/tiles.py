@@ -84,6 +84,8 @@ def tiles_for_extraction(tiles: DataFrame, scraped_at: str = "2026-03-01 06:00:0
         F.array().cast("array<string>").alias("card_types"),
         F.lit(scraped_at).cast("timestamp_ntz").alias("scraped_at"),
         F.col("url").alias("page_url"),
+        F.lit(None).cast("string").alias("merchant_raw"), F.lit(None).cast("string").alias("slug"),
+        F.lit(None).cast("double").alias("start_epoch"), F.lit(None).cast("double").alias("end_epoch"),
         F.struct("hub_ord", "page_id", "pos").alias("ord"),
         (F.col("page_id") * (1 << 20) + F.col("pos")).alias("seq"),
     )

@@ -593,3 +593,28 @@ def q_page_first_seen(spark, sf_dir):
     p = normalize_tiles(X.tiles_for_extraction(page_tile_rows(spark, sf_dir)))
     return first_seen(p).select("bank", "source_id", F.col("ord.page_id").alias("page_id"),
                                 F.col("ord.pos").alias("pos"))
+
+
+# ------------------------------------------------------------------ payloads
+from promospark.operators import payloads as J  # noqa: E402
+from promospark.sources.feeds import load_payloads  # noqa: E402
+
+
+def payload_promotions(spark, sf_dir):
+    return normalize_tiles(J.item_fields(J.explode_items(load_payloads(spark, sf_dir))))
+
+
+@register("payload_items", None)
+def q_payload_items(spark, sf_dir):
+    """Items located in every captured payload, exploded with position."""
+    return J.explode_items(load_payloads(spark, sf_dir)).select(
+        "bank", "seq", "pos", F.to_json("item").alias("item_json"))
+
+
+@register("payload_promotions", None)
+def q_payload_promotions(spark, sf_dir):
+    """J7-J12 (+T2-T5, D-1, D-3): payload items normalised to promotion rows."""
+    return payload_promotions(spark, sf_dir).select(
+        "bank", "source_id", "source_url", "title", "description", "image_url", "category",
+        "merchant_name", "discount_type", "discount_value", "start_date", "end_date",
+        F.array_join("card_types", "|").alias("card_types_text"), "checksum")

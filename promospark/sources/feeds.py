@@ -169,6 +169,10 @@ def promo_tiles(lineitem: DataFrame, part: DataFrame) -> DataFrame:
                 cards.alias("card_types"),
                 F.col("l_shipdate").alias("scraped_at"),
                 F.lit(None).cast("string").alias("page_url"),
+                F.lit(None).cast("string").alias("merchant_raw"),
+                F.lit(None).cast("string").alias("slug"),
+                F.lit(None).cast("double").alias("start_epoch"),
+                F.lit(None).cast("double").alias("end_epoch"),
             )
             .withColumn("ord", F.struct(*TILE_ORDER))
             .withColumn("seq", F.col("hub_ord").cast("long") * (1 << 44)
@@ -217,3 +221,98 @@ def run_events(events: DataFrame) -> DataFrame:
 
 def load_run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_events(read_table(spark, sf_dir, "events"))
+
+
+# ------------------------------------------------------------------ payload feed
+def _js(s: Column) -> Column:
+    return F.concat(F.lit('"'), s, F.lit('"'))
+
+
+def payload_item_json(p: DataFrame) -> DataFrame:
+    """One JSON promotion item per part row, in one of four field-naming styles
+    (``p_partkey % 4``): id/slug/_id, title/name, description/short_description,
+    image object/thumbnail/string/cover_image object, category object/string,
+    card types as objects/string/list, merchant object/name/absent, dates as ISO,
+    ISO-with-time, epoch milliseconds or DD/MM/YYYY."""
+    pk = F.col("p_partkey").cast("string")
+    v = (F.col("p_partkey") % 4).cast("int")
+    slug = F.concat(F.lower(F.regexp_replace("p_name", " ", "-")), F.lit("-"), pk)
+    title = F.concat(F.lit("ส่วนลด "), F.col("p_size").cast("string"), F.lit("% "), F.upper("p_name"))
+    desc = F.concat(F.lit("สำหรับ "), F.col("p_type"))
+    start = F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size"))
+    end = F.date_add(start, 30)
+
+    def iso(d):
+        return F.date_format(d, "yyyy-MM-dd")
+
+    def epoch(d):
+        return F.unix_millis(d.cast("timestamp")).cast("string")
+
+    pieces = [
+        F.when(v != 3, F.concat(F.lit('"id": '), _js(F.concat(F.lit("pp"), pk))))
+        .otherwise(F.concat(F.lit('"_id": '), _js(F.concat(F.lit("x"), pk)))),
+        F.concat(F.lit('"slug": '), _js(slug)),
+        F.concat(F.when(v == 1, F.lit('"name": ')).otherwise(F.lit('"title": ')), _js(title)),
+        F.concat(F.when(v == 2, F.lit('"short_description": ')).otherwise(F.lit('"description": ')), _js(desc)),
+        (F.when(v == 0, F.concat(F.lit('"image": {"url": '), _js(F.concat(F.lit("/img/"), pk, F.lit(".jpg"))),
+                                 F.lit("}")))
+         .when(v == 1, F.concat(F.lit('"thumbnail": '),
+                                _js(F.concat(F.lit("https://cdn.example.com/"), pk, F.lit(".png")))))
+         .when(v == 2, F.concat(F.lit('"image": '), _js(F.concat(F.lit("/img/"), pk, F.lit(".png")))))
+         .otherwise(F.concat(F.lit('"cover_image": {"src": '), _js(F.concat(F.lit("/img/"), pk, F.lit(".gif"))),
+                             F.lit("}")))),
+        F.when(v % 2 == 0, F.concat(F.lit('"category": {"name": '), _js(F.col("p_type")), F.lit(', "slug": '),
+                                    _js(F.lower("p_type")), F.lit("}")))
+        .otherwise(F.concat(F.lit('"category": '), _js(F.lower("p_type")))),
+        (F.when(v == 0, F.concat(F.lit('"card_types": [{"name": '), _js(F.col("p_brand")),
+                                 F.lit('}, {"name": "Platinum"}]')))
+         .when(v == 1, F.concat(F.lit('"card_types": '), _js(F.col("p_brand"))))
+         .when(v == 2, F.concat(F.lit('"cards": ['), _js(F.col("p_brand")), F.lit(', "Platinum"]')))),
+        (F.when(v == 0, F.concat(F.lit('"merchant": {"name": '), _js(F.upper("p_name")), F.lit("}")))
+         .when(v == 1, F.concat(F.lit('"merchantName": '), _js(F.col("p_brand"))))),
+        (F.when(v == 0, F.concat(F.lit('"start_date": '), _js(iso(start)), F.lit(', "end_date": '), _js(iso(end))))
+         .when(v == 1, F.concat(F.lit('"startDate": '), _js(F.concat(iso(start), F.lit("T00:00:00"))),
+                                F.lit(', "endDate": '), _js(F.concat(iso(end), F.lit("T00:00:00")))))
+         .when(v == 2, F.concat(F.lit('"startDate": '), epoch(start), F.lit(', "endDate": '), epoch(end)))
+         .otherwise(F.concat(F.lit('"start_date": '), _js(F.date_format(start, "dd/MM/yyyy"))))),
+    ]
+    item = F.concat(F.lit("{"), F.concat_ws(", ", *pieces), F.lit("}"))
+    return p.select("p_partkey", item.alias("item"))
+
+
+PAYLOAD_ITEMS = 20      # items per payload (bounded group size)
+PAYLOAD_SHAPES = 6
+
+
+def payload_documents(part: DataFrame) -> DataFrame:
+    """Captured payloads: part items grouped ``PAYLOAD_ITEMS`` at a time (a bounded
+    ``collect_list``), wrapped in one of six shapes. Shapes 0-2 are KTC pages
+    with embedded ``__NEXT_DATA__`` (promotions / data.promotions behind an empty
+    list / first list under pageProps); 3-5 are CardX API bodies (data.items,
+    results, GraphQL edges)."""
+    items = payload_item_json(part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
+    grouped = (items.withColumn("payload_id", (F.col("p_partkey") / PAYLOAD_ITEMS).cast("long"))
+               .groupBy("payload_id")
+               .agg(F.array_sort(F.collect_list(F.struct("p_partkey", "item"))).alias("its")))
+    arr = F.concat(F.lit("["), F.array_join(F.transform("its", lambda x: x["item"]), ", "), F.lit("]"))
+    edges = F.concat(F.lit("["), F.array_join(
+        F.transform("its", lambda x: F.concat(F.lit('{"node": '), x["item"], F.lit("}"))), ", "), F.lit("]"))
+    shape = (F.col("payload_id") % PAYLOAD_SHAPES).cast("int")
+
+    def page(body):
+        return F.concat(F.lit('<html><head><script id="__NEXT_DATA__" type="application/json">'), body,
+                        F.lit("</script></head><body></body></html>"))
+    doc = (F.when(shape == 0, page(F.concat(F.lit('{"props": {"pageProps": {"promotions": '), arr, F.lit("}}}"))))
+           .when(shape == 1, page(F.concat(F.lit('{"props": {"pageProps": {"promotions": [], "data": {"promotions": '),
+                                            arr, F.lit("}}}}"))))
+           .when(shape == 2, page(F.concat(F.lit('{"props": {"pageProps": {"meta": {"n": 1}, "featured": '),
+                                            arr, F.lit("}}}"))))
+           .when(shape == 3, F.concat(F.lit('{"data": {"items": '), arr, F.lit('}, "meta": {"total": 0}}')))
+           .when(shape == 4, F.concat(F.lit('{"results": '), arr, F.lit("}")))
+           .otherwise(F.concat(F.lit('{"data": {"allPromos": {"edges": '), edges, F.lit("}}}"))))
+    return grouped.select(F.when(shape <= 2, F.lit("ktc")).otherwise(F.lit("cardx")).alias("bank"),
+                          F.col("payload_id").alias("seq"), doc.alias("payload"))
+
+
+def load_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payload_documents(read_table(spark, sf_dir, "part"))
