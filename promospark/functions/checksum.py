@@ -23,8 +23,9 @@ _NEEDS_ESCAPE = "[\"\\\\\\x00-\\x1F]"
 _UPPER_HEX_CONTROLS = ["000B", "000E", "000F", "001A", "001B", "001C", "001D", "001E", "001F"]
 
 
-def json_string(col: Column) -> Column:
-    """JSON literal for a string Column: quoted/escaped text, or ``null``."""
+def json_string(col: Column, plain: Column | None = None) -> Column:
+    """JSON literal for a string Column: quoted/escaped text, or ``null``.
+    ``plain`` may assert (per row) that no escaping is needed."""
     wrapped = F.to_json(F.array(col))
     j = F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)
     fixed = j
@@ -32,8 +33,9 @@ def json_string(col: Column) -> Column:
         fixed = F.replace(fixed, F.lit("\\u" + h), F.lit("\\u" + h.lower()))
     # Text without quotes, backslashes or control characters needs no escaping:
     # quote it directly and skip the JSON writer.
+    no_escape = ~col.rlike(_NEEDS_ESCAPE) if plain is None else (plain | ~col.rlike(_NEEDS_ESCAPE))
     return (F.when(col.isNull(), F.lit("null"))
-            .when(~col.rlike(_NEEDS_ESCAPE), F.concat(F.lit('"'), col, F.lit('"')))
+            .when(no_escape, F.concat(F.lit('"'), col, F.lit('"')))
             .when(col.rlike("[\\x0B\\x0E\\x0F\\x1A-\\x1F]"), fixed)
             .otherwise(j))
 
@@ -68,6 +70,10 @@ def checksum_json(df_cols: dict | None = None) -> Column:
     cols = {f: F.col(f) for f in CHECKSUM_FIELDS}
     if df_cols:
         cols.update(df_cols)
+    text_fields = [f for f in CHECKSUM_FIELDS if f not in ("card_types", "minimum_spend", "start_date",
+                                                           "end_date")]
+    # One scan over all text fields decides whether any of them needs escaping.
+    all_plain = ~F.concat_ws("", *[cols[f] for f in text_fields]).rlike(_NEEDS_ESCAPE)
     pieces = [F.lit("{")]
     for i, f in enumerate(CHECKSUM_FIELDS):
         c = cols[f]
@@ -78,7 +84,7 @@ def checksum_json(df_cols: dict | None = None) -> Column:
         elif f in ("start_date", "end_date"):
             v = json_date(c)
         else:
-            v = json_string(c)
+            v = json_string(c, all_plain)
         pieces.append(F.lit(('' if i == 0 else ', ') + '"' + f + '": '))
         pieces.append(v)
     pieces.append(F.lit("}"))

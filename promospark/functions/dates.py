@@ -154,17 +154,23 @@ def _fmt_col(i: int, fmt: str) -> str:
 
 def part_parse_steps(i: int, part: str) -> list:
     """Projection steps adding ``_s{i}`` (stripped part), the Thai-date parse
-    ``_t{i}`` and one parse column per format for part ``i``."""
+    ``_t{i}`` and one parse column per format for part ``i``.
+
+    Format parses only run where the Thai parse found nothing: a text holding a
+    Thai month name can never fully match a numeric or English format, so the
+    skipped parses would all be null anyway."""
     p = F.col(part)
     n = F.col(f"_n{i}")
+    no_thai = F.col(f"_t{i}").isNull()
     return [
         ("cols", {f"_s{i}": _strip(p), f"_m{i}": _month_of(p),
                   f"_n{i}": F.regexp_extract_all(p, F.lit(r"(?U)(\d+)"), 1)}),
         ("cols", {f"_y{i}": buddhist_year(ascii_digits(F.try_element_at(n, F.lit(-1))).try_cast("int")),
-                  f"_d{i}": ascii_digits(F.try_element_at(n, F.lit(1))).try_cast("int"),
-                  **{_fmt_col(i, fmt): _parse_stripped(F.col(f"_s{i}"), fmt) for fmt in ALL_FORMATS}}),
+                  f"_d{i}": ascii_digits(F.try_element_at(n, F.lit(1))).try_cast("int")}),
         ("cols", {f"_t{i}": F.when(F.col(f"_m{i}").isNotNull() & (F.size(n) >= 2),
                                    make_date_or_null(F.col(f"_y{i}"), F.col(f"_m{i}"), F.col(f"_d{i}")))}),
+        ("cols", {_fmt_col(i, fmt): F.when(no_thai, _parse_stripped(F.col(f"_s{i}"), fmt))
+                  for fmt in ALL_FORMATS}),
     ]
 
 

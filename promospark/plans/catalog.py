@@ -604,14 +604,18 @@ def payload_promotions(spark, sf_dir):
     return normalize_tiles(J.item_fields(J.explode_items(load_payloads(spark, sf_dir))))
 
 
-@register("payload_items", None)
+@register("payload_items", O.with_payload_items(
+    "SELECT bank, seq, pos, json_extract_string(item, '$.slug') AS item_slug FROM pitems_x"))
 def q_payload_items(spark, sf_dir):
     """Items located in every captured payload, exploded with position."""
     return J.explode_items(load_payloads(spark, sf_dir)).select(
-        "bank", "seq", "pos", F.to_json("item").alias("item_json"))
+        "bank", "seq", "pos", F.try_variant_get("item", "$.slug", "string").alias("item_slug"))
 
 
-@register("payload_promotions", None)
+@register("payload_promotions", O.with_payload_promos(
+    "SELECT bank, source_id, source_url, title, description, image_url, category, merchant_name, "
+    "discount_type, discount_value, start_date, end_date, array_to_string(card_types, '|') AS card_types_text, "
+    "checksum FROM promos_ck"))
 def q_payload_promotions(spark, sf_dir):
     """J7-J12 (+T2-T5, D-1, D-3): payload items normalised to promotion rows."""
     return payload_promotions(spark, sf_dir).select(

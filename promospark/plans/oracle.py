@@ -295,6 +295,8 @@ tiles AS (
                     ELSE [p_brand, {lit(CARD_EXTRA)}] END AS card_types,
     l_shipdate AS scraped_at,
     CAST(NULL AS VARCHAR) AS page_url,
+    CAST(NULL AS VARCHAR) AS merchant_raw, CAST(NULL AS VARCHAR) AS slug,
+    CAST(NULL AS DOUBLE) AS start_epoch, CAST(NULL AS DOUBLE) AS end_epoch,
     CAST(hub_ord AS BIGINT) * 17592186044416 + l_orderkey * 8 + l_linenumber AS seq
   FROM (SELECT *, l_partkey AS p_partkey_s FROM j)
 )"""
@@ -325,7 +327,7 @@ def promos_sql(src: str = "tiles", extra: str = "", order_cols: str | None = Non
 
     def source_url(s):
         if s.kind == "json":
-            return f"{lit(s.base_url + JSON_URL_PATHS[s.name])} || item_id"
+            return f"{lit(s.base_url + JSON_URL_PATHS[s.name])} || coalesce(nullif(slug, ''), item_id)"
         return f"CASE WHEN href_abs <> '' THEN href_abs ELSE {lit(s.promotion_url)} END"
 
     def image(s):
@@ -342,11 +344,19 @@ def promos_sql(src: str = "tiles", extra: str = "", order_cols: str | None = Non
         if s.hub_category_mode == "none":
             return raw
         m = "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in s.hub_categories.items()) + "}"
-        hub = f"map_extract({m}, hub_slug)[1]"
+        hub = f"map_extract({m}, coalesce(hub_slug, ''))[1]"
         if s.hub_category_mode == "always":
             return f"coalesce({hub}, hub_slug)"
         return f"coalesce({raw}, {hub})"
 
+    def merchant_sql(s):
+        if s.name == "ktc":
+            return (f"CASE WHEN nullif(merchant_raw, '') IS NOT NULL THEN {normalize('merchant_raw')} "
+                    f"ELSE {normalize('title_raw')} END")
+        if s.name == "cardx":
+            return "nullif(merchant_raw, '')"
+        return merchant(s, 'title', 'description')
+
     def disc(s, which):
         head = "title_raw" if s.discount_on_raw_title else "title"
         return discount(f"({head} || ' ' || description)")[which]
@@ -358,7 +368,9 @@ def promos_sql(src: str = "tiles", extra: str = "", order_cols: str | None = Non
 
     def dates(s, which):
         if s.kind == "json":
-            return std_date("start_raw" if which == 0 else "end_raw", s.date_formats)
+            raw, ep = ("start_raw", "start_epoch") if which == 0 else ("end_raw", "end_epoch")
+            return (f"coalesce({std_date(raw, s.date_formats)}, "
+                    f"CAST(epoch_ms(CAST(floor({ep}) AS BIGINT)) AS DATE))")
         text = "description" if s.date_from_description else "date_raw"
         return date_range(text, s)[which]
 
@@ -378,7 +390,7 @@ promos AS (
     {_by_source(image)} AS image_url,
     {_by_source(cards)} AS card_types,
     {_by_source(category)} AS category,
-    {_by_source(lambda s: merchant(s, 'title', 'description'))} AS merchant_name,
+    {_by_source(merchant_sql)} AS merchant_name,
     {_by_source(lambda s: disc(s, 0))} AS discount_type,
     {_by_source(lambda s: disc(s, 1))} AS discount_value,
     {_by_source(spend)} AS minimum_spend,
@@ -524,6 +536,8 @@ ptiles AS (
     CAST(NULL AS VARCHAR) AS start_raw, CAST(NULL AS VARCHAR) AS end_raw, href, '' AS image_raw,
     CAST(NULL AS VARCHAR) AS category_raw, []::VARCHAR[] AS card_types,
     TIMESTAMP '2026-03-01 06:00:00' AS scraped_at, url AS page_url, page_id, pos,
+    CAST(NULL AS VARCHAR) AS merchant_raw, CAST(NULL AS VARCHAR) AS slug,
+    CAST(NULL AS DOUBLE) AS start_epoch, CAST(NULL AS DOUBLE) AS end_epoch,
     page_id * 1048576 + pos AS seq
   FROM page_tiles
 )"""
@@ -537,3 +551,189 @@ def with_page_promos(select: str) -> str:
 
 def with_page_tiles(select: str) -> str:
     return "WITH " + page_tiles_ctes() + "\n" + select
+
+
+# ---------------------------------------------------------------- payloads
+def _js(e: str) -> str:
+    return "'\"' || " + e + " || '\"'"
+
+
+def payload_ctes() -> str:
+    from promospark.sources.feeds import PAYLOAD_ITEMS, PAYLOAD_SHAPES
+    pk = "CAST(p_partkey AS VARCHAR)"
+    slug = f"lower(replace(p_name, ' ', '-')) || '-' || {pk}"
+    title = "'ส่วนลด ' || CAST(p_size AS VARCHAR) || '% ' || upper(p_name)"
+    desc = "'สำหรับ ' || p_type"
+    start, end = "(DATE '2024-01-01' + p_size)", "(DATE '2024-01-01' + p_size + 30)"
+
+    def iso(d):
+        return f"strftime({d}, '%Y-%m-%d')"
+
+    def epoch(d):
+        return f"CAST(epoch_ms(CAST({d} AS TIMESTAMP)) AS VARCHAR)"
+    pieces = [
+        f"CASE WHEN v <> 3 THEN '\"id\": ' || {_js("'pp' || " + pk)} ELSE '\"_id\": ' || {_js("'x' || " + pk)} END",
+        f"'\"slug\": ' || {_js(slug)}",
+        f"CASE WHEN v = 1 THEN '\"name\": ' ELSE '\"title\": ' END || {_js(title)}",
+        f"CASE WHEN v = 2 THEN '\"short_description\": ' ELSE '\"description\": ' END || {_js(desc)}",
+        (f"CASE v WHEN 0 THEN '\"image\": {{\"url\": ' || {_js("'/img/' || " + pk + " || '.jpg'")} || '}}' "
+         f"WHEN 1 THEN '\"thumbnail\": ' || {_js("'https://cdn.example.com/' || " + pk + " || '.png'")} "
+         f"WHEN 2 THEN '\"image\": ' || {_js("'/img/' || " + pk + " || '.png'")} "
+         f"ELSE '\"cover_image\": {{\"src\": ' || {_js("'/img/' || " + pk + " || '.gif'")} || '}}' END"),
+        (f"CASE WHEN v % 2 = 0 THEN '\"category\": {{\"name\": ' || {_js('p_type')} || ', \"slug\": ' || "
+         f"{_js('lower(p_type)')} || '}}' ELSE '\"category\": ' || {_js('lower(p_type)')} END"),
+        (f"CASE v WHEN 0 THEN '\"card_types\": [{{\"name\": ' || {_js('p_brand')} || "
+         f"'}}, {{\"name\": \"Platinum\"}}]' WHEN 1 THEN '\"card_types\": ' || {_js('p_brand')} "
+         f"WHEN 2 THEN '\"cards\": [' || {_js('p_brand')} || ', \"Platinum\"]' END"),
+        (f"CASE v WHEN 0 THEN '\"merchant\": {{\"name\": ' || {_js('upper(p_name)')} || '}}' "
+         f"WHEN 1 THEN '\"merchantName\": ' || {_js('p_brand')} END"),
+        (f"CASE v WHEN 0 THEN '\"start_date\": ' || {_js(iso(start))} || ', \"end_date\": ' || {_js(iso(end))} "
+         f"WHEN 1 THEN '\"startDate\": ' || {_js(iso(start) + " || 'T00:00:00'")} || ', \"endDate\": ' || "
+         f"{_js(iso(end) + " || 'T00:00:00'")} "
+         f"WHEN 2 THEN '\"startDate\": ' || {epoch(start)} || ', \"endDate\": ' || {epoch(end)} "
+         f"ELSE '\"start_date\": ' || {_js("strftime(" + start + ", '%d/%m/%Y')")} END"),
+    ]
+    item = "'{' || concat_ws(', ', " + ", ".join(pieces) + ") || '}'"
+
+    def page(body):
+        return ("'<html><head><script id=\"__NEXT_DATA__\" type=\"application/json\">' || " + body +
+                " || '</script></head><body></body></html>'")
+    doc = (f"CASE shape WHEN 0 THEN {page("'{\"props\": {\"pageProps\": {\"promotions\": ' || arr || '}}}'")} "
+           f"WHEN 1 THEN {page("'{\"props\": {\"pageProps\": {\"promotions\": [], \"data\": {\"promotions\": ' || arr || '}}}}'")} "
+           f"WHEN 2 THEN {page("'{\"props\": {\"pageProps\": {\"meta\": {\"n\": 1}, \"featured\": ' || arr || '}}}'")} "
+           "WHEN 3 THEN '{\"data\": {\"items\": ' || arr || '}, \"meta\": {\"total\": 0}}' "
+           "WHEN 4 THEN '{\"results\": ' || arr || '}' "
+           "ELSE '{\"data\": {\"allPromos\": {\"edges\": ' || edges || '}}}' END")
+    return f"""pitems AS (
+  SELECT p_partkey, {item} AS item FROM (SELECT *, CAST(p_partkey % 4 AS INTEGER) AS v FROM part)
+),
+pgroups AS (
+  SELECT p_partkey // {PAYLOAD_ITEMS} AS payload_id,
+    '[' || string_agg(item, ', ' ORDER BY p_partkey) || ']' AS arr,
+    '[' || string_agg('{{"node": ' || item || '}}', ', ' ORDER BY p_partkey) || ']' AS edges
+  FROM pitems GROUP BY 1
+),
+docs AS (
+  SELECT CASE WHEN shape <= 2 THEN 'ktc' ELSE 'cardx' END AS bank, payload_id AS seq, {doc} AS payload
+  FROM (SELECT *, CAST(payload_id % {PAYLOAD_SHAPES} AS INTEGER) AS shape FROM pgroups)
+)"""
+
+
+def _arr(doc: str, path: str, nonempty: bool) -> str:
+    cond = f"json_type({doc}, {lit(path)}) = 'ARRAY'"
+    if nonempty:
+        cond += f" AND json_array_length({doc}, {lit(path)}) > 0"
+    return f"CASE WHEN {cond} THEN json_extract({doc}, {lit(path)}) END"
+
+
+def located_ctes() -> str:
+    from promospark.operators.payloads import (CARDX_INNER, CARDX_WRAPPERS, KTC_FIRST_LIST_KEYS,
+                                               KTC_LIST_PATHS, NEXT_DATA_RE)
+    nd = f"nullif(regexp_extract(payload, {lit(NEXT_DATA_RE)}, 1), '')"
+    pp = "json_extract(nd, '$.props.pageProps')"
+    key_hit = (f"list_filter(json_keys({pp}), lambda k: json_type({pp}, '$.\"' || k || '\"') = 'ARRAY' "
+               f"AND json_type({pp}, '$.\"' || k || '\"[0]') = 'OBJECT' AND len(list_intersect("
+               f"json_keys(json_extract({pp}, '$.\"' || k || '\"[0]')), {lst(KTC_FIRST_LIST_KEYS)})) > 0)[1]")
+    ktc = ("coalesce(" + ", ".join(_arr("nd", p, True) for p in KTC_LIST_PATHS) +
+           f", json_extract({pp}, '$.\"' || {key_hit} || '\"'))")
+    cands = [_arr("payload", "$", False)]
+    for k in CARDX_WRAPPERS:
+        cands.append(_arr("payload", f"$.{k}", False))
+        for inner in CARDX_INNER:
+            cands.append(_arr("payload", f"$.{k}.{inner}", False))
+    data = "json_extract(payload, '$.data')"
+    dkey = (f"list_filter(json_keys({data}), lambda k: json_type({data}, '$.\"' || k || '\".edges') = 'ARRAY' "
+            f"OR json_type({data}, '$.\"' || k || '\"') = 'ARRAY')[1]")
+    hit = f"json_extract({data}, '$.\"' || {dkey} || '\"')"
+    graph = (f"CASE WHEN json_type({hit}, '$.edges') = 'ARRAY' THEN to_json(list_transform("
+             f"json_extract({hit}, '$.edges[*]'), lambda e: coalesce(json_extract(e, '$.node'), e))) "
+             f"WHEN json_type({hit}) = 'ARRAY' THEN {hit} END")
+    cardx = "coalesce(" + ", ".join(cands) + f", {graph})"
+    return f"""located AS (
+  SELECT bank, seq, CASE WHEN bank = 'ktc' THEN {ktc} ELSE {cardx} END AS lst
+  FROM (SELECT *, {nd} AS nd FROM docs)
+),
+pitems_x AS (
+  SELECT bank, seq, CAST(i - 1 AS INTEGER) AS pos, its[i] AS item FROM (
+    SELECT bank, seq, json_extract(lst, '$[*]') AS its,
+           unnest(generate_series(1, CAST(coalesce(json_array_length(lst), 0) AS BIGINT))) AS i
+    FROM located)
+)"""
+
+
+_FALSY = "('', '0', '0.0', '[]', '{}', 'false')"
+
+
+def _truthy(v: str) -> str:
+    return f"CASE WHEN {v} IS NOT NULL AND json_type({v}) <> 'NULL' AND json_extract_string({v}, '$') NOT IN {_FALSY} THEN {v} END"
+
+
+def _first_truthy(item: str, keys) -> str:
+    return "coalesce(" + ", ".join(_truthy(f"json_extract({item}, {lit('$.' + k)})") for k in keys) + ")"
+
+
+def _as_text(v: str) -> str:
+    return f"json_extract_string({v}, '$')"
+
+
+def _unwrap(v: str, names) -> str:
+    return f"CASE WHEN json_type({v}) = 'OBJECT' THEN {_as_text(_first_truthy(v, names))} ELSE {_as_text(v)} END"
+
+
+def payload_tiles_ctes() -> str:
+    from promospark.operators.payloads import ALIASES
+
+    def per(fn):
+        return f"CASE WHEN bank = 'ktc' THEN {fn('ktc')} ELSE {fn('cardx')} END"
+
+    def text(src, key):
+        return _as_text(_first_truthy("item", ALIASES[src][key]))
+
+    def cards(src):
+        v = _first_truthy("item", ALIASES[src]["cards"])
+        return (f"CASE WHEN {v} IS NULL THEN []::VARCHAR[] WHEN json_type({v}) = 'ARRAY' THEN "
+                f"list_transform(json_extract({v}, '$[*]'), lambda x: CASE WHEN json_type(x) = 'OBJECT' THEN "
+                f"coalesce(json_extract_string(x, '$.name'), CAST(x AS VARCHAR)) ELSE json_extract_string(x, '$') END) "
+                f"ELSE [{_as_text(v)}] END")
+
+    def date_text(src, key):
+        v = _first_truthy("item", ALIASES[src][key])
+        return f"CASE WHEN json_type({v}) IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN NULL ELSE {_as_text(v)} END"
+
+    def epoch(src, key):
+        if src != "cardx":
+            return "CAST(NULL AS DOUBLE)"
+        v = _first_truthy("item", ALIASES[src][key])
+        return f"CASE WHEN json_type({v}) IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST({_as_text(v)} AS DOUBLE) END"
+
+    def slug(src):
+        return "json_extract_string(item, '$.slug')" if src == "ktc" else text(src, "slug")
+    merchant_names = {"ktc": ["name", "title"], "cardx": ["name"]}
+    return f"""jtiles AS (
+  SELECT bank, CAST(NULL AS VARCHAR) AS hub_slug, 0 AS hub_ord,
+    coalesce({per(lambda s: text(s, 'id'))}, '') AS item_id,
+    coalesce({per(lambda s: text(s, 'title'))}, '') AS title_raw,
+    coalesce({per(lambda s: text(s, 'description'))}, '') AS description_raw, '' AS date_raw,
+    {per(lambda s: date_text(s, 'start'))} AS start_raw, {per(lambda s: date_text(s, 'end'))} AS end_raw,
+    {per(lambda s: epoch(s, 'start'))} AS start_epoch, {per(lambda s: epoch(s, 'end'))} AS end_epoch,
+    '' AS href,
+    coalesce({per(lambda s: _unwrap(_first_truthy('item', ALIASES[s]['image']), ['url', 'src']))}, '') AS image_raw,
+    {per(lambda s: _unwrap(_first_truthy('item', ALIASES[s]['category']), ['name', 'slug']))} AS category_raw,
+    {per(cards)} AS card_types,
+    {per(lambda s: _unwrap(_first_truthy('item', ALIASES[s]['merchant']), merchant_names[s]))} AS merchant_raw,
+    {per(slug)} AS slug,
+    TIMESTAMP '2026-03-01 06:00:00' AS scraped_at, CAST(NULL AS VARCHAR) AS page_url, seq AS pseq, pos,
+    seq * 1048576 + pos AS seq
+  FROM pitems_x
+)"""
+
+
+def with_payload_items(select: str) -> str:
+    return "WITH " + payload_ctes() + ",\n" + located_ctes() + "\n" + select
+
+
+def with_payload_promos(select: str) -> str:
+    pre = payload_ctes() + ",\n" + located_ctes() + ",\n" + payload_tiles_ctes()
+    body = promos_sql("jtiles", order_cols="hub_ord, pseq, pos", pre_ctes=pre)
+    ck = f"promos_ck AS (SELECT *, {checksum()} AS checksum FROM promos)"
+    return "WITH " + body + ",\n" + ck + "\n" + select
