@@ -622,3 +622,30 @@ def q_payload_promotions(spark, sf_dir):
         "bank", "source_id", "source_url", "title", "description", "image_url", "category",
         "merchant_name", "discount_type", "discount_value", "start_date", "end_date",
         F.array_join("card_types", "|").alias("card_types_text"), "checksum")
+
+
+# ------------------------------------------------------------------ designed-but-unbuilt extras
+@register("detail_work_list", O.with_state(
+    "SELECT DISTINCT n.bank, n.source_url FROM state2 n WHERE n.is_active AND NOT EXISTS ("
+    "SELECT 1 FROM state1 o WHERE o.bank = n.bank AND o.source_url = n.source_url)"))
+def q_detail_work_list(spark, sf_dir):
+    """Detail-crawl work list: active source URLs not present in the previous run."""
+    state1, _ = I.feed_states(spark, sf_dir)
+    now = state(spark, sf_dir).filter("is_active").select("bank", "source_url").distinct()
+    return now.join(state1.select("bank", "source_url"), ["bank", "source_url"], "left_anti")
+
+
+@register("weekly_recheck", O.with_state(
+    "SELECT id, bank, source_id, end_date FROM state2 WHERE is_active AND end_date >= DATE '1998-06-01'"))
+def q_weekly_recheck(spark, sf_dir):
+    """Weekly recheck set: active promotions that have not ended by the given day."""
+    return state(spark, sf_dir).filter(F.col("is_active") & (F.col("end_date") >= F.lit("1998-06-01").cast("date"))) \
+        .select("id", "bank", "source_id", "end_date")
+
+
+@register("low_count_runs", O.with_runs(
+    "SELECT id, bank, promotions_found FROM runs WHERE status = 'success' AND promotions_found < 3"))
+def q_low_count_runs(spark, sf_dir):
+    """Low-count alert: successful runs that found fewer than three promotions."""
+    return runs(spark, sf_dir).filter((F.col("status") == "success") & (F.col("promotions_found") < 3)) \
+        .select("id", "bank", "promotions_found")
