@@ -78,26 +78,43 @@ def plan_upsert(stored: DataFrame, incoming: DataFrame, seq: str = "seq", order:
     )
 
 
-def apply_upsert(stored: DataFrame, plan: DataFrame, now, reactivate: bool = False) -> DataFrame:
+def apply_upsert(stored: DataFrame, plan: DataFrame, now, reactivate: bool = False,
+                 refreshed_banks: DataFrame | None = None) -> DataFrame:
     """Next state. Inserted keys get the run time as created/updated time;
     updated keys keep id, created_at and is_active (Q1; ``reactivate`` flips
-    it back on) and take all content from the winning row."""
+    it back on) and take all content from the winning row.
+
+    With ``refreshed_banks`` the soft delete (U5/U6) happens in the same full
+    outer join: a stored active row of a refreshed bank that has no plan row
+    was not seen and becomes inactive, so the state is shuffled once per run.
+    The refreshed-bank list has one row per source at most (bounded by the
+    registered specs), so it is broadcast."""
     now = _ts(now)
     s = stored.alias("s")
     p = plan.alias("p")
     j = s.join(p, KEY, "full_outer")
     wrote = F.col("p.w").isNotNull()
     inserted = wrote & F.col("s.id").isNull()
+    if refreshed_banks is not None:
+        ref = F.broadcast(refreshed_banks.select(F.col("bank").alias("_rbank")).distinct())
+        j = j.join(ref, F.col("bank") == F.col("_rbank"), "left")
+        gone = (F.col("s.id").isNotNull() & F.col("s.is_active") & F.col("p.n_rows").isNull()
+                & F.col("_rbank").isNotNull())
+    else:
+        gone = F.lit(False)
     cols = [F.coalesce(F.col("s.id"), F.col("p.w.id")).alias("id"), *[F.col(k) for k in KEY]]
     for c in CONTENT:
         cols.append(F.when(wrote, F.col("p.w." + c)).otherwise(F.col("s." + c)).alias(c))
     active = F.when(inserted, F.lit(True)).otherwise(F.col("s.is_active"))
     if reactivate:
         active = F.when(wrote, F.lit(True)).otherwise(F.col("s.is_active"))
+    active = F.when(gone, F.lit(False)).otherwise(active)
     cols += [active.alias("is_active"),
              F.when(inserted, now).otherwise(F.col("s.created_at")).alias("created_at"),
-             F.when(wrote, now).otherwise(F.col("s.updated_at")).alias("updated_at")]
-    return j.select(*cols)
+             F.when(wrote | gone, now).otherwise(F.col("s.updated_at")).alias("updated_at"),
+             gone.alias("deactivated")]
+    out = j.select(*cols)
+    return out if refreshed_banks is not None else out.drop("deactivated")
 
 
 def deactivate_missing(state: DataFrame, seen_keys: DataFrame, refreshed_banks: DataFrame,

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from promospark.operators.dedup import first_seen
 from promospark.operators.extract import normalize_tiles
-from promospark.operators.upsert import (STATE_COLUMNS, apply_upsert, deactivate_missing,
-                                         initial_state, plan_upsert, upsert_counts)
+from promospark.operators.upsert import (STATE_COLUMNS, apply_upsert, initial_state, plan_upsert,
+                                         upsert_counts)
 from promospark.plans.store import TableStore, input_fingerprint
 from promospark.sources.feeds import load_promo_tiles
 
@@ -47,9 +47,8 @@ def run_ingest(state: DataFrame, snapshot: DataFrame, now: str,
         counts = counts.select("bank", F.lit(0).cast("long").alias("promotions_new"),
                                F.lit(0).cast("long").alias("promotions_updated"), "promotions_found")
         return RunResult(state, plan, audit_rows(counts, failed, now))
-    upserted = apply_upsert(state, plan, now)
     refreshed = counts.filter(F.col("promotions_found") > 0).select("bank")
-    next_state = deactivate_missing(upserted, incoming, refreshed, now)
+    next_state = apply_upsert(state, plan, now, refreshed_banks=refreshed)
     return RunResult(next_state, plan, audit_rows(counts, failed, now))
 
 
