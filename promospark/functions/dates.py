@@ -135,8 +135,10 @@ def date_range(text, spec: SourceSpec) -> Column:
 
 
 def epoch_millis_date(col) -> Column:
-    """D-3: epoch milliseconds to a date in the session time zone."""
-    return F.to_date(F.timestamp_millis(F.floor(_c(col)).cast("long")))
+    """D-3: epoch milliseconds to a calendar date in UTC (explicit zone, so the
+    result does not depend on the session time zone)."""
+    days = F.floor(F.floor(_c(col)) / F.lit(86_400_000)).cast("int")
+    return F.date_add(F.lit("1970-01-01").cast("date"), days)
 
 
 # --------------------------------------------------------------------------

@@ -246,7 +246,8 @@ def payload_item_json(p: DataFrame) -> DataFrame:
         return F.date_format(d, "yyyy-MM-dd")
 
     def epoch(d):
-        return F.unix_millis(d.cast("timestamp")).cast("string")
+        # midnight UTC of the date, in epoch milliseconds
+        return (F.unix_date(d).cast("long") * F.lit(86_400_000)).cast("string")
 
     pieces = [
         F.when(v != 3, F.concat(F.lit('"id": '), _js(F.concat(F.lit("pp"), pk))))
