@@ -1,5 +1,5 @@
 """The set-wise upsert equals a sequential row-by-row fold (the
-reference's semantics, incl. repeated keys in one batch) on random batches."""
+row-by-row semantics, incl. repeated keys in one batch) on random batches."""
 import random
 
 from pyspark.sql import functions as F
@@ -24,7 +24,7 @@ def rows_df(spark, rows):
 
 
 def fold(stored: dict, batch):
-    """Sequential reference semantics; returns (state, new, updated)."""
+    """Sequential row-by-row semantics; returns (state, new, updated)."""
     state = {k: dict(v) for k, v in stored.items()}
     new = updated = 0
     for (b, s, c, t, q) in sorted(batch, key=lambda r: r[4]):
