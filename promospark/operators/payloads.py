@@ -201,3 +201,72 @@ def item_fields(items: DataFrame, scraped_at: str = "2026-03-01 06:00:00") -> Da
         F.struct(F.lit(0).alias("hub_ord"), "seq", "pos").alias("ord"),
         (F.col("seq") * (1 << 20) + F.col("pos")).alias("seq"),
     )
+
+
+# --------------------------------------------------------------------------
+# KTC pages are JSON-first; a page without usable embedded JSON falls
+# back to HTML cards (anchors to /promotion/ pages or promotion/card divs, in
+# document order; duplicates are left to the first-seen dedup).
+# A zero-width look-ahead capture yields every card start, nested ones included
+# (a selector returns an enclosing promotion div and the cards inside it).
+KTC_CARD_RE = (r'(?s)(?=(<a\s[^>]*href="[^"]*/promotion/[^"]*"[^>]*>.*?</a>'
+               r'|<div\s[^>]*class="[^"]*(?:promotion|card-item|PromoCard)[^"]*"[^>]*>.*?</div>))')
+KTC_BASE = "https://www.ktc.co.th"
+
+
+def has_next_data(html: Column) -> Column:
+    """Embedded JSON present, parseable and truthy."""
+    v = F.try_parse_json(F.nullif(F.regexp_extract(html, NEXT_DATA_RE, 1), F.lit("")))
+    return _truthy(v).isNotNull()
+
+
+def ktc_html_cards(pages: DataFrame) -> DataFrame:
+    """Cards of pages without embedded JSON -> promotion rows (title = first
+    h2/h3/h4/p text, link from the card or its first link, merchant = title)."""
+    from promospark.functions.checksum import checksum
+    from promospark.functions.text import normalize_text
+    from promospark.functions.urls import last_segment
+    from promospark.operators.tiles import unescape
+
+    cards = (pages.filter(~has_next_data(F.col("html")))
+             .select("seq", F.posexplode(F.regexp_extract_all("html", F.lit(KTC_CARD_RE), 1))
+                     .alias("pos", "card")))
+    card = F.col("card")
+    link = F.when(card.startswith("<a"), F.regexp_extract(card, r'^<a\s[^>]*href="([^"]*)"', 1)) \
+        .otherwise(F.regexp_extract(card, r'<a\s[^>]*href="([^"]*)"', 1))
+    heading = F.regexp_extract(card, r"(?s)<(h2|h3|h4|p)(?:\s[^>]*)?>(.*?)</\1>", 2)
+    title = normalize_text(unescape(F.regexp_replace(heading, "<[^>]*>", "")))
+    img = F.regexp_extract(card, r"<img\s[^>]*>", 0)
+    src = F.coalesce(F.nullif(F.regexp_extract(img, r'\ssrc="([^"]*)"', 1), F.lit("")),
+                     F.nullif(F.regexp_extract(img, r'\sdata-src="([^"]*)"', 1), F.lit("")))
+    image = F.when(src.startswith("/"), F.concat(F.lit(KTC_BASE), src)).otherwise(src)
+    rows = cards.select(
+        "seq", "pos", link.alias("link"), title.alias("title"), image.alias("image_url"))
+    rows = rows.filter(F.col("title") != "")
+    source_id = F.when(F.col("link") != "", last_segment(F.col("link"))) \
+        .otherwise(F.substring("title", 1, 50))
+    out = rows.select(
+        F.lit("ktc").alias("bank"), source_id.alias("source_id"),
+        F.when(F.col("link").startswith("http"), F.col("link"))
+        .otherwise(F.concat(F.lit(KTC_BASE), F.col("link"))).alias("source_url"),
+        "title", F.lit("").alias("description"), "image_url",
+        F.array().cast("array<string>").alias("card_types"), F.lit(None).cast("string").alias("category"),
+        F.col("title").alias("merchant_name"), F.lit(None).cast("string").alias("discount_type"),
+        F.lit(None).cast("string").alias("discount_value"), F.lit(None).cast("double").alias("minimum_spend"),
+        F.lit(None).cast("date").alias("start_date"), F.lit(None).cast("date").alias("end_date"),
+        F.lit(None).cast("string").alias("terms_and_conditions"),
+        F.lit('{"html_source": true}').alias("raw_data"),
+        F.struct(F.lit(0).alias("hub_ord"), "seq", "pos").alias("ord"))
+    return out.withColumn("checksum", checksum()) \
+        .withColumn("id", F.sha2(F.concat_ws("/", F.col("bank"), F.col("source_id")), 256))
+
+
+def ktc_page_promotions(pages: DataFrame) -> DataFrame:
+    """JSON items for pages with embedded JSON, HTML cards for the others,
+    concatenated (C1) with their page/tile order kept for the dedup."""
+    from promospark.operators.extract import PROMOTION_COLUMNS, normalize_tiles
+    with_json = pages.filter(has_next_data(F.col("html"))).select(
+        F.lit("ktc").alias("bank"), "seq", F.col("html").alias("payload"))
+    json_rows = normalize_tiles(item_fields(explode_items(with_json)))
+    cols = [c for c in PROMOTION_COLUMNS if c != "scraped_at"] + ["ord"]
+    return json_rows.select(*cols).unionByName(ktc_html_cards(pages).select(*cols))
