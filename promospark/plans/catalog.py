@@ -649,3 +649,16 @@ def q_low_count_runs(spark, sf_dir):
     """Low-count alert: successful runs that found fewer than three promotions."""
     return runs(spark, sf_dir).filter((F.col("status") == "success") & (F.col("promotions_found") < 3)) \
         .select("id", "bank", "promotions_found")
+
+
+@register("ktc_pages", O.with_payload_promos(
+    "SELECT bank, source_id, source_url, title, merchant_name, checksum FROM promos_ck WHERE bank = 'ktc'"))
+def q_ktc_pages(spark, sf_dir):
+    """KTC pages (the captured KTC payload pages plus every ``pages`` row
+    read as a KTC page) decided per page: embedded JSON items, else HTML cards.
+    The ``pages`` rows carry no embedded JSON and no promotion cards, so they
+    contribute nothing; the JSON pages yield their items."""
+    docs = load_payloads(spark, sf_dir).filter(F.col("bank") == "ktc").select("seq", F.col("payload").alias("html"))
+    pages = read_table(spark, sf_dir, "pages").select((F.col("page_id") + F.lit(1 << 40)).alias("seq"), "html")
+    rows = J.ktc_page_promotions(docs.unionByName(pages))
+    return rows.select("bank", "source_id", "source_url", "title", "merchant_name", "checksum")
