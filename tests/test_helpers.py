@@ -64,3 +64,17 @@ def test_report_sink(spark):
     assert rows["uob"] == ("2", "1", "50.0%") and rows["unknown"] == ("1", "1", "100.0%")
     assert rows["ALL"] == ("3", "2", "66.7%")
     assert os.path.isdir(paths["samples"])
+
+
+def test_epoch_dates_ignore_session_time_zone(spark):
+    import datetime as dt
+    from promospark.functions.dates import epoch_millis_date
+    df = spark.createDataFrame([(1704412800000.0,), (1704499199999.0,)], "ms DOUBLE")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("UTC", "Asia/Bangkok", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            got = [r[0] for r in df.select(epoch_millis_date(df.ms)).collect()]
+            assert got == [dt.date(2024, 1, 5), dt.date(2024, 1, 5)], tz
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
