@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from promospark.llm import oracle
+from promospark.llm.bpe_automaton import encode_digests
 from promospark.llm.common import read_table, tokenizer_path
 from promospark.llm.packing import pack
 from promospark.llm.quality import quality_report
@@ -27,10 +28,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(read_table(spark, sf_dir, "documents"))
 
 
+def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_bpe_automaton": op6_bpe_automaton,
 }
 
 ORACLE_SQL: dict[str, str] = {
