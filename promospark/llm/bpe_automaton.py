@@ -9,13 +9,14 @@ it copy those of ``a``. Tables hold these copies as default rows: ``right`` name
 the state copied from, ``left`` the arc copied from, ``born`` when, and
 ``banned`` the pairs that a gadget has taken away and when.
 
-Each word has one path of valid arcs that spells it. A pass from left to right
-keeps, for each place in the word, the one state that can be reached there.
+Each word has one path of valid arcs that spells it, found by transitions from
+its start, the longest arcs first.
 Decoding emits the arcs' labels, their bytes.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import re
@@ -34,7 +35,7 @@ from promospark.llm.common import ship_package, text_or_empty
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Bounds of a worker's memory; work beyond them is done anew, not left out.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 200_000
 WORDS_AT_ONCE = 100_000
 CACHED_ARCS = 1_000_000
 
@@ -79,7 +80,7 @@ class TokenAutomaton:
         self.by_label = {bytes([b]): vocab[c] for c, b in symbols.items() if c in vocab}
         for time, (a, b) in enumerate(merges):
             self._add_gadget(time, vocab[a], vocab[b], vocab[a + b])
-        self.prefixes = {label[:n] for label in self.by_label for n in range(1, len(label) + 1)}
+        self.longest = max(map(len, self.by_label), default=1)
         self.special = special
         self.special_pattern = re.compile("(" + "|".join(
             re.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
@@ -87,7 +88,7 @@ class TokenAutomaton:
         self.stand_ins = disputed_characters()
         self.disputed = frozenset(map(chr, self.stand_ins))
         self.paths = _Paths(self)
-        self.id_texts = [str(i) for i in range(size)]
+        self.first_chunks, self.later_chunks = _Chunks(self, ""), _Chunks(self, " ")
 
     def _add_gadget(self, time: int, a: int, b: int, merged: int) -> None:
         if not self._follows(a, b):
@@ -123,25 +124,33 @@ class TokenAutomaton:
         return known
 
     def path(self, word: bytes) -> tuple[int, ...]:
-        """The tokens on the one valid path that spells ``word``."""
-        n = len(word)
-        reached, came_from = [-1] * (n + 1), [0] * (n + 1)
-        prefixes, by_label = self.prefixes, self.by_label
-        for i in range(n):
-            state = reached[i]
-            for j in range(i + 1, n + 1):
-                part = word[i:j]
-                if part not in prefixes:
-                    break
-                if reached[j] < 0:
-                    token = by_label.get(part)
-                    if token is not None and (i == 0 or (state >= 0 and self.arc(state, token))):
-                        reached[j], came_from[j] = token, i
-        out = []
-        while n:
-            out.append(reached[n])
-            n = came_from[n]
-        return tuple(reversed(out))
+        """The tokens on the one valid path that spells ``word``.
+
+        From each place the longest arcs are tried first. The valid path to a place is
+        unique, so a place from which the end can't be reached is left for good.
+        """
+        n, by_label, longest = len(word), self.by_label, self.longest
+        tokens, ends, dead = [], [0], set()
+        j = min(n, longest)  # the next end to try from the last place
+        while ends[-1] < n:
+            i = ends[-1]
+            while j > i:
+                if j not in dead:
+                    token = by_label.get(word[i:j])
+                    if token is not None and (not tokens or self.arc(tokens[-1], token)):
+                        break
+                j -= 1
+            if j > i:
+                tokens.append(token)
+                ends.append(j)
+                j = min(n, j + longest)
+            else:
+                if not tokens:
+                    raise ValueError("no path: a byte is missing from the vocabulary")
+                dead.add(ends.pop())
+                tokens.pop()
+                j = i - 1
+        return tuple(tokens)
 
     def _pieces(self, text: str) -> Iterator[str]:
         return (p for p in self.special_pattern.split(text) if p) if self.special_pattern else iter([text] if text else [])
@@ -171,20 +180,75 @@ class TokenAutomaton:
     def decode(self, ids: list[int]) -> str:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
+    def emitted(self, ids: tuple[int, ...] | list[int]) -> tuple[str, int, bytes]:
+        """Ids as text, their number, and the labels that they emit."""
+        return ",".join(map(str, ids)), len(ids), self.decode_bytes(ids)
+
+    def _emitted_parts(self, text: str) -> Iterator[list[tuple[str, int, bytes]]]:
+        if self._plain(text):
+            try:
+                yield self._by_chunks(text)
+                return
+            except _NotPlain:
+                pass
+        for ids in self.encode_parts(text):
+            if ids:
+                yield [self.emitted(ids)]
+
+    def _plain(self, text: str) -> bool:
+        return bool(text) and len(text) < 8 * WORDS_AT_ONCE and not any(s in text for s in self.special) and (
+            text.isascii() or self.disputed.isdisjoint(text))
+
+    def _by_chunks(self, text: str) -> list[tuple[str, int, bytes]]:
+        """Lines of words with one space between them need no pattern: a word's
+        paths do not depend on its neighbours, and a line end is a word."""
+        out: list[tuple[str, int, bytes]] = []
+        for k, line in enumerate(text.split("\n")):
+            first, *rest = line.split(" ")
+            if k:
+                out.append(self.later_chunks.line_end)
+            out.append(self.first_chunks[first])
+            out += map(self.later_chunks.__getitem__, rest)
+        return out
+
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids, SHA-256 of what they decode to."""
-        import codecs
         n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
         decoder = codecs.getincrementaldecoder("utf-8")("replace")
-        for ids in self.encode_parts(text):
-            if ids:
-                ids_hash.update(((("," if n else "")) + ",".join(map(self.id_texts.__getitem__, ids))).encode())
-                n += len(ids)
-                text_hash.update(decoder.decode(self.decode_bytes(ids)).encode())
+        for parts in self._emitted_parts(text):
+            ids, counts, labels = zip(*parts)
+            ids_hash.update((("," if n else "") + ",".join(ids)).encode())
+            n += sum(counts)
+            text_hash.update(decoder.decode(b"".join(labels)).encode())
         text_hash.update(decoder.decode(b"", True).encode())
         return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
 
+class _NotPlain(Exception):
+    """White space that the pattern has to see in its context."""
+
+
+class _Chunks(dict):
+    """What the chunks between spaces emit, behind ``lead``."""
+
+    def __init__(self, automaton: TokenAutomaton, lead: str):
+        super().__init__()
+        self.automaton, self.lead = automaton, lead
+        self.space = regex.compile(r"\s")
+        self.line_end = automaton.emitted(automaton.path(b"\n"))
+
+    def __missing__(self, chunk: str) -> tuple[str, int, bytes]:
+        if not chunk or self.space.search(chunk):
+            raise _NotPlain
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        a = self.automaton
+        found = a.emitted([i for word in a.words.findall(self.lead + chunk) for i in a.path(word.encode())])
+        if len(chunk) <= 64:
+            self[chunk] = found
+        return found
+
+
 class _Paths(dict):
     """Paths of the words met so far."""
 
