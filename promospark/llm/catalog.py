@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from promospark.llm import oracle
 from promospark.llm.bpe_automaton import encode_digests
 from promospark.llm.common import read_table, tokenizer_path
+from promospark.llm.ngram_join import similarity_components
 from promospark.llm.packing import pack
 from promospark.llm.quality import quality_report
 from promospark.llm.token_counts import token_counts
@@ -32,11 +33,16 @@ def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_components(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_bpe_automaton": op6_bpe_automaton,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE_SQL: dict[str, str] = {

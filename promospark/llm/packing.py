@@ -33,27 +33,59 @@ def piece_lengths(n: int, max_length: int) -> list[int]:
     return [max_length] * (n // max_length) + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
 
 
+class ChunkIds(dict):
+    """Ids, as little-endian bytes, of the chunks between spaces and line ends.
+
+    The tokenizer's words never hold white space and its normaliser does not look
+    past it, so a text's ids are its chunks' ids in order. Chunks met before are
+    not encoded again; the bound clears the store and leaves nothing out.
+    """
+
+    def __init__(self, path: str, bound: int = 300_000):
+        super().__init__()
+        self.tokenizer, self.bound = load_tokenizer(path), bound
+
+    def add(self, chunks: set[str]) -> None:
+        missing = [c for c in chunks if c not in self]
+        if len(self) + len(missing) > self.bound:
+            self.clear()
+            missing = list(chunks)
+        for group in groups_by_size(missing):
+            for chunk, encoding in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False)):
+                self[chunk] = np.array(encoding.ids, dtype="<u4").tobytes()
+
+    def of(self, chunks: list[str]) -> bytes:
+        return b"".join(map(self.__getitem__, chunks))
+
+
+def text_chunks(text: str) -> list[str]:
+    return text.replace("\n", " ").split(" ")
+
+
 def _packer(path: str, max_length: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load_tokenizer(path)
+        store = ChunkIds(path)
+        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             doc_ids, done = batch.column("doc_id").to_pylist(), 0
             for group in groups_by_size(batch.column("body").to_pylist()):
                 rows: list[tuple] = []
-                for encoding in tokenizer.encode_batch_fast(group, add_special_tokens=False):
-                    ids = np.array([*encoding.ids, end_id], dtype="<u4")
-                    start = 0
-                    for length in piece_lengths(len(ids), max_length):
-                        piece = ids[start:start + length]
-                        row = (doc_ids[done], start, length, zlib.crc32(piece.tobytes()), len(ids))
-                        rows.append((*row, piece) if with_ids else row)
+                chunks = [text_chunks(text) for text in group]
+                store.add(set().union(*chunks))
+                for own in chunks:
+                    ids = store.of(own) + end
+                    n, start = len(ids) // 4, 0
+                    for length in piece_lengths(n, max_length):
+                        piece = ids[4 * start:4 * (start + length)]
+                        row = (doc_ids[done], start, length, zlib.crc32(piece), n)
+                        rows.append((*row, np.frombuffer(piece, "<i4")) if with_ids else row)
                         start += length
                     done += 1
                 columns = list(zip(*rows))
                 arrays = [pa.array(c, pa.int64()) for c in columns[:5]]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 if with_ids:
-                    arrays.append(pa.array([p.astype("<i4") for p in columns[5]], pa.list_(pa.int32())))
+                    arrays.append(pa.array(columns[5], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
     return run
