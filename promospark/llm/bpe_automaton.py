@@ -29,13 +29,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promospark.llm.common import ship_package, text_or_empty
+from promospark.llm.common import Remembered, ship_package, text_or_empty
 
 #: The pattern that cuts text into words before the merges (fixed value).
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Bounds of a worker's memory; work beyond them is done anew, not left out.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 250_000
 WORDS_AT_ONCE = 100_000
 CACHED_ARCS = 1_000_000
 
@@ -129,28 +129,34 @@ class TokenAutomaton:
         From each place the longest arcs are tried first. The valid path to a place is
         unique, so a place from which the end can't be reached is left for good.
         """
-        n, by_label, longest = len(word), self.by_label, self.longest
-        tokens, ends, dead = [], [0], set()
-        j = min(n, longest)  # the next end to try from the last place
-        while ends[-1] < n:
-            i = ends[-1]
+        n, by_label, longest, arcs = len(word), self.by_label.get, self.longest, self.arcs.get
+        tokens, ends, dead, last, i = [], [], set(), -1, 0
+        j = n if n < longest else longest  # the next end to try from place i
+        while True:
             while j > i:
-                if j not in dead:
-                    token = by_label.get(word[i:j])
-                    if token is not None and (not tokens or self.arc(tokens[-1], token)):
+                token = by_label(word[i:j])
+                if token is not None and j not in dead:
+                    if last < 0:
+                        break
+                    valid = arcs((last, token))
+                    if self.arc(last, token) if valid is None else valid:
                         break
                 j -= 1
             if j > i:
                 tokens.append(token)
                 ends.append(j)
-                j = min(n, j + longest)
+                if j == n:
+                    return tuple(tokens)
+                last, i = token, j
+                j = n if n - i < longest else i + longest
+            elif not tokens:
+                if n == 0:
+                    return ()
+                raise ValueError("no path: a byte is missing from the vocabulary")
             else:
-                if not tokens:
-                    raise ValueError("no path: a byte is missing from the vocabulary")
                 dead.add(ends.pop())
                 tokens.pop()
-                j = i - 1
-        return tuple(tokens)
+                last, j, i = (tokens[-1], i - 1, ends[-1]) if tokens else (-1, i - 1, 0)
 
     def _pieces(self, text: str) -> Iterator[str]:
         return (p for p in self.special_pattern.split(text) if p) if self.special_pattern else iter([text] if text else [])
@@ -228,41 +234,31 @@ class _NotPlain(Exception):
     """White space that the pattern has to see in its context."""
 
 
-class _Chunks(dict):
+class _Chunks(Remembered):
     """What the chunks between spaces emit, behind ``lead``."""
 
     def __init__(self, automaton: TokenAutomaton, lead: str):
-        super().__init__()
+        super().__init__(CACHED_WORDS)
         self.automaton, self.lead = automaton, lead
         self.space = regex.compile(r"\s")
         self.line_end = automaton.emitted(automaton.path(b"\n"))
 
-    def __missing__(self, chunk: str) -> tuple[str, int, bytes]:
+    def make(self, chunk: str) -> tuple[str, int, bytes]:
         if not chunk or self.space.search(chunk):
             raise _NotPlain
-        if len(self) >= CACHED_WORDS:
-            self.clear()
         a = self.automaton
-        found = a.emitted([i for word in a.words.findall(self.lead + chunk) for i in a.path(word.encode())])
-        if len(chunk) <= 64:
-            self[chunk] = found
-        return found
+        return a.emitted([i for word in a.words.findall(self.lead + chunk) for i in a.path(word.encode())])
 
 
-class _Paths(dict):
-    """Paths of the words met so far."""
+class _Paths(Remembered):
+    """Paths of the words met lately."""
 
     def __init__(self, automaton: TokenAutomaton):
-        super().__init__()
+        super().__init__(CACHED_WORDS // 4)
         self.automaton = automaton
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        path = self.automaton.path(word.encode())
-        if len(word) <= 64:
-            self[word] = path
-        return path
+    def make(self, word: str) -> tuple[int, ...]:
+        return self.automaton.path(word.encode())
 
 
 _COMPILED: dict[str, TokenAutomaton] = {}

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from promospark.llm import oracle
 from promospark.llm.bpe_automaton import encode_digests
 from promospark.llm.common import read_table, tokenizer_path
+from promospark.llm.nearest import nearest
 from promospark.llm.ngram_join import similarity_components
 from promospark.llm.packing import pack
 from promospark.llm.quality import quality_report
@@ -37,11 +39,16 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(read_table(spark, sf_dir, "documents"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_bpe_automaton": op6_bpe_automaton,
+    "op9_nearest": op9_nearest,
     "op10_ngram_join": op10_ngram_join,
 }
 

@@ -77,3 +77,31 @@ def ascii_lower(col: Column) -> Column:
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
+
+
+class Remembered(dict):
+    """What ``make(key)`` gave for the keys met lately, in two ages of ``bound`` keys each.
+
+    The bound limits memory, not work: a key that has gone is made anew.
+    """
+
+    def __init__(self, bound: int):
+        super().__init__()
+        self.bound, self.old = bound, {}
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.bound:
+            self.old = dict(self)
+            self.clear()
+        if len(key) <= 64:
+            self[key] = value
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self.keep(key, value)
+        return value

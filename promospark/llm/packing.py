@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promospark.llm.common import ship_package, text_or_empty
+from promospark.llm.common import Remembered, ship_package, text_or_empty
 from promospark.llm.token_counts import groups_by_size, load_tokenizer
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -33,26 +33,27 @@ def piece_lengths(n: int, max_length: int) -> list[int]:
     return [max_length] * (n // max_length) + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
 
 
-class ChunkIds(dict):
+class ChunkIds(Remembered):
     """Ids, as little-endian bytes, of the chunks between spaces and line ends.
 
     The tokenizer's words never hold white space and its normaliser does not look
     past it, so a text's ids are its chunks' ids in order. Chunks met before are
-    not encoded again; the bound clears the store and leaves nothing out.
+    not encoded again.
     """
 
-    def __init__(self, path: str, bound: int = 300_000):
-        super().__init__()
-        self.tokenizer, self.bound = load_tokenizer(path), bound
+    def __init__(self, path: str, bound: int = 250_000):
+        super().__init__(bound)
+        self.tokenizer = load_tokenizer(path)
+
+    def make(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def add(self, chunks: set[str]) -> None:
-        missing = [c for c in chunks if c not in self]
-        if len(self) + len(missing) > self.bound:
-            self.clear()
-            missing = list(chunks)
+        """Encode together those that are not known."""
+        missing = [c for c in chunks if c not in self and c not in self.old]
         for group in groups_by_size(missing):
             for chunk, encoding in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False)):
-                self[chunk] = np.array(encoding.ids, dtype="<u4").tobytes()
+                self.keep(chunk, np.array(encoding.ids, dtype="<u4").tobytes())
 
     def of(self, chunks: list[str]) -> bytes:
         return b"".join(map(self.__getitem__, chunks))

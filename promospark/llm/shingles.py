@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from promospark.llm.common import Remembered
+
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -16,20 +18,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """Hashes of the words met so far; ``bound`` limits memory, not work."""
+class WordHashes(Remembered):
+    """Hashes of the words met lately."""
 
-    def __init__(self, bound: int = 400_000):
-        super().__init__()
-        self.bound = bound
+    def __init__(self, bound: int = 300_000):
+        super().__init__(bound)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        found = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = found
-        return found
+    def make(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
 
     def of(self, text: bytes) -> np.ndarray:
         """Of the words of ``text`` with A-Z lower-cased, in order."""
