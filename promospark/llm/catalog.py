@@ -15,6 +15,7 @@ from promospark.llm.ngram_join import similarity_components
 from promospark.llm.packing import pack
 from promospark.llm.quality import quality_report
 from promospark.llm.token_counts import token_counts
+from promospark.llm.wrappers import main_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +40,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(read_table(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_bpe_automaton": op6_bpe_automaton,
+    "op8_html_text": op8_html_text,
     "op9_nearest": op9_nearest,
     "op10_ngram_join": op10_ngram_join,
 }
