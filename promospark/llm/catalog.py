@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from promospark.llm import oracle
 from promospark.llm.bpe_automaton import encode_digests
+from promospark.llm.chat import formatted_chats
 from promospark.llm.common import read_table, tokenizer_path
+from promospark.llm.language import identify
 from promospark.llm.nearest import nearest
 from promospark.llm.ngram_join import similarity_components
 from promospark.llm.packing import pack
@@ -24,6 +26,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -40,6 +46,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(read_table(spark, sf_dir, "documents"))
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formatted_chats(read_table(spark, sf_dir, "conversations"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(read_table(spark, sf_dir, "pages"))
 
@@ -50,14 +60,17 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
+    "op3_language_id": op3_language_id,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_bpe_automaton": op6_bpe_automaton,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_html_text": op8_html_text,
     "op9_nearest": op9_nearest,
     "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_chat_formatting": oracle.OP7_CHAT_FORMATTING,
     "op5_quality_rules": oracle.OP5_QUALITY_RULES,
 }

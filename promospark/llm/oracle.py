@@ -57,3 +57,25 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
     AND NOT (kept_words < 50 AND 100 * kept_words < 50 * n_words) AS kept
 FROM m
 """
+
+OP7_CHAT_FORMATTING = r"""
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, role, text FROM conversations
+), p AS (
+  SELECT *, row_number() OVER w AS place, list({'role': role, 'text': text}) OVER w AS so_far
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), hashed AS (
+  SELECT * EXCLUDE (so_far), md5(to_json(so_far)::VARCHAR) AS h, max(place) OVER (PARTITION BY conv_id) AS n_turns FROM p
+), whole AS (
+  SELECT n_turns, h, min(conv_id) AS conv_id FROM hashed WHERE place = n_turns GROUP BY n_turns, h
+), prefix AS (
+  SELECT DISTINCT place, h FROM hashed WHERE place < n_turns
+), kept AS (
+  SELECT conv_id FROM whole w WHERE NOT EXISTS (SELECT 1 FROM prefix x WHERE x.place = w.n_turns AND x.h = w.h)
+)
+SELECT conv_id, place::BIGINT AS place, n_turns::BIGINT AS n_turns, role,
+  '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS rendered,
+  coalesce(role, '') = 'assistant' AS is_target
+FROM hashed WHERE conv_id IN (SELECT conv_id FROM kept)
+"""
