@@ -35,7 +35,7 @@ from promospark.llm.common import Remembered, ship_package, text_or_empty
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Bounds of a worker's memory; work beyond them is done anew, not left out.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 400_000
 WORDS_AT_ONCE = 100_000
 CACHED_ARCS = 1_000_000
 

@@ -16,12 +16,17 @@ from promospark.llm.nearest import nearest
 from promospark.llm.ngram_join import similarity_components
 from promospark.llm.packing import pack
 from promospark.llm.quality import quality_report
+from promospark.llm.suffix_dedup import removal_report
 from promospark.llm.token_counts import token_counts
 from promospark.llm.wrappers import main_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_report(read_table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -59,6 +64,7 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_language_id": op3_language_id,
     "op4_packing": op4_packing,

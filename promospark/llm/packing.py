@@ -14,6 +14,7 @@ rows are packed once each; an empty table gives no piece.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,19 +42,19 @@ class ChunkIds(Remembered):
     not encoded again.
     """
 
-    def __init__(self, path: str, bound: int = 250_000):
+    def __init__(self, path: str, bound: int = 600_000):
         super().__init__(bound)
         self.tokenizer = load_tokenizer(path)
 
     def make(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def add(self, chunks: set[str]) -> None:
         """Encode together those that are not known."""
         missing = [c for c in chunks if c not in self and c not in self.old]
         for group in groups_by_size(missing):
             for chunk, encoding in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False)):
-                self.keep(chunk, np.array(encoding.ids, dtype="<u4").tobytes())
+                self.keep(chunk, array("I", encoding.ids).tobytes())
 
     def of(self, chunks: list[str]) -> bytes:
         return b"".join(map(self.__getitem__, chunks))
