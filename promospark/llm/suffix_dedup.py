@@ -10,7 +10,8 @@ class. The round in which neighbours part gives their common prefix; classes lef
 Only suffixes that can repeat take part, and each shard's share of them is routed to
 others that may equal them. Every ``length`` bytes hold a minimizer, the least hash among
 its grams; equal strings hold equal ones. Runs of suffixes with one minimizer travel as one
-context under its hash, and only if a second document has the same minimizer.
+context to the part that its hash names, and only if a second document has the same
+minimizer. Whole copies of earlier documents are found by digest and need no merging.
 
 Documents are told apart by id and order by it, null first; rows of equal id don't remove
 from each other. Null text counts as empty. Matches never cross documents. Repeated rows
@@ -27,11 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from promospark.llm.common import ship_package, text_or_empty
+from promospark.llm.common import cut, ship_package, text_or_empty
 from promospark.llm.shingles import mixed
 
 #: Bytes of contexts merged together, up to a minimizer's last context.
-MERGED_AT_ONCE = 16 << 20
+MERGED_AT_ONCE = 4 << 20
+#: Bytes of text for each part that contexts are dealt into by their minimizers.
+TEXT_PER_PART = 1 << 15
+SHARDS = 4
 LEAST_ID = -(1 << 63)
 BASE = 0x9E3779B97F4A7C15
 LONG = pa.int64()
@@ -76,6 +80,11 @@ def minimizers(data: np.ndarray, length: int) -> np.ndarray:
     return _sliding(gram_hashes(data, width), length - width + 1, np.minimum)
 
 
+def shown(hashes: np.ndarray) -> np.ndarray:
+    """The high 48 bits, which travel; equal ones of different grams only cost a comparison."""
+    return (hashes >> np.uint64(16)).astype(np.int64)
+
+
 def runs_of(values: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of equal values, cut at ``longest``."""
     n = len(values)
@@ -97,8 +106,9 @@ def _minimizer_rows(length: int):
             for order, body in zip(batch.column("ord").to_pylist(), batch.column("body").to_pylist()):
                 own = minimizers(_bytes_of(body), length)
                 if len(own):
-                    own = np.unique(own[np.concatenate([[True], own[1:] != own[:-1]])])
-                    hashes.append(own.view(np.int64))
+                    own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+                    own = np.unique(shown(own))
+                    hashes.append(own)
                     ids.append(np.full(len(own), order, np.int64))
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(ids))],
@@ -106,29 +116,29 @@ def _minimizer_rows(length: int):
     return run
 
 
-def _context_rows(length: int):
+def _context_rows(length: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longest = length - gram_width(length) + 1
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("ord", "body_hash", "body")]
+            columns = [batch.column(c).to_pylist() for c in ("ord", "sub", "body")]
             lists = batch.column("hashes")
             flat, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             out: list[list] = [[], [], [], [], []]
-            for i, (order, body_hash, body) in enumerate(zip(*columns)):
+            for i, (order, sub, body) in enumerate(zip(*columns)):
                 own = minimizers(_bytes_of(body), length)
                 if not len(own):
                     continue
                 starts, ends = runs_of(own, longest)
-                keys = own[starts].view(np.int64)
+                keys = shown(own[starts])
                 shared = np.isin(keys, flat[bounds[i]:bounds[i + 1]])
                 starts, ends = starts[shared], ends[shared]
-                out[0] += keys[shared].tolist()
+                out[0] += (keys[shared] % parts).tolist()
                 out[1] += [order] * len(starts)
-                out[2] += [body_hash] * len(starts)
+                out[2] += [sub] * len(starts)
                 out[3] += starts.tolist()
                 out[4] += [body[a:b + length - 1] for a, b in zip(starts.tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, LONG) for c in out[:4]), pa.array(out[4], pa.binary())],
-                                             names=["hash", "ord", "body_hash", "start", "context"])
+                                             names=["part", "ord", "sub", "start", "context"])
     return run
 
 
@@ -184,18 +194,16 @@ def _symbols(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray
     return np.stack(columns, 1), np.array(added), of, place
 
 
-def earliest_documents(contexts: list[bytes], first_docs: np.ndarray, shard_of: np.ndarray, groups: np.ndarray,
+def earliest_documents(contexts: list[bytes], first_docs: np.ndarray, shard_of: np.ndarray,
                        length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each suffix of the contexts: its context, its place there, and the least document whose
-    context of the same group holds the same ``length`` bytes."""
+    contexts hold the same ``length`` bytes."""
     symbols, added, of, place = _symbols(contexts, length)
-    symbols = np.concatenate([groups[of][:, None], symbols], 1)
-    added = np.concatenate([[0], added])
     rows = np.arange(len(of))
     shards = []
     for shard in np.unique(shard_of):
         own = rows[shard_of[of] == shard]
-        shards.append(own[np.lexsort(symbols[own, 1::-1].T)])  # by group and first symbol
+        shards.append(own[np.argsort(symbols[own, 0], kind="stable")])
     order, common = merge_shards(symbols, added, shards)
     interval = np.cumsum(common < length) - 1
     docs = first_docs[of[order]]
@@ -207,83 +215,102 @@ def earliest_documents(contexts: list[bytes], first_docs: np.ndarray, shard_of:
 
 
 def _resolve(rows: list[tuple], length: int) -> Iterator[tuple[int, int, int, int]]:
-    """Ranges of bytes of (ord, body_hash, start, context) rows that start in an earlier document."""
-    index: dict[tuple[int, bytes], int] = {}
+    """Ranges of bytes of (ord, sub, start, context) rows that start in an earlier document."""
+    index: dict[bytes, int] = {}
     first: list[int] = []
     which = np.empty(len(rows), np.int64)
-    for i, (key, order, _, _, context) in enumerate(rows):
-        k = which[i] = index.setdefault((key, context), len(index))
+    for i, (order, _, _, context) in enumerate(rows):
+        k = which[i] = index.setdefault(context, len(index))
         if k == len(first):
             first.append(order)
         elif order < first[k]:
             first[k] = order
-    contexts = [c for _, c in index]
-    groups = np.array([k for k, _ in index], np.int64).view(np.uint64)
     first_docs = np.array(first, np.int64)
-    of, place, least = earliest_documents(contexts, first_docs, first_docs % 4, groups, length)
-    begin = np.searchsorted(of, np.arange(len(contexts) + 1))
-    for i, (_, order, body_hash, start, _) in enumerate(rows):
+    of, _, least = earliest_documents(list(index), first_docs, first_docs % SHARDS, length)
+    begin = np.searchsorted(of, np.arange(len(index) + 1))
+    for i, (order, sub, start, _) in enumerate(rows):
         c = which[i]
         hit = least[begin[c]:begin[c + 1]] < order
         if hit.all():
-            yield order, body_hash, start, start + len(hit) + length - 1
+            yield order, sub, start, start + len(hit) + length - 1
         elif hit.any():
             steps = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
             for a, b in zip(np.flatnonzero(steps == 1).tolist(), np.flatnonzero(steps == -1).tolist()):
-                yield order, body_hash, start + a, start + b + length - 1
+                yield order, sub, start + a, start + b + length - 1
 
 
 def _resolver(length: int):
-    """Contexts arrive sorted by hash; whole hashes are merged together."""
+    """Contexts arrive sorted by part; whole parts are merged together."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
-        size = 0
+        size, last = 0, None
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             found = list(zip(*_resolve(rows, length))) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, LONG) for c in found],
-                                              names=["ord", "body_hash", "start", "stop"])
+            return pa.RecordBatch.from_arrays([pa.array(c, LONG) for c in found], names=["ord", "sub", "start", "stop"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("hash", "ord", "body_hash", "start", "context"))):
-                if size > MERGED_AT_ONCE and row[0] != waiting[-1][0]:
+            for part, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "ord", "sub", "start", "context"))):
+                if size > MERGED_AT_ONCE and part != last:
                     yield out(waiting)
                     waiting, size = [], 0
-                waiting.append(row)
-                size += len(row[4])
+                waiting.append(tuple(row))
+                size += len(row[3])
+                last = part
         if waiting:
             yield out(waiting)
     return run
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _rows(docs: DataFrame, row, id_col: str, text_col: str) -> tuple[DataFrame, bool, int]:
+    """(ord, sub, row, body), whether ids repeat, and the number of parts; ``sub`` tells texts of one id apart."""
+    order = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID))
+    facts = docs.groupBy(order.alias("ord")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text_col)).alias("size"))
+    most, size = facts.agg(F.max("n"), F.sum("size")).first()
     body = text_or_empty(text_col).cast("binary")
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("ord"),
-                       F.xxhash64(body).alias("body_hash"), body.alias("body"))
+    sub = F.xxhash64(body) if (most or 0) > 1 else F.lit(0).cast("long")
+    return docs.select(order.alias("ord"), sub.alias("sub"), row.alias("row"), body.alias("body")), (most or 0) > 1, 1 + (size or 0) // TEXT_PER_PART
+
 
+def with_earlier_ranges(rows: DataFrame, ids_repeat: bool, parts: int, length: int) -> DataFrame:
+    """``rows`` (ord, sub, row, body) and ``ranges``: the bytes covered by strings of earlier documents.
 
-def earlier_ranges(rows: DataFrame, length: int) -> DataFrame:
-    """(ord, body_hash, ranges): the bytes of rows (ord, body_hash, body) covered by earlier strings."""
+    Both joins with the texts deal them out by ``ord`` with the same columns, so the texts
+    are shuffled once.
+    """
     ship_package(rows.sparkSession)
     found = rows.select("ord", "body").mapInArrow(_minimizer_rows(length), "hash bigint, ord bigint")
     same = Window.partitionBy("hash").orderBy("ord")
     shared = (found.withColumn("before", F.lag("ord").over(same)).withColumn("after", F.lead("ord").over(same))
               .where((F.col("before") < F.col("ord")) | (F.col("after") > F.col("ord"))).select("hash", "ord"))
-    wanted = shared.groupBy("ord").agg(F.collect_list("hash").alias("hashes"))
-    contexts = rows.join(wanted, "ord").select("ord", "body_hash", "body", "hashes").mapInArrow(
-        _context_rows(length), "hash bigint, ord bigint, body_hash bigint, start bigint, context binary")
-    parts = contexts.repartition("hash").sortWithinPartitions("hash")
-    ranges = parts.mapInArrow(_resolver(length), "ord bigint, body_hash bigint, start bigint, stop bigint")
-    return ranges.groupBy("ord", "body_hash").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-
-
-def keep_rest(body: bytes, ranges: list[dict] | None) -> tuple[bytes, int, int]:
+    wanted = shared.groupBy("ord").agg(F.collect_list("hash").alias("hashes")).withColumnRenamed("ord", "w_ord")
+    copies = None
+    if not ids_repeat:  # whole copies of earlier documents go without being merged
+        digests = rows.select("ord", F.octet_length("body").alias("n"), F.sha2("body", 256).alias("digest"))
+        first = digests.groupBy("digest").agg(F.min("ord").alias("first")).withColumnRenamed("digest", "first_digest")
+        copies = cut(digests.join(first, F.col("digest") == F.col("first_digest"))
+                     .where((F.col("ord") > F.col("first")) & (F.col("n") >= length)).select(F.col("ord").alias("c_ord"), "n"))
+        wanted = wanted.join(copies, F.col("w_ord") == F.col("c_ord"), "left_anti")
+    contexts = rows.join(wanted, F.col("ord") == F.col("w_ord")).select("ord", "sub", "row", "body", "hashes").mapInArrow(
+        _context_rows(length, parts), "part bigint, ord bigint, sub bigint, start bigint, context binary")
+    ranges = (contexts.repartition("part").sortWithinPartitions("part")
+              .mapInArrow(_resolver(length), "ord bigint, sub bigint, start bigint, stop bigint"))
+    if copies is not None:
+        ranges = ranges.unionByName(copies.select(F.col("c_ord").alias("ord"), F.lit(0).cast("long").alias("sub"),
+                                                  F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("stop")))
+    lists = ranges.groupBy("ord").agg(F.collect_list(F.struct("sub", "start", "stop")).alias("ranges")).withColumnRenamed(
+        "ord", "r_ord")
+    return rows.join(lists, F.col("ord") == F.col("r_ord"), "left").select("ord", "sub", "row", "body", "ranges")
+
+
+def keep_rest(body: bytes, sub: int, ranges: list[dict] | None) -> tuple[bytes, int, int]:
     """What is left of ``body``, the number of bytes removed, and of maximal removed runs."""
-    if not ranges:
+    own = sorted((r["start"], r["stop"]) for r in ranges or () if r["sub"] == sub)
+    if not own:
         return body, 0, 0
     parts, at, removed, spans = [], 0, 0, 0
     end = -1
-    for start, stop in sorted((r["start"], r["stop"]) for r in ranges):
+    for start, stop in own:
         if start > end:
             spans += 1
         if start > at:
@@ -294,33 +321,31 @@ def keep_rest(body: bytes, ranges: list[dict] | None) -> tuple[bytes, int, int]:
     return b"".join(parts), removed, spans
 
 
+INPUTS = ("ord", "sub", "row", "body", "ranges")
+
+
 def _reporter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for order, body, ranges in zip(*(batch.column(c).to_pylist() for c in ("ord", "body", "ranges"))):
-            rest, removed, spans = keep_rest(body, ranges)
+        for order, sub, _, body, ranges in zip(*(batch.column(c).to_pylist() for c in INPUTS)):
+            rest, removed, spans = keep_rest(body, sub, ranges)
             out.append((None if order == LEAST_ID else order, len(body), removed, spans, hashlib.sha256(rest).hexdigest()))
         columns = list(zip(*out)) or [()] * 5
         yield pa.RecordBatch.from_arrays([*(pa.array(c, LONG) for c in columns[:4]), pa.array(columns[4], pa.string())],
                                          names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _with_ranges(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
-    ranges = earlier_ranges(rows, length).withColumnsRenamed({"ord": "r_ord", "body_hash": "r_hash"})
-    return docs.join(ranges, (F.col("ord") == F.col("r_ord")) & (F.col("body_hash") == F.col("r_hash")), "left")
-
-
 def removal_report(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
-    rows = _rows(docs, id_col, text_col)
-    return _with_ranges(rows, rows, length).select("ord", "body", "ranges").mapInArrow(
+    rows, repeat, parts = _rows(docs, F.lit(True), id_col, text_col)
+    return with_earlier_ranges(rows, repeat, parts, length).mapInArrow(
         _reporter, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def _cleaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [keep_rest(body, ranges)[0].decode("utf-8", "ignore")
-                 for body, ranges in zip(batch.column("body").to_pylist(), batch.column("ranges").to_pylist())]
+        texts = [keep_rest(body, sub, ranges)[0].decode("utf-8", "ignore")
+                 for sub, body, ranges in zip(*(batch.column(c).to_pylist() for c in ("sub", "body", "ranges")))]
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "clean"])
 
 
@@ -330,14 +355,10 @@ def remove_earlier(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
     Bytes of a character that is cut in two go with the cut.
     """
-    rows = _rows(docs, id_col, text_col)
-    body = text_or_empty(text_col).cast("binary")
-    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row"),
-                        F.col(text_col).isNull().alias("was_null"), F.xxhash64(body).alias("body_hash"), body.alias("body"),
-                        F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("ord"))
-    joined = _with_ranges(whole, rows, length).select(
-        F.struct("row", "was_null").alias("row"), "body", "ranges")
-    clean = joined.mapInArrow(_cleaner, f"row {joined.schema['row'].dataType.simpleString()}, clean string")
+    others = F.struct(*[F.col(c) for c in docs.columns if c != text_col])
+    rows, repeat, parts = _rows(docs, F.struct(others.alias("row"), F.col(text_col).isNull().alias("was_null")), id_col, text_col)
+    clean = with_earlier_ranges(rows, repeat, parts, length).mapInArrow(
+        _cleaner, f"row {rows.schema['row'].dataType.simpleString()}, clean string")
     text = F.when(F.col("row.was_null"), F.lit(None)).otherwise(F.col("clean"))
     fields = {c: text if c == text_col else F.col("row")["row"][c] for c in docs.columns}
     if length_col and length_col in docs.columns:
