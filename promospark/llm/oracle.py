@@ -74,8 +74,8 @@ WITH t AS (
 ), kept AS (
   SELECT conv_id FROM whole w WHERE NOT EXISTS (SELECT 1 FROM prefix x WHERE x.place = w.n_turns AND x.h = w.h)
 )
-SELECT conv_id, place::BIGINT AS place, n_turns::BIGINT AS n_turns, role,
+SELECT h.conv_id, place::BIGINT AS place, n_turns::BIGINT AS n_turns, role,
   '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS rendered,
   coalesce(role, '') = 'assistant' AS is_target
-FROM hashed WHERE conv_id IN (SELECT conv_id FROM kept)
+FROM hashed h JOIN kept k ON h.conv_id IS NOT DISTINCT FROM k.conv_id
 """

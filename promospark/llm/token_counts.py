@@ -128,6 +128,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_dir: str | None = N
                         & (F.col("digest") == F.col("chosen_digest")))
               .select("digest", "body"))
     encoded = misses.mapInArrow(_counter(tokenizer_path), "digest binary, n_tokens bigint")
+    encoded = encoded.dropDuplicates(["digest"])  # rows of equal id and text
     (encoded.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")
      .write.mode("append").parquet(cache_dir))
     counts = read_cache(spark, cache_dir, version).withColumnRenamed("digest", "stored_digest")
