@@ -36,8 +36,8 @@ _SHAPES = {
     FMT_DMY_SLASH: r"^\d{1,2}/\d{1,2}/\d{4}$",
     FMT_DMY_DASH: r"^\d{1,2}-\d{1,2}-\d{4}$",
     FMT_YMD: r"^\d{4}-\d{1,2}-\d{1,2}$",
-    FMT_D_MON_Y: r"^\d{1,2} [A-Za-z]{3} \d{4}$",
-    FMT_D_MONTH_Y: r"^\d{1,2} [A-Za-z]+ \d{4}$",
+    FMT_D_MON_Y: r"^\d{1,2}\s+[A-Za-z]{3}\s+\d{4}$",
+    FMT_D_MONTH_Y: r"^\d{1,2}\s+[A-Za-z]+\s+\d{4}$",
     FMT_ISO_T: r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$",
 }
 
@@ -105,6 +105,8 @@ def format_date(part, fmt: str) -> Column:
     ok = p.rlike(_SHAPES[fmt])
     if fmt == FMT_ISO_T:
         return F.when(ok, F.to_date(F.try_to_timestamp(p, F.lit(_SPARK_PATTERNS[FMT_ISO_T]))))
+    if fmt in (FMT_D_MON_Y, FMT_D_MONTH_Y):
+        p = F.regexp_replace(p, r"\s+", " ")
     return F.when(ok, F.try_to_date(p, _SPARK_PATTERNS[fmt]))
 
 

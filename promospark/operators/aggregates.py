@@ -63,13 +63,21 @@ def coverage_report(df: DataFrame) -> DataFrame:
 
 
 def _pct(n, d):
-    """Percent with one decimal, rounded half-to-even like Python's '%.1f'
-    formatting of the ratio (integer arithmetic, so no binary-float ties);
-    a dash for a zero denominator."""
-    t = F.lit(1000) * n.cast("long")
-    q = F.floor(t / d).cast("long")
-    r = t - q * d
-    up = (F.lit(2) * r > d) | ((F.lit(2) * r == d) & (q % 2 == 1))
+    """Percent with one decimal. The double ``100 * n / d`` is rounded by its exact
+    binary value, half to even; a dash for a zero denominator.
+
+    Below 2^20 a double of at least 2^-5 is a whole number of 2^-57; that number is
+    built from two exact parts as a decimal and compared with the middle between
+    the neighbouring tenths. Smaller ratios are below the first middle."""
+    p = F.lit(100.0) * n.cast("double") / F.nullif(d.cast("double"), F.lit(0.0))
+    high = F.floor(p * float(1 << 20))
+    low = F.floor((p * float(1 << 20) - high.cast("double")) * float(1 << 37))
+    exact = high.cast("decimal(20,0)") * F.lit(1 << 37).cast("decimal(12,0)") + low.cast("decimal(20,0)")
+    twice = (exact * F.lit(20).cast("decimal(2,0)")).cast("decimal(36,0)")  # in halves of a tenth
+    unit = F.lit(1 << 57).cast("decimal(18,0)")
+    q = F.floor(twice / (unit * F.lit(2).cast("decimal(1,0)"))).cast("long")
+    middle = ((F.lit(2).cast("long") * q + 1).cast("decimal(12,0)") * unit).cast("decimal(36,0)")
+    up = (twice > middle) | ((twice == middle) & (q % 2 == 1))
     q2 = q + F.when(up, 1).otherwise(0)
     text = F.concat((q2 / 10).cast("long").cast("string"), F.lit("."), (q2 % 10).cast("string"), F.lit("%"))
     return F.when(d == 0, F.lit("—")).otherwise(text)

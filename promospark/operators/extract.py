@@ -8,6 +8,7 @@ evaluated per row, and the whole thing stays in one codegen'd projection.
 
 from __future__ import annotations
 
+import weakref
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -38,12 +39,19 @@ def by_source(fn: Callable[[SourceSpec], Column], source: str = "bank") -> Colum
     return out
 
 
+def unknown_source_error() -> Column:
+    """Fails the job that reads a row of a source without spec; nothing is written then."""
+    return F.raise_error(F.concat(F.lit("Unknown source '"), F.coalesce("bank", F.lit("null")),
+                                  F.lit("'. Available: " + ", ".join(SPECS)))).cast("boolean")
+
+
 def promotion_id(bank: Column, source_id: Column) -> Column:
     """Deterministic surrogate id for a natural key."""
     return F.sha2(F.concat_ws("/", bank, source_id), 256)
 
 
-_RECIPES: dict = {}
+# Keyed by the context object itself, so that a stopped context's entry can't serve another one.
+_RECIPES: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def normalize_tiles(tiles: DataFrame, keep: tuple = ()) -> DataFrame:
@@ -57,11 +65,11 @@ def normalize_tiles(tiles: DataFrame, keep: tuple = ()) -> DataFrame:
     SparkContext (building them costs thousands of JVM calls) and reused.
     """
     sc = tiles.sparkSession.sparkContext
-    key = id(sc._jsc)
-    if key not in _RECIPES:
-        _RECIPES[key] = _build_recipe()
-    steps, final = _RECIPES[key]
-    df = tiles
+    if sc not in _RECIPES:
+        _RECIPES[sc] = (*_build_recipe(), ck.checksum())
+    steps, final, checksum = _RECIPES[sc]
+    # The whole captured item, where the feed has it, is kept as raw_data.
+    df = tiles if "raw_item" in tiles.columns else tiles.withColumn("raw_item", F.lit(None).cast("string"))
     for kind, arg in steps:
         if kind == "cols":
             df = df.withColumns(arg)
@@ -69,14 +77,7 @@ def normalize_tiles(tiles: DataFrame, keep: tuple = ()) -> DataFrame:
             df = df.filter(arg)
         else:
             df = df.drop(*arg)
-    return df.select(*final, *keep).withColumn("checksum", final_checksum(sc))
-
-
-def final_checksum(sc):
-    key = ("ck", id(sc._jsc))
-    if key not in _RECIPES:
-        _RECIPES[key] = ck.checksum()
-    return _RECIPES[key]
+    return df.select(*final, *keep).withColumn("checksum", checksum)
 
 
 def _build_recipe():
@@ -107,6 +108,8 @@ def _build_recipe():
 
     def category(spec):
         raw = F.nullif(F.col("category_raw"), F.lit(""))
+        if spec.hub_category_mode == "never":
+            return F.lit(None).cast("string")
         if spec.hub_category_mode == "none":
             return raw
         hub_map = F.create_map(*[x for kv in spec.hub_categories.items() for x in map(F.lit, kv)])
@@ -167,12 +170,12 @@ def _build_recipe():
 
     def raw_data(spec):
         if spec.kind == "json":
-            return F.to_json(F.struct(F.col("item_id").alias("id"), F.col("title_raw").alias("title")))
+            return F.coalesce("raw_item", F.to_json(F.struct(F.col("item_id").alias("id"), F.col("title_raw").alias("title"))))
         return F.to_json(F.struct(F.lit(True).alias("html_source"), F.col("title").alias("title")))
 
     steps = [("cols", {"title": title}),
              ("cols", {"description": by_source(description), "href_abs": by_source(href_abs)}),
-             ("filter", by_source(valid)),
+             ("filter", by_source(valid).otherwise(unknown_source_error())),
              ("cols", {"source_id": by_source(source_id), "source_url": by_source(source_url),
                        "_disc": by_source(discount)})]
     steps += D.split_steps(by_source(date_text), by_source(parts))

@@ -39,7 +39,6 @@ ALIASES = {
         "start": ["startDate", "start_date"], "end": ["endDate", "end_date"], "slug": ["slug", "urlSlug"],
     },
 }
-_FALSY_TEXT = ["", "0", "0.0", "[]", "{}", "false"]
 
 
 def _path(key: str) -> str:
@@ -47,9 +46,16 @@ def _path(key: str) -> str:
 
 
 def _truthy(v: Column) -> Column:
-    """v (variant) if truthy in the Python sense, else null."""
-    s = F.try_variant_get(v, "$", "string")
-    return F.when(s.isNotNull() & ~s.isin(*_FALSY_TEXT), v)
+    """v (variant) if it isn't null, false, zero, or an empty string, list or object. The type
+    decides, so the strings "0", "false" and "[]" count as given."""
+    kind = F.schema_of_variant(v)
+    text = F.try_variant_get(v, "$", "string")
+    empty = (F.when(kind == "STRING", text == "")
+             .when(kind == "BOOLEAN", text == "false")
+             .when(kind.startswith("ARRAY"), text == "[]")
+             .when(kind.startswith("OBJECT"), text == "{}")
+             .otherwise(F.try_variant_get(v, "$", "double") == 0.0))
+    return F.when(text.isNotNull() & ~F.coalesce(empty, F.lit(False)), v)
 
 
 def first_truthy(item: Column, keys: list[str]) -> Column:
@@ -198,6 +204,7 @@ def item_fields(items: DataFrame, scraped_at: str = "2026-03-01 06:00:00") -> Da
         per_source(slug).alias("slug"),
         F.lit(scraped_at).cast("timestamp_ntz").alias("scraped_at"),
         F.lit(None).cast("string").alias("page_url"),
+        F.to_json("item").alias("raw_item"),
         F.struct(F.lit(0).alias("hub_ord"), "seq", "pos").alias("ord"),
         (F.col("seq") * (1 << 20) + F.col("pos")).alias("seq"),
     )

@@ -380,12 +380,7 @@ def q_card_type_facet(spark, sf_dir):
 
 
 def _pct_sql(n, d):
-    t = f"(1000 * CAST({n} AS BIGINT))"
-    q = f"({t} // {d})"
-    r = f"({t} - {q} * {d})"
-    q2 = f"({q} + CASE WHEN 2 * {r} > {d} OR (2 * {r} = {d} AND {q} % 2 = 1) THEN 1 ELSE 0 END)"
-    return (f"CASE WHEN {d} = 0 THEN '—' ELSE CAST({q2} // 10 AS VARCHAR) || '.' || "
-            f"CAST({q2} % 10 AS VARCHAR) || '%' END")
+    return f"CASE WHEN {d} = 0 THEN '—' ELSE printf('%.1f', CAST(100 * {n} AS DOUBLE) / {d}) || '%' END"
 
 
 _COVERAGE_CTE = (

@@ -34,10 +34,11 @@ class RunResult:
 
 def run_ingest(state: DataFrame, snapshot: DataFrame, now: str,
                failed: DataFrame | None = None, dry_run: bool = False,
-               deduplicated: bool = False) -> RunResult:
+               deduplicated: bool = False, deactivate: bool = True) -> RunResult:
     """One ingest run over all sources present in ``snapshot`` (normalised rows
     with ``ord``/``seq``). ``failed`` lists (bank, error_message) of sources whose
-    fetch failed: their rows are dropped and they are audited as failed."""
+    fetch failed: their rows are dropped and they are audited as failed. Without
+    ``deactivate`` the snapshot may be a part of a run, and nothing is soft-deleted."""
     if failed is not None:
         snapshot = snapshot.join(failed.select("bank"), "bank", "left_anti")
     incoming = snapshot if deduplicated else first_seen(snapshot)
@@ -47,6 +48,8 @@ def run_ingest(state: DataFrame, snapshot: DataFrame, now: str,
         counts = counts.select("bank", F.lit(0).cast("long").alias("promotions_new"),
                                F.lit(0).cast("long").alias("promotions_updated"), "promotions_found")
         return RunResult(state, plan, audit_rows(counts, failed, now))
+    if not deactivate:
+        return RunResult(apply_upsert(state, plan, now), plan, audit_rows(counts, failed, now))
     refreshed = counts.filter(F.col("promotions_found") > 0).select("bank")
     next_state = apply_upsert(state, plan, now, refreshed_banks=refreshed)
     return RunResult(next_state, plan, audit_rows(counts, failed, now))
@@ -88,7 +91,7 @@ def feed_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``snap``) and read back, which cuts the long extraction lineage for every
     plan built on top of it."""
     store = TableStore(spark)
-    table = "feed_snapshots_" + input_fingerprint(sf_dir, ["lineitem", "part"])
+    table = "feed_snapshots_" + input_fingerprint(spark, sf_dir, ["lineitem", "part"])
     if store.latest(table) is None:
         store.commit(table, extract_feed_snapshots(spark, sf_dir), batch_id="extract",
                      partition_by=["snap"])
@@ -113,7 +116,7 @@ def feed_states(spark: SparkSession, sf_dir: str):
     # One dedup aggregation for both snapshots (key includes ``snap``).
     deduped = first_seen(snaps, key=("snap", "bank", "source_id"))
     store = TableStore(spark)
-    table = _promotions_table_name(sf_dir)
+    table = _promotions_table_name(spark, sf_dir)
     if not store.has_batch(table, "run-1"):
         store.commit(table, initial_state(deduped.filter(F.col("snap") == 1).drop("snap"), NOW_1),
                      batch_id="run-1", partition_by=["bank"])
@@ -122,8 +125,8 @@ def feed_states(spark: SparkSession, sf_dir: str):
     return state1, run_ingest(state1, d2, NOW_2, deduplicated=True)
 
 
-def _promotions_table_name(sf_dir: str) -> str:
-    return "promotions_" + input_fingerprint(sf_dir, ["lineitem", "part"])
+def _promotions_table_name(spark: SparkSession, sf_dir: str) -> str:
+    return "promotions_" + input_fingerprint(spark, sf_dir, ["lineitem", "part"])
 
 
 def _read_version(store: TableStore, table: str, batch_id: str) -> DataFrame:
@@ -135,7 +138,7 @@ def promotions_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The promotions table after both feed runs (active and inactive rows),
     read from the store (run 2 is committed on first use)."""
     store = TableStore(spark)
-    table = _promotions_table_name(sf_dir)
+    table = _promotions_table_name(spark, sf_dir)
     if not store.has_batch(table, "run-2"):
         _, run2 = feed_states(spark, sf_dir)
         store.commit(table, run2.state.select(*STATE_COLUMNS), batch_id="run-2",

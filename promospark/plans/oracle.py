@@ -94,8 +94,8 @@ _GUARDS = {
     FMT_DMY_SLASH: r"\d{1,2}/\d{1,2}/\d{4}",
     FMT_DMY_DASH: r"\d{1,2}-\d{1,2}-\d{4}",
     FMT_YMD: r"\d{4}-\d{1,2}-\d{1,2}",
-    FMT_D_MON_Y: r"\d{1,2} [A-Za-z]{3} \d{4}",
-    FMT_D_MONTH_Y: r"\d{1,2} [A-Za-z]+ \d{4}",
+    FMT_D_MON_Y: r"\d{1,2}\s+[A-Za-z]{3}\s+\d{4}",
+    FMT_D_MONTH_Y: r"\d{1,2}\s+[A-Za-z]+\s+\d{4}",
     FMT_ISO_T: r"\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}",
     FMT_ISO_FRAC_Z: r"\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6}Z",
 }
@@ -111,7 +111,7 @@ def fmt_date(part: str, fmt: str) -> str:
     if fmt == FMT_ISO_FRAC_Z:
         body = f"regexp_replace({p}, '\\.\\d{{1,6}}Z$', '')"
         return f"CASE WHEN {guard} THEN CAST(try_strptime({body}, {lit(FMT_ISO_T)}) AS DATE) END"
-    return f"CASE WHEN {guard} THEN CAST(try_strptime({p}, {lit(fmt)}) AS DATE) END"
+    return f"CASE WHEN {guard} THEN CAST(try_strptime(regexp_replace({p}, '\\s+', ' ', 'g'), {lit(fmt)}) AS DATE) END"
 
 
 def std_date(part: str, formats) -> str:
@@ -302,6 +302,23 @@ tiles AS (
 )"""
 
 
+# Typed out here, so that a wrong map on the Spark side shows.
+CATEGORY_SQL = {
+    "kasikorn": "nullif(category_raw, '')",
+    "bbl": "nullif(category_raw, '')",
+    "cardx": "nullif(category_raw, '')",
+    "uob": "CAST(NULL AS VARCHAR)",
+    "amex": "CASE hub_slug WHEN 'dining' THEN 'dining' WHEN 'travel' THEN 'travel' WHEN 'lifestyle' THEN 'shopping' "
+            "WHEN 'explore-asia' THEN 'travel' ELSE hub_slug END",
+    "krungsri": "coalesce(nullif(category_raw, ''), CASE hub_slug WHEN 'hot-promotion' THEN 'featured' "
+                "WHEN 'dining' THEN 'dining' WHEN 'shopping-online' THEN 'shopping' WHEN 'travel' THEN 'travel' END)",
+    "ktc": "coalesce(nullif(category_raw, ''), CASE WHEN hub_slug IN ('recommended', 'dining-restaurants', "
+           "'online-shopping-services', 'air-ticket-hotels-travel', 'auto-gas-ev', 'shopping', 'insurance-investment', "
+           "'electronics-mobile', 'health-beauty', 'home-furniture', 'sports-fitness', 'gold-diamond-jewelry', "
+           "'entertainment-hobby', 'education', 'pet') THEN hub_slug END)",
+}
+
+
 def _by_source(fn) -> str:
     return "CASE bank " + " ".join(f"WHEN {lit(n)} THEN {fn(s)}" for n, s in SPECS.items()) + " END"
 
@@ -340,14 +357,7 @@ def promos_sql(src: str = "tiles", extra: str = "", order_cols: str | None = Non
         return "coalesce(card_types, []::VARCHAR[])" if s.kind == "json" else "[]::VARCHAR[]"
 
     def category(s):
-        raw = "nullif(category_raw, '')"
-        if s.hub_category_mode == "none":
-            return raw
-        m = "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in s.hub_categories.items()) + "}"
-        hub = f"map_extract({m}, coalesce(hub_slug, ''))[1]"
-        if s.hub_category_mode == "always":
-            return f"coalesce({hub}, hub_slug)"
-        return f"coalesce({raw}, {hub})"
+        return CATEGORY_SQL[s.name]
 
     def merchant_sql(s):
         if s.name == "ktc":
@@ -661,11 +671,12 @@ pitems_x AS (
 )"""
 
 
-_FALSY = "('', '0', '0.0', '[]', '{}', 'false')"
-
-
 def _truthy(v: str) -> str:
-    return f"CASE WHEN {v} IS NOT NULL AND json_type({v}) <> 'NULL' AND json_extract_string({v}, '$') NOT IN {_FALSY} THEN {v} END"
+    return (f"CASE json_type({v}) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN CASE WHEN json_extract_string({v}, '$') <> '' THEN {v} END "
+            f"WHEN 'ARRAY' THEN CASE WHEN json_array_length({v}) > 0 THEN {v} END "
+            f"WHEN 'OBJECT' THEN CASE WHEN len(json_keys({v})) > 0 THEN {v} END "
+            f"WHEN 'BOOLEAN' THEN CASE WHEN json_extract_string({v}, '$') = 'true' THEN {v} END "
+            f"ELSE CASE WHEN CAST(json_extract_string({v}, '$') AS DOUBLE) <> 0 THEN {v} END END")
 
 
 def _first_truthy(item: str, keys) -> str:

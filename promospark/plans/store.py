@@ -15,7 +15,6 @@ the large extraction plans.
 from __future__ import annotations
 
 import hashlib
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +24,7 @@ from promospark.session import checkpoint_dir
 class TableStore:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
-        self.root = root or os.path.join(checkpoint_dir(spark), "promospark-store")
+        self.root = root or checkpoint_dir(spark).rstrip("/") + "/promospark-store"
 
     # -- paths -----------------------------------------------------------
     def _table_dir(self, table: str) -> str:
@@ -37,10 +36,9 @@ class TableStore:
     def versions(self, table: str) -> list[dict]:
         """Committed versions (a tiny JSON dataset written through Spark, so any
         Hadoop-compatible file system works)."""
-        try:
-            rows = self.spark.read.schema(_LOG_SCHEMA).json(self._log(table)).collect()
-        except Exception:  # noqa: BLE001 - no log yet
+        if not path_exists(self.spark, self._log(table)):
             return []
+        rows = self.spark.read.schema(_LOG_SCHEMA).json(self._log(table)).collect()
         return sorted((r.asDict() for r in rows), key=lambda v: v["version"])
 
     def latest(self, table: str) -> dict | None:
@@ -81,21 +79,30 @@ class TableStore:
 _LOG_SCHEMA = "version INT, path STRING, batch_id STRING"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is there, on any file system Spark reads; errors raise."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def _short(s: str) -> str:
     return hashlib.sha1(s.encode()).hexdigest()[:12]
 
 
-def input_fingerprint(sf_dir: str, tables: list[str]) -> str:
-    """Identity of an input folder (path, sizes and mtimes of the used tables)."""
-    parts = [os.path.abspath(sf_dir)]
+def input_fingerprint(spark: SparkSession, sf_dir: str, tables: list[str]) -> str:
+    """Identity of an input folder: path, sizes and times of the used tables' files, as
+    the file system that Spark reads them from gives them."""
+    conf = spark._jsc.hadoopConfiguration()
+    parts = [sf_dir]
     for t in tables:
-        p = os.path.join(sf_dir, f"{t}.parquet")
-        if os.path.isdir(p):
-            for root, _, files in sorted(os.walk(p)):
-                for f in sorted(files):
-                    st = os.stat(os.path.join(root, f))
-                    parts.append(f"{f}:{st.st_size}:{int(st.st_mtime)}")
-        elif os.path.exists(p):
-            st = os.stat(p)
-            parts.append(f"{t}:{st.st_size}:{int(st.st_mtime)}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        fs = path.getFileSystem(conf)
+        if not fs.exists(path):
+            continue
+        files = fs.listFiles(path, True)
+        found = []
+        while files.hasNext():
+            st = files.next()
+            found.append(f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}")
+        parts += sorted(found)
     return _short("|".join(parts))

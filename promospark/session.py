@@ -53,9 +53,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting names a shared file system folder and is used
-    unchanged. Only when it is unset (local tests) a scratch folder is made
-    and registered, so ``DataFrame.checkpoint()`` works.
+    The setting names a folder that all executors share and is used unchanged.
+    Where it is unset, a scratch folder is made for a local master only; on a
+    cluster other executors could not read it, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
@@ -63,6 +63,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="promospark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local

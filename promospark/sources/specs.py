@@ -48,6 +48,8 @@ AMEX_HUBS = ["dining", "travel", "lifestyle", "explore-asia"]
 AMEX_HUB_CATEGORY = {"dining": "dining", "travel": "travel", "lifestyle": "shopping",
                      "explore-asia": "travel"}
 KRUNGSRI_HUBS = ["hot-promotion", "dining", "shopping-online", "travel"]
+KRUNGSRI_HUB_CATEGORY = {"hot-promotion": "featured", "dining": "dining", "shopping-online": "shopping",
+                         "travel": "travel"}
 
 # Python-style ``\s`` (str.isspace): tab..CR, U+001C..U+001F, space, U+0085, U+00A0,
 # U+1680, U+2000..U+200A, U+2028, U+2029, U+202F, U+205F, U+3000 (literal characters).
@@ -125,7 +127,7 @@ class SourceSpec:
     strip_query: bool = False
     strip_html_ext: bool = False
     id_fallback_len: int = 80
-    hub_category_mode: str = "none"        # always | if_empty | none
+    hub_category_mode: str = "none"        # always | if_empty | none (the tile's own) | never
     hub_categories: dict = field(default_factory=dict)
     hubs: tuple = ()
     discount_on_raw_title: bool = False
@@ -154,13 +156,13 @@ SPECS: dict[str, SourceSpec] = {
         merchant_patterns=_thai_prepositions(MERCHANT_SHAPES, MERCHANT_END),
         blocklist=BLOCKLISTS["krungsri"], caps_prefix=CAPS_PREFIX,
         hub_category_mode="if_empty", hubs=tuple(KRUNGSRI_HUBS),
-        hub_categories={s: s for s in KRUNGSRI_HUBS}),
+        hub_categories=KRUNGSRI_HUB_CATEGORY),
     "uob": SourceSpec(
         "uob", BASE_URLS["uob"], PROMOTION_URLS["uob"],
         merchant_patterns=_thai_prepositions(MERCHANT_SHAPES, MERCHANT_END),
         blocklist=BLOCKLISTS["uob"], text_joiner=" ",
         date_formats=(FMT_DMY_SLASH, FMT_DMY_DASH, FMT_YMD, FMT_D_MON_Y, FMT_D_MONTH_Y),
-        date_from_description=True, strip_query=True),
+        date_from_description=True, strip_query=True, hub_category_mode="never"),
     "amex": SourceSpec(
         "amex", BASE_URLS["amex"], PROMOTION_URLS["amex"],
         merchant_patterns=_thai_prepositions(MERCHANT_SHAPES, MERCHANT_END),
@@ -181,7 +183,7 @@ SPECS: dict[str, SourceSpec] = {
         merchant_from_title=True, min_title_len=1, thai_dates=False,
         date_formats=(FMT_YMD, FMT_ISO_T, FMT_ISO_FRAC_Z, FMT_DMY_SLASH),
         id_fallback_len=50, hub_category_mode="if_empty", hubs=tuple(KTC_HUBS),
-        hub_categories={s: s for s in KTC_HUBS if s != "recommended"},
+        hub_categories={s: s for s in KTC_HUBS},
         discount_on_raw_title=True, minimum_spend=False),
     "cardx": SourceSpec(
         "cardx", BASE_URLS["cardx"], PROMOTION_URLS["cardx"], kind="json",

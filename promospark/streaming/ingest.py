@@ -1,12 +1,13 @@
 """Continuous snapshot ingest with Structured Streaming.
 
 Raw tile batches arrive as files in a folder; ``readStream`` picks them up,
-``foreachBatch`` runs the batch plan (extract -> dedup -> upsert -> soft
-delete -> audit) against the latest committed state and commits the next state
+``foreachBatch`` runs the batch plan (extract -> dedup -> upsert -> audit) against the latest committed state and commits the next state
 version with the micro-batch id. A replayed micro-batch (after a driver or
 executor loss) finds its batch id already committed and does nothing, so the
 sink is idempotent; the streaming checkpoint lives in the shared checkpoint
-folder.
+folder. A snapshot may span many files and micro-batches: rows that it no longer
+holds are soft-deleted by ``close_snapshot``, which the producer calls when the
+snapshot is complete.
 """
 
 from __future__ import annotations
@@ -15,44 +16,78 @@ import datetime as dt
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from promospark.operators.dedup import first_seen
 from promospark.operators.extract import normalize_tiles
-from promospark.operators.upsert import STATE_COLUMNS, initial_state
+from promospark.operators.upsert import KEY, STATE_COLUMNS, deactivate_missing, initial_state
 from promospark.plans.ingest import run_ingest
 from promospark.plans.store import TableStore
 from promospark.session import checkpoint_dir
 
 
+def _seen_keys(store: TableStore, table: str, snapshot_id: str) -> DataFrame | None:
+    """Keys that the batches of a snapshot have brought so far."""
+    paths = [v["path"] for v in store.versions(f"{table}_seen")]
+    if not paths:
+        return None
+    return store.spark.read.parquet(*paths).filter(F.col("snapshot_id") == snapshot_id).select(*KEY)
+
+
 def ingest_batch(store: TableStore, table: str, audit_table: str, tiles: DataFrame, batch_id: str,
-                 now: str) -> bool:
-    """One ingest run of a tile batch against the stored state; False when the
-    batch id was already committed (replay)."""
+                 now: str, snapshot_id: str = "stream") -> bool:
+    """Upsert a batch of tiles, which may be a part of its snapshot, into the stored state;
+    False when the batch id was already committed (replay).
+
+    Keys that an earlier batch of the snapshot brought are not seen again (P1), and
+    nothing is soft-deleted before ``close_snapshot``."""
     if store.has_batch(table, batch_id):
         return False
-    snap = normalize_tiles(tiles)
-    incoming = first_seen(snap)
+    incoming = first_seen(normalize_tiles(tiles))
+    seen = _seen_keys(store, table, snapshot_id)
+    if seen is not None and not store.has_batch(f"{table}_seen", batch_id):
+        incoming = incoming.join(seen, KEY, "left_anti").select(*incoming.columns)
     if store.latest(table) is None:
         state = initial_state(incoming.limit(0), now)
     else:
         state = store.read(table).select(*STATE_COLUMNS)
-    res = run_ingest(state, incoming, now, deduplicated=True)
-    store.commit(table, res.state.select(*STATE_COLUMNS), batch_id, partition_by=["bank"])
+    res = run_ingest(state, incoming, now, deduplicated=True, deactivate=False)
+    # The state goes last: a batch counts as done once its state is there, and a replay
+    # after a loss between the writes finds the others by the batch id and goes on.
     store.commit(audit_table, res.audit, batch_id)
+    next_state = res.state.select(*STATE_COLUMNS)
+    store.commit(table, next_state, batch_id, partition_by=["bank"])
+    store.commit(f"{table}_seen", incoming.select(*KEY, F.lit(snapshot_id).alias("snapshot_id")), batch_id)
+    return True
+
+
+def close_snapshot(store: TableStore, table: str, snapshot_id: str, now: str) -> bool:
+    """U5 once all batches of a snapshot are in: active rows of its sources that none of
+    them brought become inactive. False when already done or when it brought nothing."""
+    batch_id = f"close-{snapshot_id}"
+    seen = _seen_keys(store, table, snapshot_id)
+    if seen is None or store.has_batch(table, batch_id):
+        return False
+    state = store.read(table).select(*STATE_COLUMNS)
+    closed = deactivate_missing(state, seen, seen.select("bank"), now)
+    store.commit(table, closed.select(*STATE_COLUMNS), batch_id, partition_by=["bank"])
     return True
 
 
 def start_ingest_stream(spark: SparkSession, source_dir: str, tile_schema, table: str = "promotions",
                         audit_table: str = "scrape_runs", store: TableStore | None = None,
                         run_time: Callable[[int], str] | None = None, checkpoint: str | None = None,
-                        available_now: bool = True, files_per_batch: int = 1):
-    """Start the ingest stream over parquet tile files in ``source_dir``."""
+                        available_now: bool = True, files_per_batch: int = 1,
+                        snapshot_of: Callable[[int], str] | None = None):
+    """Start the ingest stream over parquet tile files in ``source_dir``; ``snapshot_of``
+    names the snapshot that a micro-batch is a part of (all of one, if not given)."""
     store = store or TableStore(spark)
     ckpt = checkpoint or (checkpoint_dir(spark).rstrip("/") + f"/stream-{table}")
-    clock = run_time or (lambda _bid: dt.datetime.utcnow().strftime("%Y-%m-%d %H:%M:%S"))
+    clock = run_time or (lambda _bid: dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S"))
 
     def on_batch(batch_df: DataFrame, batch_id: int) -> None:
-        ingest_batch(store, table, audit_table, batch_df, f"stream-{batch_id}", clock(batch_id))
+        ingest_batch(store, table, audit_table, batch_df, f"stream-{batch_id}", clock(batch_id),
+                     snapshot_of(batch_id) if snapshot_of else "stream")
 
     reader = spark.readStream.schema(tile_schema).option("maxFilesPerTrigger", files_per_batch)
     writer = reader.parquet(source_dir).writeStream.foreachBatch(on_batch).option("checkpointLocation", ckpt)

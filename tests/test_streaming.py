@@ -2,6 +2,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
@@ -10,7 +11,7 @@ from promospark.operators.upsert import STATE_COLUMNS
 from promospark.plans import ingest as I
 from promospark.plans.store import TableStore
 from promospark.sources.feeds import load_promo_tiles, load_run_events
-from promospark.streaming.ingest import start_ingest_stream
+from promospark.streaming.ingest import close_snapshot, ingest_batch, start_ingest_stream
 from promospark.streaming.runs import start_run_state_stream
 
 
@@ -34,20 +35,50 @@ def test_stream_ingest_equals_batch(spark):
     store = TableStore(spark, os.path.join(root, "store"))
     times = {0: I.NOW_1, 1: I.NOW_2}
     q = start_ingest_stream(spark, watched, s1.schema, store=store, run_time=lambda b: times[b],
-                            checkpoint=os.path.join(root, "ckpt"))
+                            checkpoint=os.path.join(root, "ckpt"), snapshot_of=lambda b: f"s{b}")
     q.awaitTermination(300)
+    assert store.read("promotions").filter("NOT is_active").count() == 0  # not before the snapshot is complete
+    assert close_snapshot(store, "promotions", "s1", I.NOW_2) is True
+    assert close_snapshot(store, "promotions", "s1", I.NOW_2) is False
     streamed = store.read("promotions").select(*STATE_COLUMNS)
     batch = I.promotions_table(spark, SF)
     cols = ["id", "checksum", "is_active", "created_at", "updated_at"]
     a = sorted(tuple(r) for r in streamed.select(*cols).collect())
     b = sorted(tuple(r) for r in batch.select(*cols).collect())
     assert a == b and len(a) > 0
-    assert len(store.versions("promotions")) == 2
+    assert len(store.versions("promotions")) == 3
     # replaying a committed batch id is a no-op
-    from promospark.streaming.ingest import ingest_batch
     assert ingest_batch(store, "promotions", "scrape_runs", s2, "stream-1", I.NOW_2) is False
 
 
+def test_snapshot_in_three_batches_with_a_loss_between_the_commits(spark):
+    root = tempfile.mkdtemp(prefix="parts-")
+    tiles = load_promo_tiles(spark, SF).filter("l_orderkey % 40 = 0")
+    whole, parts = TableStore(spark, root + "/whole"), TableStore(spark, root + "/parts")
+    ingest_batch(whole, "promotions", "audit", tiles, "b0", I.NOW_1, "one")
+    for i in range(3):
+        part = tiles.filter((F.col("hub_ord") % 3) == i)
+        if i == 1:  # the audit was written and the state was not
+            parts.commit("audit", spark.range(1).selectExpr("'lost' AS bank"), f"b{i}")
+        assert ingest_batch(parts, "promotions", "audit", part, f"b{i}", I.NOW_1, "one") is True
+    close_snapshot(parts, "promotions", "one", I.NOW_2)
+    keys = ["bank", "source_id", "is_active"]
+    a, b = (sorted(map(tuple, s.read("promotions").select(*keys).collect())) for s in (whole, parts))
+    assert a == b and all(r[2] for r in a) and len(a) > 0
+    assert len(parts.versions("audit")) == 3
+
+
+def test_unreadable_version_log_raises(spark):
+    root = tempfile.mkdtemp(prefix="log-")
+    store = TableStore(spark, root)
+    assert store.versions("t") == []
+    os.makedirs(f"{root}/t/_versions")
+    with open(f"{root}/t/_versions/part-0.json.gz", "wb") as f:
+        f.write(b"not gzip")
+    with pytest.raises(Exception):
+        store.versions("t")
+
+
 def test_stream_run_state_equals_batch(spark):
     root = tempfile.mkdtemp(prefix="runs-")
     ev = load_run_events(spark, SF)
