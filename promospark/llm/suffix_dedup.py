@@ -117,13 +117,14 @@ def _minimizer_rows(length: int):
 
 
 def _context_rows(length: int, parts: int):
+    """Rows (part, ord, context): a run's start in four bytes, its bytes and, where ids repeat, ``sub``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longest = length - gram_width(length) + 1
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("ord", "sub", "body")]
             lists = batch.column("hashes")
             flat, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], []]
             for i, (order, sub, body) in enumerate(zip(*columns)):
                 own = minimizers(_bytes_of(body), length)
                 if not len(own):
@@ -134,11 +135,11 @@ def _context_rows(length: int, parts: int):
                 starts, ends = starts[shared], ends[shared]
                 out[0] += (keys[shared] % parts).tolist()
                 out[1] += [order] * len(starts)
-                out[2] += [sub] * len(starts)
-                out[3] += starts.tolist()
-                out[4] += [body[a:b + length - 1] for a, b in zip(starts.tolist(), ends.tolist())]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, LONG) for c in out[:4]), pa.array(out[4], pa.binary())],
-                                             names=["part", "ord", "sub", "start", "context"])
+                mark = sub.to_bytes(8, "little", signed=True) if sub else b""
+                out[2] += [a.to_bytes(4, "little") + body[a:b + length - 1] + mark
+                           for a, b in zip(starts.tolist(), ends.tolist())]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, LONG) for c in out[:2]), pa.array(out[2], pa.binary())],
+                                             names=["part", "ord", "context"])
     return run
 
 
@@ -214,6 +215,11 @@ def earliest_documents(contexts: list[bytes], first_docs: np.ndarray, shard_of:
     return of, place, out
 
 
+def packed(start: int, stop: int) -> int:
+    """A range in one long: its start and, in the low 31 bits, its length."""
+    return start << 31 | (stop - start)
+
+
 def _resolve(rows: list[tuple], length: int) -> Iterator[tuple[int, int, int, int]]:
     """Ranges of bytes of (ord, sub, start, context) rows that start in an earlier document."""
     index: dict[bytes, int] = {}
@@ -239,23 +245,25 @@ def _resolve(rows: list[tuple], length: int) -> Iterator[tuple[int, int, int, in
                 yield order, sub, start + a, start + b + length - 1
 
 
-def _resolver(length: int):
-    """Contexts arrive sorted by part; whole parts are merged together."""
+def _resolver(length: int, ids_repeat: bool):
+    """Contexts arrive sorted by part; whole parts are merged together. Gives rows (ord, sub, at)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
         size, last = 0, None
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            found = list(zip(*_resolve(rows, length))) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, LONG) for c in found], names=["ord", "sub", "start", "stop"])
+            found = list(zip(*((o, s, packed(a, b)) for o, s, a, b in _resolve(rows, length)))) or [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, LONG) for c in found], names=["ord", "sub", "at"])
 
         for batch in batches:
-            for part, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "ord", "sub", "start", "context"))):
+            for part, order, sent in zip(*(batch.column(c).to_pylist() for c in ("part", "ord", "context"))):
                 if size > MERGED_AT_ONCE and part != last:
                     yield out(waiting)
                     waiting, size = [], 0
-                waiting.append(tuple(row))
-                size += len(row[3])
+                end = len(sent) - 8 if ids_repeat else len(sent)
+                waiting.append((order, int.from_bytes(sent[end:], "little", signed=True),
+                                int.from_bytes(sent[:4], "little"), sent[4:end]))
+                size += len(sent)
                 last = part
         if waiting:
             yield out(waiting)
@@ -268,7 +276,8 @@ def _rows(docs: DataFrame, row, id_col: str, text_col: str) -> tuple[DataFrame,
     facts = docs.groupBy(order.alias("ord")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text_col)).alias("size"))
     most, size = facts.agg(F.max("n"), F.sum("size")).first()
     body = text_or_empty(text_col).cast("binary")
-    sub = F.xxhash64(body) if (most or 0) > 1 else F.lit(0).cast("long")
+    # Odd, so never zero, where ids repeat.
+    sub = F.xxhash64(body).bitwiseOR(F.lit(1)) if (most or 0) > 1 else F.lit(0).cast("long")
     return docs.select(order.alias("ord"), sub.alias("sub"), row.alias("row"), body.alias("body")), (most or 0) > 1, 1 + (size or 0) // TEXT_PER_PART
 
 
@@ -292,25 +301,26 @@ def with_earlier_ranges(rows: DataFrame, ids_repeat: bool, parts: int, length: i
                      .where((F.col("ord") > F.col("first")) & (F.col("n") >= length)).select(F.col("ord").alias("c_ord"), "n"))
         wanted = wanted.join(copies, F.col("w_ord") == F.col("c_ord"), "left_anti")
     contexts = rows.join(wanted, F.col("ord") == F.col("w_ord")).select("ord", "sub", "row", "body", "hashes").mapInArrow(
-        _context_rows(length, parts), "part bigint, ord bigint, sub bigint, start bigint, context binary")
+        _context_rows(length, parts), "part bigint, ord bigint, context binary")
     ranges = (contexts.repartition("part").sortWithinPartitions("part")
-              .mapInArrow(_resolver(length), "ord bigint, sub bigint, start bigint, stop bigint"))
+              .mapInArrow(_resolver(length, ids_repeat), "ord bigint, sub bigint, at bigint"))
+    one = F.struct("sub", "at") if ids_repeat else F.col("at")
     if copies is not None:
-        ranges = ranges.unionByName(copies.select(F.col("c_ord").alias("ord"), F.lit(0).cast("long").alias("sub"),
-                                                  F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("stop")))
-    lists = ranges.groupBy("ord").agg(F.collect_list(F.struct("sub", "start", "stop")).alias("ranges")).withColumnRenamed(
-        "ord", "r_ord")
+        ranges = ranges.select("ord", "at").unionByName(
+            copies.select(F.col("c_ord").alias("ord"), F.col("n").cast("long").alias("at")))
+    lists = ranges.groupBy(F.col("ord").alias("r_ord")).agg(F.collect_list(one).alias("ranges"))
     return rows.join(lists, F.col("ord") == F.col("r_ord"), "left").select("ord", "sub", "row", "body", "ranges")
 
 
-def keep_rest(body: bytes, sub: int, ranges: list[dict] | None) -> tuple[bytes, int, int]:
+def keep_rest(body: bytes, sub: int, ranges: list | None) -> tuple[bytes, int, int]:
     """What is left of ``body``, the number of bytes removed, and of maximal removed runs."""
-    own = sorted((r["start"], r["stop"]) for r in ranges or () if r["sub"] == sub)
+    own = sorted((r["at"] for r in ranges or () if r["sub"] == sub) if sub else ranges or ())
     if not own:
         return body, 0, 0
     parts, at, removed, spans = [], 0, 0, 0
     end = -1
-    for start, stop in own:
+    for at_range in own:
+        start, stop = at_range >> 31, (at_range >> 31) + (at_range & 0x7FFFFFFF)
         if start > end:
             spans += 1
         if start > at:
