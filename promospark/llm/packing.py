@@ -51,7 +51,7 @@ class ChunkIds(Remembered):
 
     def add(self, chunks: set[str]) -> None:
         """Encode together those that are not known."""
-        missing = [c for c in chunks if c not in self and c not in self.old]
+        missing = list(chunks.difference(self).difference(self.old))
         for group in groups_by_size(missing):
             for chunk, encoding in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False)):
                 self.keep(chunk, array("I", encoding.ids).tobytes())
