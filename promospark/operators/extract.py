@@ -3,7 +3,8 @@
 One projection serves every source: each spec-dependent column is a CASE over
 the row's source whose branches are the spec's native expressions (T1-T6,
 M1-M7, D-1..D-10, X8, X10-X13, P2, P3, J11, J12). Only the matching branch is
-evaluated per row, and the whole thing stays in one codegen'd projection.
+evaluated per row. The projection is larger than whole-stage code allows, so Spark runs
+it as generated expressions of its own.
 """
 
 from __future__ import annotations
