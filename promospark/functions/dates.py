@@ -97,17 +97,7 @@ def thai_date(part) -> Column:
 
 def format_date(part, fmt: str) -> Column:
     """One strptime-style format as a Spark parse returning null on failure."""
-    p = _strip(_c(part))
-    if fmt == FMT_ISO_FRAC_Z:
-        ok = p.rlike(r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6}Z$")
-        body = F.regexp_replace(p, r"\.\d{1,6}Z$", "")
-        return F.when(ok, F.to_date(F.try_to_timestamp(body, F.lit(_SPARK_PATTERNS[FMT_ISO_T]))))
-    ok = p.rlike(_SHAPES[fmt])
-    if fmt == FMT_ISO_T:
-        return F.when(ok, F.to_date(F.try_to_timestamp(p, F.lit(_SPARK_PATTERNS[FMT_ISO_T]))))
-    if fmt in (FMT_D_MON_Y, FMT_D_MONTH_Y):
-        p = F.regexp_replace(p, r"\s+", " ")
-    return F.when(ok, F.try_to_date(p, _SPARK_PATTERNS[fmt]))
+    return _parse_stripped(_strip(_c(part)), fmt)
 
 
 def standard_date(part, formats) -> Column:
@@ -197,6 +187,8 @@ def _parse_stripped(p: Column, fmt: str) -> Column:
     ok = p.rlike(_SHAPES[fmt])
     if fmt == FMT_ISO_T:
         return F.when(ok, F.to_date(F.try_to_timestamp(p, F.lit(_SPARK_PATTERNS[FMT_ISO_T]))))
+    if fmt in (FMT_D_MON_Y, FMT_D_MONTH_Y):
+        p = F.regexp_replace(p, r"\s+", " ")
     return F.when(ok, F.try_to_date(p, _SPARK_PATTERNS[fmt]))
 
 

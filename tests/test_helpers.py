@@ -78,3 +78,20 @@ def test_epoch_dates_ignore_session_time_zone(spark):
             assert got == [dt.date(2024, 1, 5), dt.date(2024, 1, 5)], tz
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_percentages_round_the_double(spark):
+    from promospark.operators.aggregates import _pct
+    pairs = [(n, d) for d in (1, 3, 7, 8, 16, 40, 80, 400, 2000, 4000, 9999) for n in range(0, d + 1, max(1, d // 37))]
+    pairs += [(1, 2000), (3, 2000), (5, 2000), (1, 800), (0, 0), (123456, 10_000_000)]
+    df = spark.createDataFrame(pairs, "n long, d long")
+    got = {(r.n, r.d): r.p for r in df.select("n", "d", _pct(F.col("n"), F.col("d")).alias("p")).collect()}
+    assert got == {(n, d): f"{100 * n / d:.1f}%" if d else "—" for n, d in pairs}
+
+
+def test_month_dates_take_any_white_space(spark):
+    from promospark.functions.dates import _parse_stripped
+    from promospark.sources.specs import FMT_D_MON_Y, FMT_D_MONTH_Y
+    df = spark.createDataFrame([("1  Mar 2026", "1\nMarch\t2026")], "a string, b string")
+    row = df.select(_parse_stripped(F.col("a"), FMT_D_MON_Y).alias("a"), _parse_stripped(F.col("b"), FMT_D_MONTH_Y).alias("b")).first()
+    assert str(row.a) == str(row.b) == "2026-03-01"
