@@ -4,8 +4,11 @@ A page becomes a stream of tokens whose tags are repaired into a tree; tags with
 running text are dropped. Same-host streams are aligned one after the other into
 a wrapper, a regular expression without unions: equal tokens stay, a mismatch becomes
 an optional part, parts that follow themselves become a repeated part, and texts
-that differ become slots. A wrapper's text slots are classed by the parts around
-them; a page's text is what fills the slots of the article.
+that differ become slots. A constant text that recurs on ``RECURS`` or more different
+pages of its host is template and is left out, as long as the varying slots hold more
+text. The slots that are left are classed by the parts around them, and a page's text is
+what fills the slots of the article. Where all that varies on a host stands in parts whose
+class words say aside, those parts are read instead.
 
 Wrappers are merged in three steps (the pages of a task, the tasks' wrappers dealt
 into ``MERGE_WAYS`` parts for each host, those parts), so a host with a third of all
@@ -18,6 +21,7 @@ url) share one wrapper; repeated rows are extracted each; extra columns are igno
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import json
 import re
@@ -35,8 +39,10 @@ HOSTS_AT_ONCE = 2000
 BROADCAST_BYTES = 8 << 20
 #: Elements nested deeper are kept at this depth.
 MAX_DEPTH = 200
-#: Longest text that a wrapper keeps as a constant.
+#: Longer constants are kept by their digest.
 CONSTANT_CHARS = 60
+#: Different pages of a host that make a constant text template.
+RECURS = 3
 
 # Names of elements by what they do to the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,6 +55,8 @@ ASIDE_WORDS = frozenset("nav navbar navigation menu header footer sidebar aside
                         "sponsor sponsored promo cookie cookies consent notice notices popup modal newsletter subscribe "
                         "share sharing social related recommended comment comments reply replies breadcrumb breadcrumbs "
                         "pagination login search widget disclaimer".split())
+#: Elements that hold the page's text whatever their class words say.
+WHOLE = frozenset("html body article main".split())
 MAIN_WORDS = frozenset("content article post entry main story".split())
 #: Elements that end an open one of the named kinds, up to the kinds that hold them (fixed values).
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -138,8 +146,18 @@ def parse(html: str) -> Node:
     return root
 
 
-# A wrapper part is [symbol, how often, parts] or, for text, ["#", how often, constant or None, characters, in links];
-# a repeated group has the symbol "()". How often: "1", "?", "+" or "*".
+# A wrapper part is [symbol, how often, parts] or, for text, ["#", how often, constant or None, characters, in links,
+# pages]; a repeated group has the symbol "()". How often: "1", "?", "+" or "*". Pages are the least digests, at most
+# RECURS of them, of the pages that hold the constant, so copies of a page count once.
+
+def constant(value: str) -> str:
+    return value if len(value) <= CONSTANT_CHARS else "\0" + hashlib.blake2b(value.encode(), digest_size=16).hexdigest()
+
+
+def page_digest(html: str) -> int:
+    return int.from_bytes(hashlib.blake2b(html.encode(), digest_size=6).digest())
+
+
 
 def _often(a: str, b: str) -> str:
     least_none = a in "?*" or b in "?*"
@@ -147,15 +165,15 @@ def _often(a: str, b: str) -> str:
     return "*" if least_none and many else "?" if least_none else "+" if many else "1"
 
 
-def of_page(node: Node) -> list:
+def of_page(node: Node, page: int = 0) -> list:
     parts = []
     for child in node.children:
         if isinstance(child, Text):
             value = child.value()
             if value:
-                parts.append(["#", "1", value if len(value) <= CONSTANT_CHARS else None, len(value), child.link_chars])
+                parts.append(["#", "1", constant(value), len(value), child.link_chars, [page]])
         elif child.name not in ("br", "hr", "/p"):
-            parts.append(of_page(child))
+            parts.append(of_page(child, page))
     return [node.symbol, "1", fold(parts)]
 
 
@@ -166,7 +184,9 @@ def _key(part: list) -> str:
 def merge(a: list, b: list) -> list:
     often = _often(a[1], b[1])
     if a[0] == "#":
-        return ["#", often, a[2] if a[2] == b[2] else None, a[3] + b[3], a[4] + b[4]]
+        same = a[2] is not None and a[2] == b[2]
+        return ["#", often, a[2] if same else None, a[3] + b[3], a[4] + b[4],
+                sorted({*a[5], *b[5]})[:RECURS] if same else []]
     return [a[0], often, align(a[2], b[2])]
 
 
@@ -218,46 +238,66 @@ def align(a: list, b: list) -> list:
 
 
 def _aside(symbol: str, inside_article: bool) -> bool:
+    name = symbol.split(".")[0]
+    return name in ASIDE or (name == "header" and not inside_article)
+
+
+def _named_aside(symbol: str) -> bool:
     name, *marks = symbol.split(".")
-    if name in ASIDE or (name == "header" and not inside_article):
-        return True
-    return any(w in ASIDE_WORDS for m in marks for w in re.split(r"[-_]", m))
+    return name not in WHOLE and any(w in ASIDE_WORDS for m in marks for w in re.split(r"[-_]", m))
 
 
-def slot_paths(wrapper: list) -> list[list[str]]:
-    """Paths of the text slots: in articles, in main parts, and elsewhere with little link text."""
-    tiers: list[list[str]] = [[], [], []]
+def slot_paths(wrapper: list) -> list[dict[str, set[str]]]:
+    """Paths of the text slots and the template constants at each: in articles, in main parts, and elsewhere
+    with little link text; behind or before them the same for parts that only their class words call aside,
+    if nothing else varies."""
+    tiers: list[dict[str, set[str]]] = [{} for _ in range(6)]
+    chars, varying, template = [0] * 6, [0] * 6, [0] * 6
 
     def walk(part: list, path: str, tier: int) -> None:
         for child in part[2]:
             if child[0] == "()":
                 walk(child, path, tier)
             elif child[0] == "#":
-                if tier < 2 or 2 * child[4] < child[3]:
-                    tiers[tier].append(path)
-            elif not _aside(child[0], tier == 0):
+                if tier % 3 < 2 or 2 * child[4] < child[3]:
+                    dropped = tiers[tier].setdefault(path, set())
+                    chars[tier] += child[3]
+                    if child[2] is None:
+                        varying[tier] += child[3]
+                    elif len(child[5]) >= RECURS:
+                        template[tier] += child[3]
+                        dropped.add(child[2])
+            elif not _aside(child[0], tier % 3 == 0):
+                named = _named_aside(child[0])
+                if named and tier >= 3:
+                    continue
                 name, *marks = child[0].split(".")
                 words = {w for m in marks for w in re.split(r"[-_]", m)}
                 own = 0 if name == "article" or "article" in words else 1 if name == "main" or words & MAIN_WORDS else 2
-                walk(child, f"{path}/{child[0]}", min(tier, own))
+                walk(child, f"{path}/{child[0]}", 3 + own if named else tier - tier % 3 + min(tier % 3, own))
 
     walk(wrapper, "", 2)
-    return [sorted(set(t)) for t in tiers]
+    if not sum(varying[:3]) and sum(varying[3:]) > sum(chars[:3]):
+        used = [3, 4, 5, 0, 1, 2]
+    else:
+        used = [0, 1, 2]
+    if sum(varying[t] for t in used) <= sum(template[t] for t in used):
+        return [dict.fromkeys(tiers[t], set()) for t in used]
+    return [tiers[t] for t in used]
 
 
-def extract(page: Node, tiers: list[list[str]]) -> str:
+def extract(page: Node, tiers: list[dict[str, set[str]]]) -> str:
     """The blocks that fill the article's slots, or those of the next best parts."""
-    found: list[list[str]] = [[], [], []]
-    where: dict[str, int] = {}
-    for k in (2, 1, 0):
-        where |= dict.fromkeys(tiers[k], k)
+    found: list[list[str]] = [[] for _ in tiers]
+    where = {path: (k, dropped) for k, tier in enumerate(tiers) for path, dropped in tier.items()}
     waiting = [(page, "")]
     while waiting:
         node, path = waiting.pop()
         if isinstance(node, Text):
             value = node.value()
-            if value:
-                found[where[path]].append(value)
+            k, dropped = where[path]
+            if value and not (dropped and constant(value) in dropped):
+                found[k].append(value)
             continue
         waiting += [(c, path if isinstance(c, Text) else f"{path}/{c.symbol}") for c in reversed(node.children)
                     if not isinstance(c, Text) or path in where]
@@ -276,7 +316,7 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            wrapper = of_page(parse(page))
+            wrapper = of_page(parse(page), page_digest(page))
             known[host] = merge(known[host], wrapper) if host in known else wrapper
             if len(known) >= HOSTS_AT_ONCE:
                 yield out()

@@ -110,6 +110,24 @@ def test_main_text(spark):
     assert main_text(df.limit(0)).collect() == []
 
 
+def test_alignment_decides_what_is_text(spark):
+    notice = "All prices are given without any guarantee and may change on any day of the year."
+    pages = [(i, f"http://t.example.com/{i}", f"<body class='no-sidebar'><article class='post-social'><div class='x7'>{notice}</div>"
+              f"<h1>Title {i}</h1><div class='x8'>Buy now</div><p>body of page {i} {'word ' * 20}</p></article></body>")
+             for i in range(5)]
+    pages += [(10 + i, f"http://u.example.com/{i}", "<div class='layout-sidebar'><article><p>story " + f"{i} " * 30
+               + "</p></article></div><p>Imprint</p>") for i in range(4)]
+    same = "<article><p>a copy</p><p>of one text</p></article>"
+    pages += [(20 + i, "http://v.example.com/", same) for i in range(5)]  # copies are not template
+    pages += [(30 + i, f"http://w.example.com/{i}", f"<article><p>one long shared text</p></article><div class='ad'>{i}</div>")
+              for i in range(4)]  # nor is a text that only the adverts differ around
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\nbody of page {i} {'word ' * 20}".strip() for i in range(5))
+    assert all(got[10 + i] == ("story " + f"{i} " * 30).strip() for i in range(4))
+    assert all(got[20 + i] == "a copy\nof one text" for i in range(5))
+    assert all(got[30 + i] == "one long shared text" for i in range(4))
+
+
 def test_nearest_on_the_given_vectors(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = nearest(df, F.col("vec_id") % 20 == 0, rows_at_once=700).collect()
