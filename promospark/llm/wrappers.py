@@ -25,6 +25,8 @@ import hashlib
 import html as html_lib
 import json
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,8 +39,6 @@ from promospark.llm.common import cut, ship_package, text_or_empty
 MERGE_WAYS = 16
 HOSTS_AT_ONCE = 2000
 BROADCAST_BYTES = 8 << 20
-#: Elements nested deeper are kept at this depth.
-MAX_DEPTH = 200
 #: Longer constants are kept by their digest.
 CONSTANT_CHARS = 60
 #: Different pages of a host that make a constant text template.
@@ -95,6 +95,12 @@ def parse(html: str) -> Node:
     """The page's tree; unclosed elements end where their parents or followers need it."""
     root = Node("", "")
     stack, links, at = [root], 0, 0
+    opened: Counter[str] = Counter()  # names on the stack
+
+    def close(size: int) -> None:
+        while len(stack) > size:
+            opened[stack.pop().name] -= 1
+
     while at < len(html):
         token = TOKEN.match(html, at)
         at = token.end()
@@ -115,9 +121,10 @@ def parse(html: str) -> Node:
                 links = max(0, links - 1)
             elif name == "p" and stack[-1].name != "p":
                 stack[-1].children.append(Node("/p", "/p"))  # an end without a start still parts blocks
-            elif name not in INLINE and any(n.name == name for n in stack):
-                while stack.pop().name != name:
-                    pass
+            elif name not in INLINE and opened[name]:
+                while stack[-1].name != name:
+                    close(len(stack) - 1)
+                close(len(stack) - 1)
                 links = 0
         elif name in VOID:
             if name in ("br", "hr"):
@@ -127,22 +134,23 @@ def parse(html: str) -> Node:
         else:
             links = 0
             if stack[-1].name == "p":
-                stack.pop()
-            if name in CLOSES:
+                close(len(stack) - 1)
+            if name in CLOSES and any(opened[x] for x in CLOSES[name][0]):
                 ended, holders = CLOSES[name]
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].name in holders:
                         break
                     if stack[k].name in ended:
-                        del stack[k:]
+                        close(k)
                         break
             node = Node(symbol_of(name, token["more"]), name)
             stack[-1].children.append(node)
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
                 at = end.end() if end else len(html)
-            elif not token["more"].endswith("/") and len(stack) < MAX_DEPTH:
+            elif not token["more"].endswith("/"):
                 stack.append(node)
+                opened[name] += 1
     return root
 
 
@@ -165,16 +173,63 @@ def _often(a: str, b: str) -> str:
     return "*" if least_none and many else "?" if least_none else "+" if many else "1"
 
 
+def room_for(levels: int) -> None:
+    """Let ``merge`` recurse into trees of that many levels: a few frames each, which Python keeps on its heap."""
+    if 8 * levels + 1000 > sys.getrecursionlimit():
+        sys.setrecursionlimit(8 * levels + 1000)
+
+
 def of_page(node: Node, page: int = 0) -> list:
-    parts = []
-    for child in node.children:
-        if isinstance(child, Text):
-            value = child.value()
+    """The page's tree as a wrapper; children before parents, on a stack of (node, level, parts so far, parts of its
+    parent)."""
+    whole: list = []
+    waiting = [(node, 1, None, whole)]
+    deepest = 1
+    while waiting:
+        node, level, parts, into = waiting.pop()
+        if isinstance(node, Text):
+            value = node.value()
             if value:
-                parts.append(["#", "1", constant(value), len(value), child.link_chars, [page]])
-        elif child.name not in ("br", "hr", "/p"):
-            parts.append(of_page(child, page))
-    return [node.symbol, "1", fold(parts)]
+                into.append(["#", "1", constant(value), len(value), node.link_chars, [page]])
+        elif parts is not None:
+            room_for(deepest)
+            into.append([node.symbol, "1", fold(parts)])
+        elif node.name not in ("br", "hr", "/p"):
+            parts, deepest = [], max(deepest, level)
+            waiting.append((node, level, parts, into))
+            waiting += [(c, level + 1, None, parts) for c in reversed(node.children)]
+    return whole[0]
+
+
+def stored(wrapper: list) -> str:
+    """The wrapper as flat JSON: parts in order, each with the number of parts in it in place of them."""
+    out, waiting = [], [wrapper]
+    while waiting:
+        part = waiting.pop()
+        if part[0] == "#":
+            out.append(part)
+        else:
+            out.append([part[0], part[1], len(part[2])])
+            waiting += reversed(part[2])
+    return json.dumps(out)
+
+
+def restored(text: str) -> list:
+    whole: list = []
+    waiting = [(whole, 1)]  # parts to be filled, and how many are missing
+    deepest = 1
+    for part in json.loads(text):
+        deepest = max(deepest, len(waiting))
+        into, missing = waiting.pop()
+        waiting.append((into, missing - 1))
+        into.append(part)
+        if part[0] != "#":
+            count, part[2] = part[2], []
+            waiting.append((part[2], count))
+        while waiting and not waiting[-1][1]:
+            waiting.pop()
+    room_for(deepest)
+    return whole[0]
 
 
 def _key(part: list) -> str:
@@ -247,60 +302,72 @@ def _named_aside(symbol: str) -> bool:
     return name not in WHOLE and any(w in ASIDE_WORDS for m in marks for w in re.split(r"[-_]", m))
 
 
-def slot_paths(wrapper: list) -> list[dict[str, set[str]]]:
-    """Paths of the text slots and the template constants at each: in articles, in main parts, and elsewhere
-    with little link text; behind or before them the same for parts that only their class words call aside,
-    if nothing else varies."""
-    tiers: list[dict[str, set[str]]] = [{} for _ in range(6)]
-    chars, varying, template = [0] * 6, [0] * 6, [0] * 6
+class Slots:
+    """Paths of a wrapper, numbered by ``steps`` from (path, symbol), and ``where``: for the paths of text slots,
+    their rank and their template constants."""
+
+    def __init__(self, steps: dict[tuple[int, str], int], tiers: list[dict[int, set[str]]]):
+        self.steps, self.ranks = steps, len(tiers)
+        self.where = {path: (k, dropped) for k, tier in enumerate(tiers) for path, dropped in tier.items()}
 
-    def walk(part: list, path: str, tier: int) -> None:
-        for child in part[2]:
-            if child[0] == "()":
-                walk(child, path, tier)
-            elif child[0] == "#":
-                if tier % 3 < 2 or 2 * child[4] < child[3]:
-                    dropped = tiers[tier].setdefault(path, set())
-                    chars[tier] += child[3]
-                    if child[2] is None:
-                        varying[tier] += child[3]
-                    elif len(child[5]) >= RECURS:
-                        template[tier] += child[3]
-                        dropped.add(child[2])
-            elif not _aside(child[0], tier % 3 == 0):
-                named = _named_aside(child[0])
-                if named and tier >= 3:
-                    continue
-                name, *marks = child[0].split(".")
-                words = {w for m in marks for w in re.split(r"[-_]", m)}
-                own = 0 if name == "article" or "article" in words else 1 if name == "main" or words & MAIN_WORDS else 2
-                walk(child, f"{path}/{child[0]}", 3 + own if named else tier - tier % 3 + min(tier % 3, own))
-
-    walk(wrapper, "", 2)
+
+def slot_paths(wrapper: list) -> Slots:
+    """The text slots: in articles, in main parts, and elsewhere with little link text; before them the same in
+    parts that only their class words call aside, if nothing else varies."""
+    tiers: list[dict[int, set[str]]] = [{} for _ in range(6)]
+    chars, varying, template = [0] * 6, [0] * 6, [0] * 6
+    steps: dict[tuple[int, str], int] = {}
+    waiting = [(child, 0, 2) for child in wrapper[2]]
+    while waiting:
+        part, path, tier = waiting.pop()
+        if part[0] == "#":
+            if tier % 3 < 2 or 2 * part[4] < part[3]:
+                dropped = tiers[tier].setdefault(path, set())
+                chars[tier] += part[3]
+                if part[2] is None:
+                    varying[tier] += part[3]
+                elif len(part[5]) >= RECURS:
+                    template[tier] += part[3]
+                    dropped.add(part[2])
+        elif part[0] == "()":
+            waiting += [(child, path, tier) for child in part[2]]
+        elif not _aside(part[0], tier % 3 == 0):
+            named = _named_aside(part[0])
+            if named and tier >= 3:
+                continue
+            name, *marks = part[0].split(".")
+            words = {w for m in marks for w in re.split(r"[-_]", m)}
+            own = 0 if name == "article" or "article" in words else 1 if name == "main" or words & MAIN_WORDS else 2
+            tier = 3 + own if named else tier - tier % 3 + min(tier % 3, own)
+            path = steps.setdefault((path, part[0]), len(steps) + 1)
+            waiting += [(child, path, tier) for child in part[2]]
     if not sum(varying[:3]) and sum(varying[3:]) > sum(chars[:3]):
         used = [3, 4, 5, 0, 1, 2]
     else:
         used = [0, 1, 2]
     if sum(varying[t] for t in used) <= sum(template[t] for t in used):
-        return [dict.fromkeys(tiers[t], set()) for t in used]
-    return [tiers[t] for t in used]
+        return Slots(steps, [{path: set() for path in tiers[t]} for t in used])
+    return Slots(steps, [tiers[t] for t in used])
 
 
-def extract(page: Node, tiers: list[dict[str, set[str]]]) -> str:
+def extract(page: Node, slots: Slots) -> str:
     """The blocks that fill the article's slots, or those of the next best parts."""
-    found: list[list[str]] = [[] for _ in tiers]
-    where = {path: (k, dropped) for k, tier in enumerate(tiers) for path, dropped in tier.items()}
-    waiting = [(page, "")]
+    found: list[list[str]] = [[] for _ in range(slots.ranks)]
+    waiting = [(page, 0)]
     while waiting:
         node, path = waiting.pop()
         if isinstance(node, Text):
             value = node.value()
-            k, dropped = where[path]
+            k, dropped = slots.where[path]
             if value and not (dropped and constant(value) in dropped):
                 found[k].append(value)
             continue
-        waiting += [(c, path if isinstance(c, Text) else f"{path}/{c.symbol}") for c in reversed(node.children)
-                    if not isinstance(c, Text) or path in where]
+        for child in reversed(node.children):
+            if isinstance(child, Text):
+                if path in slots.where:
+                    waiting.append((child, path))
+            elif (path, child.symbol) in slots.steps:
+                waiting.append((child, slots.steps[path, child.symbol]))
     return "\n".join(next((blocks for blocks in found if blocks), []))
 
 
@@ -312,7 +379,7 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [pa.array(list(known), pa.string()), pa.array([way] * len(known), pa.int32()),
-             pa.array([json.dumps(w) for w in known.values()], pa.string())], names=["host", "way", "wrapper"])
+             pa.array([stored(w) for w in known.values()], pa.string())], names=["host", "way", "wrapper"])
 
     for batch in batches:
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
@@ -328,21 +395,21 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _merged(parts: pd.DataFrame) -> pd.DataFrame:
     wrapper = None
     for text in parts["wrapper"]:
-        other = json.loads(text)
+        other = restored(text)
         wrapper = other if wrapper is None else merge(wrapper, other)
-    return parts.iloc[:1].assign(wrapper=json.dumps(wrapper))[["host", "way", "wrapper"]]
+    return parts.iloc[:1].assign(wrapper=stored(wrapper))[["host", "way", "wrapper"]]
 
 
 def _extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tiers: dict[str, list] = {}
+    slots: dict[str, Slots] = {}
     for batch in batches:
         texts = []
         for page, wrapper in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist()):
-            if wrapper not in tiers:
-                if len(tiers) >= HOSTS_AT_ONCE:
-                    tiers.clear()
-                tiers[wrapper] = slot_paths(json.loads(wrapper))
-            texts.append(extract(parse(page), tiers[wrapper]))
+            if wrapper not in slots:
+                if len(slots) >= HOSTS_AT_ONCE:
+                    slots.clear()
+                slots[wrapper] = slot_paths(restored(wrapper))
+            texts.append(extract(parse(page), slots[wrapper]))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())],
                                          names=["page_id", "url", "text"])
 

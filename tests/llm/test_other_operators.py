@@ -13,7 +13,7 @@ from promospark.llm.language import identify, language_filter
 from promospark.llm.nearest import nearest
 from promospark.llm.ngram_join import drop_similar
 from promospark.llm.quality import quality_report
-from promospark.llm.wrappers import extract, main_text, merge, of_page, parse, slot_paths
+from promospark.llm.wrappers import extract, main_text, merge, of_page, parse, restored, slot_paths, stored
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
@@ -128,6 +128,18 @@ def test_alignment_decides_what_is_text(spark):
     assert all(got[30 + i] == "one long shared text" for i in range(4))
 
 
+def test_deep_pages(spark):
+    def page(n, text):
+        return (f"<article><p>{text}</p>" + "<div>" * n + "<aside>aside</aside>inside" + "</div>" * n
+                + "<p>after the deep part</p></article><footer>f</footer>")
+
+    rows = [(i, f"http://d.example.com/{i}", page(n, f"page {i}")) for i, n in enumerate((3, 199, 250, 5000, 5000, 60000))]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"page {i}\ninside\nafter the deep part" for i in range(6)}
+    twice = "<article>" + 2 * ("<div>" * 4000 + "x" + "</div>" * 4000) + "</article>"  # deep parts that follow each other
+    assert extract(parse(twice), slot_paths(restored(stored(of_page(parse(twice)))))) == "x\nx"
+
+
 def test_nearest_on_the_given_vectors(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = nearest(df, F.col("vec_id") % 20 == 0, rows_at_once=700).collect()
