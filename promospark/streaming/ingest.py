@@ -26,26 +26,29 @@ from promospark.plans.store import TableStore
 from promospark.session import checkpoint_dir
 
 
-def _seen_keys(store: TableStore, table: str, snapshot_id: str) -> DataFrame | None:
-    """Keys that the batches of a snapshot have brought so far."""
-    paths = [v["path"] for v in store.versions(f"{table}_seen")]
+def _seen_keys(store: TableStore, table: str, snapshot_id: str, but_batch: str | None = None) -> DataFrame | None:
+    """Keys that the batches of a snapshot, other than ``but_batch``, have brought so far."""
+    paths = [v["path"] for v in store.versions(f"{table}_seen") if v["batch_id"] != but_batch]
     if not paths:
         return None
     return store.spark.read.parquet(*paths).filter(F.col("snapshot_id") == snapshot_id).select(*KEY)
 
 
 def ingest_batch(store: TableStore, table: str, audit_table: str, tiles: DataFrame, batch_id: str,
-                 now: str, snapshot_id: str = "stream") -> bool:
+                 now: str, snapshot_id: str | None = None) -> bool:
     """Upsert a batch of tiles, which may be a part of its snapshot, into the stored state;
-    False when the batch id was already committed (replay).
+    False when the batch id was already committed (replay). Any other batch must name its
+    snapshot: keys count as repeated within one, and as changed from one to the next.
 
     Keys that an earlier batch of the snapshot brought are not seen again (P1), and
     nothing is soft-deleted before ``close_snapshot``."""
     if store.has_batch(table, batch_id):
         return False
+    if snapshot_id is None:
+        raise ValueError("snapshot_id is missing: a batch must name the snapshot that it is a part of")
     incoming = first_seen(normalize_tiles(tiles))
-    seen = _seen_keys(store, table, snapshot_id)
-    if seen is not None and not store.has_batch(f"{table}_seen", batch_id):
+    seen = _seen_keys(store, table, snapshot_id, batch_id)
+    if seen is not None:
         incoming = incoming.join(seen, KEY, "left_anti").select(*incoming.columns)
     if store.latest(table) is None:
         state = initial_state(incoming.limit(0), now)
@@ -55,9 +58,9 @@ def ingest_batch(store: TableStore, table: str, audit_table: str, tiles: DataFra
     # The state goes last: a batch counts as done once its state is there, and a replay
     # after a loss between the writes finds the others by the batch id and goes on.
     store.commit(audit_table, res.audit, batch_id)
+    store.commit(f"{table}_seen", incoming.select(*KEY, F.lit(snapshot_id).alias("snapshot_id")), batch_id)
     next_state = res.state.select(*STATE_COLUMNS)
     store.commit(table, next_state, batch_id, partition_by=["bank"])
-    store.commit(f"{table}_seen", incoming.select(*KEY, F.lit(snapshot_id).alias("snapshot_id")), batch_id)
     return True
 
 
@@ -77,17 +80,17 @@ def close_snapshot(store: TableStore, table: str, snapshot_id: str, now: str) ->
 def start_ingest_stream(spark: SparkSession, source_dir: str, tile_schema, table: str = "promotions",
                         audit_table: str = "scrape_runs", store: TableStore | None = None,
                         run_time: Callable[[int], str] | None = None, checkpoint: str | None = None,
-                        available_now: bool = True, files_per_batch: int = 1,
-                        snapshot_of: Callable[[int], str] | None = None):
+                        available_now: bool = True, files_per_batch: int = 1, *,
+                        snapshot_of: Callable[[int], str]):
     """Start the ingest stream over parquet tile files in ``source_dir``; ``snapshot_of``
-    names the snapshot that a micro-batch is a part of (all of one, if not given)."""
+    names the snapshot that a micro-batch is a part of."""
     store = store or TableStore(spark)
     ckpt = checkpoint or (checkpoint_dir(spark).rstrip("/") + f"/stream-{table}")
     clock = run_time or (lambda _bid: dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S"))
 
     def on_batch(batch_df: DataFrame, batch_id: int) -> None:
         ingest_batch(store, table, audit_table, batch_df, f"stream-{batch_id}", clock(batch_id),
-                     snapshot_of(batch_id) if snapshot_of else "stream")
+                     snapshot_of(batch_id))
 
     reader = spark.readStream.schema(tile_schema).option("maxFilesPerTrigger", files_per_batch)
     writer = reader.parquet(source_dir).writeStream.foreachBatch(on_batch).option("checkpointLocation", ckpt)

@@ -1,6 +1,7 @@
 """The streamed result equals the batch result."""
 import os
 import tempfile
+import types
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +69,54 @@ def test_snapshot_in_three_batches_with_a_loss_between_the_commits(spark):
     assert len(parts.versions("audit")) == 3
 
 
+@pytest.mark.parametrize("lost_after", ["audit", "promotions_seen", "promotions"])
+def test_loss_after_each_commit_and_a_changed_key(spark, monkeypatch, lost_after):
+    from promospark.streaming import ingest as W
+    columns = ["bank", "source_id", "image_url"]
+
+    def upserted(state, incoming, now, **_):
+        old = state.join(incoming, ["bank", "source_id"], "left_anti").select(*columns)
+        return types.SimpleNamespace(audit=incoming.groupBy("bank").count(), state=old.unionByName(incoming))
+
+    for name, stub in (("normalize_tiles", lambda df: df), ("first_seen", lambda df: df), ("run_ingest", upserted),
+                       ("initial_state", lambda df, now: df), ("STATE_COLUMNS", columns)):
+        monkeypatch.setattr(W, name, stub)
+    store = TableStore(spark, tempfile.mkdtemp(prefix="losses-") + "/store")
+
+    def brought(*rows):
+        return spark.createDataFrame([("ktc", k, v) for k, v in rows], "bank string, source_id string, image_url string")
+
+    def table():
+        return {r.source_id: r.image_url for r in store.read("promotions").collect()}
+
+    with pytest.raises(ValueError):
+        ingest_batch(store, "promotions", "audit", brought(("a", "1")), "b0", "now")  # no snapshot named
+    assert ingest_batch(store, "promotions", "audit", brought(("a", "1")), "b0", "now", "one") is True
+    second = brought(("a", "repeated"), ("b", "2"))
+    commit = TableStore.commit
+
+    def dying(self, name, *args, **kw):
+        out = commit(self, name, *args, **kw)
+        if name == lost_after:
+            raise OSError("lost")
+        return out
+
+    with monkeypatch.context() as lost:
+        lost.setattr(TableStore, "commit", dying)
+        with pytest.raises(OSError):
+            ingest_batch(store, "promotions", "audit", second, "b1", "now", "one")
+    assert ingest_batch(store, "promotions", "audit", second, "b1", "now", "one") is (lost_after != "promotions")
+    assert table() == {"a": "1", "b": "2"}
+    assert sorted(r.source_id for r in W._seen_keys(store, "promotions", "one").collect()) == ["a", "b"]
+    assert ingest_batch(store, "promotions", "audit", brought(("a", "changed")), "b2", "now", "two") is True
+    assert table() == {"a": "changed", "b": "2"}
+
+
+def test_stream_needs_snapshot_names(spark):
+    with pytest.raises(TypeError):
+        start_ingest_stream(spark, "/nowhere", "a INT")
+
+
 def test_unreadable_version_log_raises(spark):
     root = tempfile.mkdtemp(prefix="log-")
     store = TableStore(spark, root)
