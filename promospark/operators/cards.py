@@ -1,0 +1,128 @@
+"""Slots of KTC promotion cards in HTML, by balanced nesting and any quoting."""
+
+from __future__ import annotations
+
+from collections import Counter
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pyarrow as pa
+
+# What makes an element a card, and where its title stands.
+CARD_CLASSES = ("promotion", "card-item", "PromoCard")
+CARD_LINK = "/promotion/"
+TITLES = frozenset("h2 h3 h4 p".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose start ends an open paragraph.
+BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p "
+                   "pre section table ul".split())
+#: An end tag does not reach over an open element of higher rank; the others have OTHER_RANK.
+RANK = {"p": 10, "div": 150, "table": 160, "body": 200, "html": 220}
+OTHER_RANK = 100
+#: Pages without any of these hold no card; attribute values can have characters by number.
+MAY_HOLD_CARDS = "promotion|card-item|PromoCard|&#"
+
+
+class Card:
+    __slots__ = ("link", "title", "src")
+
+    def __init__(self, link: str | None):
+        self.link, self.title, self.src = link, None, None
+
+
+class CardParser(HTMLParser):
+    """Cards in the order of their starts, nested ones included; a slot is filled by the first that fits."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.cards: list[Card] = []
+        self.stack: list[tuple[str, Card | None, list | None]] = []
+        self.opened: Counter[str] = Counter()
+        # Open cards whose slot is empty, innermost last.
+        self.missing: dict[str, list[Card]] = {"link": [], "title": [], "src": []}
+        self.texts: list[list[str]] = []  # of the open titles that a card waits for
+
+    def fill(self, slot: str, value) -> None:
+        for card in self.missing[slot]:
+            setattr(card, slot, value)
+        self.missing[slot].clear()
+
+    def pop(self) -> None:
+        name, card, text = self.stack.pop()
+        self.opened[name] -= 1
+        if text is not None:
+            self.texts.pop()
+        if card is not None:
+            for waiting in self.missing.values():
+                if waiting and waiting[-1] is card:
+                    waiting.pop()
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        own: dict[str, str] = {}
+        for name, value in attrs:
+            own.setdefault(name, value or "")
+        if tag in BLOCKS:
+            self.handle_endtag("p")
+        if tag == "a":
+            self.handle_endtag("a")
+            if "href" in own:
+                self.fill("link", own["href"])
+        elif tag == "img":
+            self.fill("src", own.get("src") or own.get("data-src") or None)
+        text = None
+        if tag in TITLES and self.missing["title"]:
+            text = []
+            self.fill("title", text)
+            self.texts.append(text)
+        if tag in VOID:
+            return
+        card = None
+        if tag == "a" and CARD_LINK in own.get("href", ""):
+            card = Card(own["href"])
+        elif tag == "div" and any(x in own.get("class", "") for x in CARD_CLASSES):
+            card = Card(None)
+            self.missing["link"].append(card)
+        if card is not None:
+            self.cards.append(card)
+            self.missing["title"].append(card)
+            self.missing["src"].append(card)
+        self.stack.append((tag, card, text))
+        self.opened[tag] += 1
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)  # the slash of a non-void element has no meaning in HTML
+
+    def handle_endtag(self, tag: str) -> None:
+        if not self.opened[tag]:
+            return
+        rank = RANK.get(tag, OTHER_RANK)
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] == tag:
+                while len(self.stack) > k:
+                    self.pop()
+                return
+            if RANK.get(self.stack[k][0], OTHER_RANK) > rank:
+                return
+
+    def handle_data(self, data: str) -> None:
+        for text in self.texts:
+            text.append(data)
+
+
+def cards_of(html: str) -> list[tuple[str, str, str | None]]:
+    """(link, title text, image source) of each card."""
+    parser = CardParser()
+    parser.feed(html)
+    parser.close()
+    return [(c.link or "", "".join(c.title or ()), c.src) for c in parser.cards]
+
+
+def card_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (seq, pos, link, heading, src) from rows (seq, html)."""
+    for batch in batches:
+        rows = [(seq, pos, *card) for seq, html in zip(batch.column("seq").to_pylist(), batch.column("html").to_pylist())
+                for pos, card in enumerate(cards_of(html))]
+        columns = list(zip(*rows)) or [()] * 5
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()))],
+            names=["seq", "pos", "link", "heading", "src"])

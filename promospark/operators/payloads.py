@@ -214,10 +214,7 @@ def item_fields(items: DataFrame, scraped_at: str = "2026-03-01 06:00:00") -> Da
 # KTC pages are JSON-first; a page without usable embedded JSON falls
 # back to HTML cards (anchors to /promotion/ pages or promotion/card divs, in
 # document order; duplicates are left to the first-seen dedup).
-# A zero-width look-ahead capture yields every card start, nested ones included
-# (a selector returns an enclosing promotion div and the cards inside it).
-KTC_CARD_RE = (r'(?s)(?=(<a\s[^>]*href="[^"]*/promotion/[^"]*"[^>]*>.*?</a>'
-               r'|<div\s[^>]*class="[^"]*(?:promotion|card-item|PromoCard)[^"]*"[^>]*>.*?</div>))')
+# A selector returns an enclosing promotion div and the cards inside it.
 KTC_BASE = "https://www.ktc.co.th"
 
 
@@ -233,19 +230,15 @@ def ktc_html_cards(pages: DataFrame) -> DataFrame:
     from promospark.functions.checksum import checksum
     from promospark.functions.text import normalize_text
     from promospark.functions.urls import last_segment
-    from promospark.operators.tiles import unescape
-
-    cards = (pages.filter(~has_next_data(F.col("html")))
-             .select("seq", F.posexplode(F.regexp_extract_all("html", F.lit(KTC_CARD_RE), 1))
-                     .alias("pos", "card")))
-    card = F.col("card")
-    link = F.when(card.startswith("<a"), F.regexp_extract(card, r'^<a\s[^>]*href="([^"]*)"', 1)) \
-        .otherwise(F.regexp_extract(card, r'<a\s[^>]*href="([^"]*)"', 1))
-    heading = F.regexp_extract(card, r"(?s)<(h2|h3|h4|p)(?:\s[^>]*)?>(.*?)</\1>", 2)
-    title = normalize_text(unescape(F.regexp_replace(heading, "<[^>]*>", "")))
-    img = F.regexp_extract(card, r"<img\s[^>]*>", 0)
-    src = F.coalesce(F.nullif(F.regexp_extract(img, r'\ssrc="([^"]*)"', 1), F.lit("")),
-                     F.nullif(F.regexp_extract(img, r'\sdata-src="([^"]*)"', 1), F.lit("")))
+    from promospark.llm.common import ship_package
+    from promospark.operators.cards import MAY_HOLD_CARDS, card_rows
+
+    ship_package(pages.sparkSession)
+    cards = (pages.filter(~has_next_data(F.col("html")) & F.col("html").rlike(MAY_HOLD_CARDS))
+             .select(F.col("seq").cast("long").alias("seq"), "html")
+             .mapInArrow(card_rows, "seq bigint, pos int, link string, heading string, src string"))
+    link, src = F.col("link"), F.col("src")
+    title = normalize_text(F.col("heading"))
     image = F.when(src.startswith("/"), F.concat(F.lit(KTC_BASE), src)).otherwise(src)
     rows = cards.select(
         "seq", "pos", link.alias("link"), title.alias("title"), image.alias("image_url"))

@@ -32,3 +32,22 @@ def test_json_first_then_html_cards(spark):
         ("j1", "JSON deal 10%", "https://www.ktc.co.th/promotion/j1", "JSON deal 10%", None),
         ("fallback-1", "Fallback card", "https://www.ktc.co.th/promotion/fallback-1", "Fallback card", None),
     }
+
+
+NESTED_PAGE = """<body><div class="promotion-card"><div class="img"><img src='/img/a.jpg'></div><h3>Nested &amp; deep</h3>
+<div><a href='/promotion/x/nested-1'>more</a></div></div><p>outside</p>
+<div class='card-item wide'><div><div></div></div><p>Single <b>quoted</b></p><a href=/about/unquoted>more</a></div>
+<a href='/promotion/y/anchor-1'><h4>Anchor one</h4><img data-src="https://i/b.jpg"></a>
+<div class=PromoCard><span>no title</span></div><h2>not in a card</h2>
+<script>var x = "<div class='promotion'><h3>script</h3></div>"</script></body>"""
+
+
+def test_cards_by_nesting_and_any_quoting(spark):
+    pages = spark.createDataFrame([(1, NESTED_PAGE), (2, None), (3, "<p>none</p>")], "seq BIGINT, html STRING")
+    rows = [(r["source_id"], r["title"], r["source_url"], r["image_url"])
+            for r in ktc_page_promotions(pages).orderBy("ord").collect()]
+    assert rows == [
+        ("nested-1", "Nested & deep", "https://www.ktc.co.th/promotion/x/nested-1", "https://www.ktc.co.th/img/a.jpg"),
+        ("unquoted", "Single quoted", "https://www.ktc.co.th/about/unquoted", None),
+        ("anchor-1", "Anchor one", "https://www.ktc.co.th/promotion/y/anchor-1", "https://i/b.jpg"),
+    ]
