@@ -230,8 +230,8 @@ def ktc_html_cards(pages: DataFrame) -> DataFrame:
     from promospark.functions.checksum import checksum
     from promospark.functions.text import normalize_text
     from promospark.functions.urls import last_segment
-    from promospark.llm.common import ship_package
     from promospark.operators.cards import MAY_HOLD_CARDS, card_rows
+    from promospark.session import ship_package
 
     ship_package(pages.sparkSession)
     cards = (pages.filter(~has_next_data(F.col("html")) & F.col("html").rlike(MAY_HOLD_CARDS))

@@ -8,8 +8,10 @@ checkpoint location.
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,6 +72,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, root))
+    path = os.path.join(tempfile.mkdtemp(prefix="package-code-"), f"{os.path.basename(package)}.zip")
+    with open(path, "wb") as f:
+        f.write(buffer.getvalue())
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin repartition when ``df`` has fewer partitions than the cluster
     has cores (e.g. a small file stored as one row group), so the CPU-heavy
