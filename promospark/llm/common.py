@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import io
-import os
 import tempfile
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promospark.session import ship_package  # noqa: F401 - the operators take it from here
+
 #: The white space that separates words (fixed value).
 WORD_SPACE = " \t\n\x0b\x0c\r"
 
-_SHIPPED: set[str] = set()
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder in ``spark.checkpoint.dir``.
 
@@ -39,27 +35,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    package = os.path.basename(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as z:
-        for folder, _, names in os.walk(os.path.join(root, package)):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, root))
-    path = os.path.join(tempfile.mkdtemp(prefix="llm-code-"), f"{package}.zip")
-    with open(path, "wb") as f:
-        f.write(buffer.getvalue())
-    sc.addPyFile(path)
-    _SHIPPED.add(sc.applicationId)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
