@@ -16,6 +16,7 @@ from promospark.llm.nearest import nearest
 from promospark.llm.ngram_join import similarity_components
 from promospark.llm.packing import pack
 from promospark.llm.quality import quality_report
+from promospark.llm.spelling import spelling_variants
 from promospark.llm.suffix_dedup import removal_report
 from promospark.llm.token_counts import token_counts
 from promospark.llm.wrappers import main_text
@@ -63,6 +64,10 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_counts": op2_token_counts,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op8_html_text": op8_html_text,
     "op9_nearest": op9_nearest,
     "op10_ngram_join": op10_ngram_join,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
