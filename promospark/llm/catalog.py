@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from promospark.llm import oracle
 from promospark.llm.bpe_automaton import encode_digests
 from promospark.llm.chat import formatted_chats
+from promospark.llm.chat_repair import damaged, repair_report
 from promospark.llm.common import read_table, tokenizer_path
 from promospark.llm.language import identify
 from promospark.llm.nearest import nearest
@@ -68,6 +69,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(read_table(spark, sf_dir, "documents"))
 
 
+def op13_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = read_table(spark, sf_dir, "conversations")
+    return repair_report(damaged(chats), chats)
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_counts": op2_token_counts,
@@ -80,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op9_nearest": op9_nearest,
     "op10_ngram_join": op10_ngram_join,
     "op11_spelling_variants": op11_spelling_variants,
+    "op13_chat_repair": op13_chat_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
