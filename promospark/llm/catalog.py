@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from promospark.llm import oracle
 from promospark.llm.bpe_automaton import encode_digests
 from promospark.llm.chat import formatted_chats
 from promospark.llm.chat_repair import damaged, repair_report
-from promospark.llm.common import read_table, tokenizer_path
+from promospark.llm.common import ensure_checkpoint_dir, read_table, tokenizer_path
+from promospark.llm.id_files import read_ids, write_ids
 from promospark.llm.language import identify
 from promospark.llm.nearest import nearest
 from promospark.llm.ngram_join import similarity_components
@@ -69,6 +71,12 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(read_table(spark, sf_dir, "documents"))
 
 
+def op12_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{ensure_checkpoint_dir(spark)}/ids-{uuid.uuid4().hex}"
+    write_ids(read_table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
+    return read_ids(spark, path)
+
+
 def op13_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = read_table(spark, sf_dir, "conversations")
     return repair_report(damaged(chats), chats)
@@ -86,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op9_nearest": op9_nearest,
     "op10_ngram_join": op10_ngram_join,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_id_files": op12_id_files,
     "op13_chat_repair": op13_chat_repair,
 }
 
