@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from promospark.sources.specs import KTC_HUBS
+
 NEXT_DATA_RE = r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>'
 
 # Item-list locations and field aliases, in lookup order.
@@ -142,7 +144,7 @@ def cardx_items(payload: Column) -> Column:
 def explode_items(payloads: DataFrame) -> DataFrame:
     """One row per item with its position; ``bank`` selects the rules."""
     items = F.when(F.col("bank") == "ktc", ktc_items(F.col("payload"))).otherwise(cardx_items(F.col("payload")))
-    return payloads.select("bank", "seq", F.posexplode(items).alias("pos", "item"))
+    return with_hub(payloads).select("bank", "hub_slug", "hub_ord", "seq", F.posexplode(items).alias("pos", "item"))
 
 
 def item_fields(items: DataFrame, scraped_at: str = "2026-03-01 06:00:00") -> DataFrame:
@@ -186,8 +188,8 @@ def item_fields(items: DataFrame, scraped_at: str = "2026-03-01 06:00:00") -> Da
             return F.try_variant_get(it, "$.slug", "string")
         return text(src, "slug")
 
-    return items.select(
-        "bank", F.lit(None).cast("string").alias("hub_slug"), F.lit(0).alias("hub_ord"),
+    return with_hub(items).select(
+        "bank", "hub_slug", "hub_ord",
         F.coalesce(per_source(lambda s: text(s, "id")), F.lit("")).alias("item_id"),
         F.coalesce(per_source(lambda s: text(s, "title")), F.lit("")).alias("title_raw"),
         F.coalesce(per_source(lambda s: text(s, "description")), F.lit("")).alias("description_raw"),
@@ -205,7 +207,7 @@ def item_fields(items: DataFrame, scraped_at: str = "2026-03-01 06:00:00") -> Da
         F.lit(scraped_at).cast("timestamp_ntz").alias("scraped_at"),
         F.lit(None).cast("string").alias("page_url"),
         F.to_json("item").alias("raw_item"),
-        F.struct(F.lit(0).alias("hub_ord"), "seq", "pos").alias("ord"),
+        F.struct("hub_ord", "seq", "pos").alias("ord"),
         (F.col("seq") * (1 << 20) + F.col("pos")).alias("seq"),
     )
 
@@ -217,6 +219,9 @@ def item_fields(items: DataFrame, scraped_at: str = "2026-03-01 06:00:00") -> Da
 # A selector returns an enclosing promotion div and the cards inside it.
 KTC_BASE = "https://www.ktc.co.th"
 
+#: Pages without any of these hold no card; attribute values can have characters by number.
+MAY_HOLD_CARDS = "promotion|card-item|PromoCard|&#"
+
 
 def has_next_data(html: Column) -> Column:
     """Embedded JSON present, parseable and truthy."""
@@ -226,47 +231,48 @@ def has_next_data(html: Column) -> Column:
 
 def ktc_html_cards(pages: DataFrame) -> DataFrame:
     """Cards of pages without embedded JSON -> promotion rows (title = first
-    h2/h3/h4/p text, link from the card or its first link, merchant = title)."""
+    h2/h3/h4/p text, link from the card or its first link, merchant = title).
+    C1/P3: a category page's slug is the category, the main page gives none."""
     from promospark.functions.checksum import checksum
     from promospark.functions.text import normalize_text
-    from promospark.functions.urls import last_segment
-    from promospark.operators.cards import MAY_HOLD_CARDS, card_rows
-    from promospark.session import ship_package
-
-    ship_package(pages.sparkSession)
-    cards = (pages.filter(~has_next_data(F.col("html")) & F.col("html").rlike(MAY_HOLD_CARDS))
-             .select(F.col("seq").cast("long").alias("seq"), "html")
-             .mapInArrow(card_rows, "seq bigint, pos int, link string, heading string, src string"))
-    link, src = F.col("link"), F.col("src")
-    title = normalize_text(F.col("heading"))
-    image = F.when(src.startswith("/"), F.concat(F.lit(KTC_BASE), src)).otherwise(src)
-    rows = cards.select(
-        "seq", "pos", link.alias("link"), title.alias("title"), image.alias("image_url"))
-    rows = rows.filter(F.col("title") != "")
-    source_id = F.when(F.col("link") != "", last_segment(F.col("link"))) \
-        .otherwise(F.substring("title", 1, 50))
+    from promospark.functions.urls import absolutize_image, last_segment
+    from promospark.operators.html_tiles import ktc_cards
+
+    held = with_hub(pages).filter(~has_next_data(F.col("html")) & F.col("html").rlike(MAY_HOLD_CARDS))
+    link = F.col("href")
+    rows = ktc_cards(held).withColumn("title", normalize_text(F.col("heading"))).filter(F.col("title") != "")
+    source_id = F.when(link != "", last_segment(link)).otherwise(F.substring("title", 1, 50))
     out = rows.select(
         F.lit("ktc").alias("bank"), source_id.alias("source_id"),
-        F.when(F.col("link").startswith("http"), F.col("link"))
-        .otherwise(F.concat(F.lit(KTC_BASE), F.col("link"))).alias("source_url"),
-        "title", F.lit("").alias("description"), "image_url",
-        F.array().cast("array<string>").alias("card_types"), F.lit(None).cast("string").alias("category"),
+        F.when(link.startswith("http"), link).otherwise(F.concat(F.lit(KTC_BASE), link)).alias("source_url"),
+        "title", F.lit("").alias("description"), absolutize_image(F.col("src"), KTC_BASE).alias("image_url"),
+        F.array().cast("array<string>").alias("card_types"),
+        F.when(F.col("hub_slug").isin(*KTC_HUBS), F.col("hub_slug")).alias("category"),
         F.col("title").alias("merchant_name"), F.lit(None).cast("string").alias("discount_type"),
         F.lit(None).cast("string").alias("discount_value"), F.lit(None).cast("double").alias("minimum_spend"),
         F.lit(None).cast("date").alias("start_date"), F.lit(None).cast("date").alias("end_date"),
         F.lit(None).cast("string").alias("terms_and_conditions"),
         F.lit('{"html_source": true}').alias("raw_data"),
-        F.struct(F.lit(0).alias("hub_ord"), "seq", "pos").alias("ord"))
+        F.struct("hub_ord", "seq", "pos").alias("ord"))
     return out.withColumn("checksum", checksum()) \
         .withColumn("id", F.sha2(F.concat_ws("/", F.col("bank"), F.col("source_id")), 256))
 
 
 def ktc_page_promotions(pages: DataFrame) -> DataFrame:
     """JSON items for pages with embedded JSON, HTML cards for the others,
-    concatenated (C1) with their page/tile order kept for the dedup."""
+    concatenated (C1) with their hub, page and tile order kept for the dedup.
+
+    ``pages`` has seq and html, and hub_slug and hub_ord where hubs are known (``sources.hubs``)."""
     from promospark.operators.extract import PROMOTION_COLUMNS, normalize_tiles
-    with_json = pages.filter(has_next_data(F.col("html"))).select(
-        F.lit("ktc").alias("bank"), "seq", F.col("html").alias("payload"))
+    with_json = with_hub(pages).filter(has_next_data(F.col("html"))).select(
+        F.lit("ktc").alias("bank"), "hub_slug", "hub_ord", "seq", F.col("html").alias("payload"))
     json_rows = normalize_tiles(item_fields(explode_items(with_json)))
     cols = [c for c in PROMOTION_COLUMNS if c != "scraped_at"] + ["ord"]
     return json_rows.select(*cols).unionByName(ktc_html_cards(pages).select(*cols))
+
+
+def with_hub(rows: DataFrame) -> DataFrame:
+    """``rows`` with hub_slug and hub_ord; rows without them stand first and in no hub."""
+    if "hub_slug" not in rows.columns:
+        rows = rows.withColumn("hub_slug", F.lit(None).cast("string"))
+    return rows if "hub_ord" in rows.columns else rows.withColumn("hub_ord", F.lit(0))

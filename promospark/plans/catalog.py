@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from promospark.functions.text import normalize_text
+from promospark.functions.urls import absolutize_image
 from promospark.operators import aggregates as A
 from promospark.operators import query as Q
 from promospark.operators.dedup import first_seen, key_duplicates
-from promospark.operators.extract import normalize_tiles
+from promospark.operators.extract import by_source, normalize_tiles
 from promospark.operators.upsert import initial_state, plan_upsert, upsert_counts
 from promospark.plans import ingest as I
 from promospark.session import tune
@@ -590,6 +592,69 @@ def q_page_first_seen(spark, sf_dir):
                                 F.col("ord.pos").alias("pos"))
 
 
+# ------------------------------------------------------------------ html tiles
+from promospark.operators import html_tiles as H  # noqa: E402
+from promospark.sources.html_feed import load_html_pages  # noqa: E402
+
+
+def html_outcomes(spark, sf_dir):
+    return H.outcomes(H.extract_tiles(load_html_pages(spark, sf_dir)))
+
+
+@register("html_tiles", O.with_html_tiles(
+    f"SELECT bank, hub_slug, page_id, pos, {O.normalize('title_raw')} AS title, {O.normalize('description_raw')} AS description, "
+    "date_raw, category_raw, href, CASE WHEN starts_with(image_raw, '/') THEN CASE bank WHEN 'kasikorn' THEN 'https://www.kasikornbank.com' "
+    "WHEN 'krungsri' THEN 'https://www.krungsri.com' WHEN 'uob' THEN 'https://www.uob.co.th' WHEN 'amex' THEN "
+    "'https://www.americanexpress.com' ELSE 'https://www.bangkokbank.com' END || image_raw ELSE image_raw END AS image FROM htiles"))
+def q_html_tiles(spark, sf_dir):
+    """Accepted tiles of every HTML source, by its own rules, with their raw slots."""
+    t = html_outcomes(spark, sf_dir).where("reason IS NULL")
+    return t.select("bank", "hub_slug", "page_id", "pos", normalize_text("title_raw").alias("title"),
+                    normalize_text("description_raw").alias("description"), "date_raw", "category_raw", "href",
+                    by_source(lambda spec: absolutize_image(F.col("image_raw"), spec.base_url)).alias("image"))
+
+
+_HTML_PROMO_COLS = ["bank", "source_id", "source_url", "title", "description", "image_url", "category", "merchant_name",
+                    "discount_type", "discount_value", "minimum_spend", "start_date", "end_date", "checksum"]
+
+
+def html_promotions(spark, sf_dir):
+    return H.accepted(html_outcomes(spark, sf_dir))
+
+
+@register("html_promotions", O.with_html_promos(f"SELECT {', '.join(_HTML_PROMO_COLS)}, page_id, pos FROM promos_ck"))
+def q_html_promotions(spark, sf_dir):
+    """X1-X16, T, M, D, P2, P3, U1: HTML pages to promotion rows."""
+    return html_promotions(spark, sf_dir).select(*_HTML_PROMO_COLS, F.col("ord.page_id").alias("page_id"), F.col("ord.pos").alias("pos"))
+
+
+@register("html_first_seen", O.with_html_promos(
+    "SELECT bank, source_id, title, page_id, pos FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY bank, source_id ORDER BY hub_ord, page_id, pos) AS rn FROM promos) WHERE rn = 1"))
+def q_html_first_seen(spark, sf_dir):
+    """P1 over HTML tiles: the first per (source, id) in hub, page and tile order."""
+    return first_seen(html_promotions(spark, sf_dir)).select(
+        "bank", "source_id", "title", F.col("ord.page_id").alias("page_id"), F.col("ord.pos").alias("pos"))
+
+
+@register("rejected_tiles", O.with_html_tiles("SELECT bank, hub_slug, page_id, pos, reason, title, href FROM hrejects"))
+def q_rejected_tiles(spark, sf_dir):
+    """The reject side table, with reasons."""
+    return H.rejected(html_outcomes(spark, sf_dir))
+
+
+@register("tile_outcomes", O.with_html_tiles(
+    "SELECT bank, count(*) AS n_tiles, count(*) FILTER (WHERE reason IS NULL) AS n_accepted, "
+    "count(*) FILTER (WHERE reason IS NOT NULL) AS n_rejected, count(DISTINCT page_id) AS n_pages FROM ("
+    "SELECT bank, page_id, CAST(NULL AS VARCHAR) AS reason FROM htiles UNION ALL SELECT bank, page_id, reason FROM hrejects) "
+    "GROUP BY bank"))
+def q_tile_outcomes(spark, sf_dir):
+    """Accepted and rejected tiles per source; together they are all tiles."""
+    return html_outcomes(spark, sf_dir).groupBy("bank").agg(
+        F.count(F.lit(1)).alias("n_tiles"), F.count_if(F.col("reason").isNull()).alias("n_accepted"),
+        F.count_if(F.col("reason").isNotNull()).alias("n_rejected"), F.countDistinct("page_id").alias("n_pages"))
+
+
 # ------------------------------------------------------------------ payloads
 from promospark.operators import payloads as J  # noqa: E402
 from promospark.sources.feeds import load_payloads  # noqa: E402
@@ -657,3 +722,26 @@ def q_ktc_pages(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages").select((F.col("page_id") + F.lit(1 << 40)).alias("seq"), "html")
     rows = J.ktc_page_promotions(docs.unionByName(pages))
     return rows.select("bank", "source_id", "source_url", "title", "merchant_name", "checksum")
+
+
+# ------------------------------------------------------------------ KTC hub pages
+from promospark.sources.html_feed import load_ktc_hub_pages  # noqa: E402
+from promospark.sources.hubs import stamp_hubs  # noqa: E402
+
+
+@register("ktc_html_cards", O.with_ktc_cards(
+    "SELECT source_id, source_url, title, image_url, category, merchant_name, pseq AS page_seq, checksum FROM kcards_ck"))
+def q_ktc_html_cards(spark, sf_dir):
+    """Promotion rows of the cards on KTC pages without embedded JSON."""
+    cards = J.ktc_html_cards(stamp_hubs(load_ktc_hub_pages(spark, sf_dir)))
+    return cards.select("source_id", "source_url", "title", "image_url", "category", "merchant_name",
+                        F.col("ord.seq").alias("page_seq"), "checksum")
+
+
+@register("ktc_hub_categories", O.with_ktc_hubs("SELECT source_id, title, category, hub_ord, pseq AS page_seq FROM kfirst"))
+def q_ktc_hub_categories(spark, sf_dir):
+    """The first row of each id over KTC's main page and categories, JSON or cards as each page decides;
+    a category page gives its slug to rows without category, the main page none."""
+    rows = J.ktc_page_promotions(stamp_hubs(load_ktc_hub_pages(spark, sf_dir)))
+    return first_seen(rows, order="ord").select("source_id", "title", "category", F.col("ord.hub_ord").alias("hub_ord"),
+                                                F.col("ord.seq").alias("page_seq"))

@@ -563,6 +563,43 @@ def with_page_tiles(select: str) -> str:
     return "WITH " + page_tiles_ctes() + "\n" + select
 
 
+# ---------------------------------------------------------------- html tiles
+def html_tiles_ctes() -> str:
+    """The tiles of the HTML pages, from the source columns alone: their places on the pages, and the slots that each
+    site's tiles have (typed out here; uob and amex show no category, uob no date)."""
+    return f"""hplaces AS (
+  SELECT *, (l_orderkey // 32 * 8 + CASE bank WHEN 'kasikorn' THEN 0 WHEN 'krungsri' THEN 1 WHEN 'uob' THEN 2
+      WHEN 'amex' THEN 3 ELSE 4 END) * 4 + hub_ord AS page_id
+  FROM tiles WHERE bank IN ('kasikorn', 'krungsri', 'uob', 'amex', 'bbl')
+),
+htiles AS (
+  SELECT * REPLACE (
+      CASE WHEN bank IN ('uob', 'amex') THEN NULL ELSE {normalize('category_raw')} END AS category_raw,
+      CASE WHEN bank = 'uob' THEN NULL ELSE date_raw END AS date_raw,
+      CASE WHEN bank = 'bbl' THEN '' ELSE description_raw END AS description_raw,
+      TIMESTAMP '2026-03-01 06:00:00' AS scraped_at),
+    CAST(row_number() OVER (PARTITION BY page_id ORDER BY {ORDER_COLS}) - 1 AS INTEGER) AS pos
+  FROM hplaces
+),
+hpages AS (SELECT bank, hub_slug, page_id, count(*) AS n FROM htiles GROUP BY bank, hub_slug, page_id),
+hrejects AS (
+  SELECT bank, hub_slug, page_id, CAST(n AS INTEGER) AS pos, 'no title' AS reason, ' ' || chr(160) || ' ' AS title, '' AS href
+  FROM hpages WHERE page_id % 5 = 0
+  UNION ALL
+  SELECT bank, hub_slug, page_id, CAST(n + (CASE WHEN page_id % 5 = 0 THEN 1 ELSE 0 END) AS INTEGER), 'short title', 'ab', ''
+  FROM hpages WHERE page_id % 7 = 0
+)"""
+
+
+def with_html_tiles(select: str) -> str:
+    return "WITH " + tiles_sql() + ",\n" + html_tiles_ctes() + "\n" + select
+
+
+def with_html_promos(select: str) -> str:
+    body = promos_sql("htiles", extra=", page_id, pos", pre_ctes=html_tiles_ctes())
+    return "WITH " + body + ",\n" + f"promos_ck AS (SELECT *, {checksum()} AS checksum FROM promos)" + "\n" + select
+
+
 # ---------------------------------------------------------------- payloads
 def _js(e: str) -> str:
     return "'\"' || " + e + " || '\"'"
@@ -748,3 +785,52 @@ def with_payload_promos(select: str) -> str:
     body = promos_sql("jtiles", order_cols="hub_ord, pseq, pos", pre_ctes=pre)
     ck = f"promos_ck AS (SELECT *, {checksum()} AS checksum FROM promos)"
     return "WITH " + body + ",\n" + ck + "\n" + select
+
+
+# ---------------------------------------------------------------- KTC hub pages
+def ktc_cards_ctes() -> str:
+    """Promotion rows of the cards, from the source columns alone."""
+    title = normalize("title_raw")
+    return f"""kcards AS (
+  SELECT *, CASE WHEN href <> '' THEN string_split(rtrim(href, '/'), '/')[-1] ELSE substring(title, 1, 50) END AS source_id,
+    'https://www.ktc.co.th' || href AS source_url, title AS merchant_name
+  FROM (
+    SELECT 'ktc' AS bank, {title} AS title, '' AS description, href,
+      CASE WHEN image_raw = '' THEN NULL WHEN starts_with(image_raw, '/') THEN 'https://www.ktc.co.th' || image_raw ELSE image_raw END
+        AS image_url, []::VARCHAR[] AS card_types, hub_slug AS category, CAST(NULL AS VARCHAR) AS discount_type,
+      CAST(NULL AS VARCHAR) AS discount_value, CAST(NULL AS DOUBLE) AS minimum_spend, CAST(NULL AS DATE) AS start_date,
+      CAST(NULL AS DATE) AS end_date, CAST(NULL AS VARCHAR) AS terms_and_conditions, hub_ord + 1 AS page_hub,
+      (l_orderkey // 32 * 16 + hub_ord + 1) + 1099511627776 AS pseq, {ORDER_COLS}
+    FROM tiles WHERE bank = 'ktc')
+  WHERE title <> ''
+)"""
+
+
+def with_ktc_cards(select: str) -> str:
+    return ("WITH " + tiles_sql() + ",\n" + ktc_cards_ctes() + ",\n"
+            + f"kcards_ck AS (SELECT *, {checksum()} AS checksum FROM kcards)" + "\n" + select)
+
+
+def with_ktc_hubs(select: str) -> str:
+    """``kfirst``: the first row of each source_id over hubs, pages and places."""
+    pre = payload_ctes() + ",\n" + located_ctes() + ",\n" + payload_tiles_ctes() + """,
+khub AS (
+  SELECT * REPLACE (CASE WHEN (pseq // 16) % 2 = 1 THEN NULL ELSE category_raw END AS category_raw,
+                    CAST(pseq % 16 AS INTEGER) AS hub_ord),
+    """ + lst(["main", *KTC_HUBS]) + """[pseq % 16 + 1] AS slug_of_hub
+  FROM jtiles WHERE bank = 'ktc'
+)"""
+    return "WITH " + tiles_sql() + ",\n" + pre + ",\n" + ktc_cards_ctes() + """,
+kall AS (
+  SELECT item_id AS source_id, """ + normalize("title_raw") + """ AS title,
+    coalesce(nullif(category_raw, ''), CASE WHEN slug_of_hub <> 'main' THEN slug_of_hub END) AS category,
+    hub_ord, pseq, row_number() OVER (ORDER BY hub_ord, pseq, pos) AS place
+  FROM khub WHERE item_id <> '' AND title_raw <> ''
+  UNION ALL
+  SELECT source_id, title, category, page_hub, pseq, row_number() OVER (ORDER BY page_hub, pseq, """ + ORDER_COLS + """)
+  FROM kcards
+),
+kfirst AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY hub_ord, pseq, place) AS rn FROM kall) WHERE rn = 1
+)
+""" + select
