@@ -107,3 +107,31 @@ def repeated_failures(runs: DataFrame, threshold: int = REPEATED_FAILURE_THRESHO
         F.min_by("error_message", "_rn").alias("last_error"))
     return agg.filter((F.col("n_recent") >= threshold) & F.col("all_failed")) \
         .select("bank", F.col("n_recent").cast("long").alias("consecutive_failures"), "last_error")
+
+
+def failure_alerts(runs: DataFrame, threshold: int = REPEATED_FAILURE_THRESHOLD, bucket: str = "DAY") -> DataFrame:
+    """U10 over history: every failed run that ended ``threshold`` or more failed runs of its bank in a row,
+    in order of start, with the length of the row of failures up to it.
+
+    Rows of failures are counted within (bank, time bucket), and what earlier buckets carry over is
+    found from one summary row per bucket, so no task holds all runs of a bank. Runs without a start
+    time are not in the order and left out."""
+    rows = runs.where("started_at IS NOT NULL").select(
+        "id", "bank", "started_at", "error_message", (F.col("status") == "failed").alias("bad"),
+        F.date_trunc(bucket, "started_at").alias("bucket"))
+    inside = Window.partitionBy("bank", "bucket").orderBy("started_at", F.col("id").desc())
+    rows = rows.withColumn("at", F.row_number().over(inside))
+    rows = rows.withColumn("last_good", F.max(F.when(~F.col("bad"), F.col("at"))).over(inside))
+    summary = rows.groupBy("bank", "bucket").agg(
+        F.max("at").alias("n"), F.max(F.when(~F.col("bad"), F.col("at"))).alias("good"))
+    # Runs before a bucket's end, and before its last good one, counted over all buckets of the bank.
+    over = Window.partitionBy("bank").orderBy("bucket")
+    upto = F.sum("n").over(over)
+    before = Window.partitionBy("bank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (summary.withColumn("upto", upto).withColumn("good_at", F.col("upto") - F.col("n") + F.col("good"))
+               .select(F.col("bank").alias("of"), F.col("bucket").alias("during"),
+                       (F.coalesce(F.max("upto").over(before), F.lit(0)) - F.coalesce(F.max("good_at").over(before), F.lit(0))).alias("carry")))
+    joined = rows.join(carried, F.col("bank").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("during")))
+    streak = F.when(F.col("last_good").isNull(), F.col("at") + F.col("carry")).otherwise(F.col("at") - F.col("last_good"))
+    return (joined.where("bad").withColumn("consecutive_failures", streak.cast("long")).where(F.col("consecutive_failures") >= threshold)
+            .select("id", "bank", "started_at", "consecutive_failures", F.col("error_message").alias("last_error")))

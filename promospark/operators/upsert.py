@@ -8,12 +8,14 @@ of a key that is not stored is an insert; every later row (and the first row of
 a stored key) is an update when its checksum differs from the checksum of the
 row just before it (or the stored one). The winner is the last row that wrote.
 
-Skew: the "row just before" is found with a window over ``(key, bucket)`` where
-``bucket = seq div bucket_width`` splits a hot key's rows into contiguous
-ranges; each bucket is then reduced to a handful of values (first/last
-checksum, change count, first row, last written row) and a second, tiny window
-over the buckets of a key stitches the ranges together. No task ever holds
-more than one bucket of one key.
+Skew: keys and checksums alone are dealt out by range of (key, order), so that a
+key with a third of all rows stands in as many range partitions as its rows fill
+(its buckets). Each bucket is reduced to an associative summary (first and last
+checksum, changes inside, place of the first and of the last changed row), and a
+second, tiny window over the buckets of a key merges the summaries. The winning
+row itself is fetched by its place in the end. No task holds more of a key than
+one range partition. A batch with one row per key needs none of this
+(``plan_unique``).
 """
 
 from __future__ import annotations
@@ -26,25 +28,40 @@ from promospark.operators.extract import PROMOTION_COLUMNS
 KEY = ["bank", "source_id"]
 CONTENT = [c for c in PROMOTION_COLUMNS if c not in ("id", "bank", "source_id")]
 STATE_COLUMNS = PROMOTION_COLUMNS + ["is_active", "created_at", "updated_at"]
-DEFAULT_BUCKET_WIDTH = 1 << 20
 
 
 def _ts(now) -> Column:
     return F.lit(now).cast("timestamp_ntz") if isinstance(now, str) else now
 
 
+def _content() -> Column:
+    return F.struct(*[F.col(c) for c in ["id"] + CONTENT])
+
+
+def plan_unique(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The plan of ``plan_upsert`` for a batch with one row per key: one join with the stored checksums."""
+    stored_c = stored.select(*KEY, F.col("checksum").alias("stored_c"))
+    rows = incoming.select(*KEY, F.col("checksum").alias("_c"), _content().alias("_row")).join(stored_c, KEY, "left")
+    is_new, changed = F.col("stored_c").isNull(), F.col("stored_c") != F.col("_c")
+    return rows.select(*KEY, is_new.alias("is_new"), F.when(changed, 1).otherwise(0).cast("long").alias("n_updates"),
+                       F.lit(1).cast("long").alias("n_rows"), F.when(is_new | changed, F.col("_row")).alias("w"))
+
+
 def plan_upsert(stored: DataFrame, incoming: DataFrame, seq: str = "seq", order: str = "ord",
-                bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+                bucket_width: int | None = None) -> DataFrame:
     """Per key of ``incoming``: ``is_new``, ``n_updates``, ``n_rows`` and the
     winning content row ``w`` (null when no row wrote).
 
-    ``incoming`` needs the promotion columns plus ``seq`` (bigint, non-decreasing
-    in ``order``) and ``order`` (total order within the batch).
+    ``incoming`` needs the promotion columns plus ``order`` (total order within the
+    batch; rows of equal key and order count as given in any order). It is read twice,
+    so it should be stored. ``bucket_width`` deals rows out by ranges of ``seq`` (bigint,
+    non-decreasing in ``order``) instead of by what a range partition holds.
     """
-    rows = incoming.select(*KEY, F.col(seq).alias("_seq"), F.col(order).alias("_ord"),
-                           F.col("checksum").alias("_c"),
-                           F.struct(*[F.col(c) for c in ["id"] + CONTENT]).alias("_row"))
-    rows = rows.withColumn("_bucket", F.floor(F.col("_seq") / F.lit(bucket_width)).cast("long"))
+    narrow = incoming.select(*KEY, F.col(order).alias("_ord"), F.col("checksum").alias("_c"), F.col(seq).alias("_seq"))
+    if bucket_width is None:
+        rows = narrow.drop("_seq").repartitionByRange(*KEY, "_ord").withColumn("_bucket", F.spark_partition_id())
+    else:
+        rows = narrow.withColumn("_bucket", F.floor(F.col("_seq") / F.lit(bucket_width)).cast("long")).drop("_seq")
     w1 = Window.partitionBy(*KEY, "_bucket").orderBy("_ord")
     rows = rows.withColumn("_prev", F.lag("_c").over(w1))
     changed = F.col("_prev").isNotNull() & (F.col("_prev") != F.col("_c"))
@@ -52,30 +69,29 @@ def plan_upsert(stored: DataFrame, incoming: DataFrame, seq: str = "seq", order:
         F.min_by("_c", "_ord").alias("first_c"),
         F.max_by("_c", "_ord").alias("last_c"),
         F.count_if(changed).alias("inner_n"),
-        F.min_by("_row", "_ord").alias("first_row"),
-        F.max_by("_row", F.when(changed, F.col("_ord"))).alias("last_write"),
+        F.min("_ord").alias("first_at"),
+        F.max(F.when(changed, F.col("_ord"))).alias("last_write"),
         F.count(F.lit(1)).alias("n"),
     )
     stored_c = stored.select(*KEY, F.col("checksum").alias("stored_c"))
     b = buckets.join(stored_c, KEY, "left")
     w2 = Window.partitionBy(*KEY).orderBy("_bucket")
     prev_last = F.coalesce(F.lag("last_c").over(w2), F.col("stored_c"))
-    is_first_bucket = F.row_number().over(w2) == 1
-    b = (b.withColumn("_prev_last", prev_last)
-          .withColumn("_first_bucket", is_first_bucket))
+    b = b.withColumn("_prev_last", prev_last).withColumn("_first_bucket", F.row_number().over(w2) == 1)
     first_inserts = F.col("_first_bucket") & F.col("stored_c").isNull()
     first_updates = F.col("_prev_last").isNotNull() & (F.col("_prev_last") != F.col("first_c"))
     b = (b.withColumn("_upd", F.col("inner_n") + F.when(first_updates, 1).otherwise(0))
-          .withColumn("_win", F.coalesce(
-              F.col("last_write"),
-              F.when(first_inserts | first_updates, F.col("first_row")))))
-    return b.groupBy(*KEY).agg(
-        F.max(F.when(F.col("_first_bucket") & F.col("stored_c").isNull(), 1).otherwise(0))
-        .cast("boolean").alias("is_new"),
+          .withColumn("_win", F.coalesce("last_write", F.when(first_inserts | first_updates, F.col("first_at")))))
+    keys = b.groupBy(*KEY).agg(
+        F.max(F.when(first_inserts, 1).otherwise(0)).cast("boolean").alias("is_new"),
         F.sum("_upd").cast("long").alias("n_updates"),
         F.sum("n").cast("long").alias("n_rows"),
-        F.max_by("_win", F.when(F.col("_win").isNotNull(), F.col("_bucket"))).alias("w"),
+        F.max("_win").alias("_win"),
     )
+    contents = incoming.select(*[F.col(k).alias(f"_{k}") for k in KEY], F.col(order).alias("_at"), _content().alias("w"))
+    same = (F.col("bank") == F.col("_bank")) & (F.col("source_id") == F.col("_source_id")) & (F.col("_win") == F.col("_at"))
+    fetched = keys.where("_win IS NOT NULL").select(*KEY, "_win").join(contents, same).select(*KEY, "w").dropDuplicates(KEY)
+    return keys.drop("_win").join(fetched, KEY, "left").select(*KEY, "is_new", "n_updates", "n_rows", "w")
 
 
 def apply_upsert(stored: DataFrame, plan: DataFrame, now, reactivate: bool = False,

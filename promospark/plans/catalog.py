@@ -20,6 +20,8 @@ from promospark.operators import query as Q
 from promospark.operators.dedup import first_seen, key_duplicates
 from promospark.operators.extract import by_source, normalize_tiles
 from promospark.operators.upsert import initial_state, plan_upsert, upsert_counts
+from promospark.operators import runs as R
+from promospark.plans import audit as U
 from promospark.plans import ingest as I
 from promospark.session import tune
 from promospark.plans import oracle as O
@@ -177,7 +179,7 @@ def q_upsert_batch_repeats(spark, sf_dir):
     snaps = I.feed_snapshots(spark, sf_dir)
     state1, _ = I.feed_states(spark, sf_dir)
     raw2 = snaps.filter(F.col("snap") == 2).drop("snap")
-    plan = plan_upsert(state1, raw2, bucket_width=64)
+    plan = plan_upsert(state1, raw2)
     return plan.select("bank", "source_id", "is_new", "n_updates", "n_rows",
                        F.col("w.checksum").alias("winner_checksum"))
 
@@ -210,6 +212,31 @@ def q_run_audit(spark, sf_dir):
                              "promotions_updated")
 
 
+@register("run_life_cycle", O.with_state(
+    "SELECT r.bank, CASE WHEN r.bank = 'bbl' THEN 'failed' ELSE 'success' END AS status, "
+    f"TIMESTAMP '{I.NOW_2}' AS started_at, TIMESTAMP '{I.NOW_2}' + INTERVAL 90 SECOND AS finished_at, 2 AS n_events, "
+    "CAST(coalesce(c.n, 0) AS INTEGER) AS promotions_found, CAST(coalesce(c.n_new, 0) AS INTEGER) AS promotions_new, "
+    "CAST(coalesce(c.n_upd, 0) AS INTEGER) AS promotions_updated, CASE WHEN r.bank = 'bbl' THEN 'timed out' END AS error_message "
+    "FROM (SELECT unnest(['kasikorn', 'krungsri', 'uob', 'amex', 'bbl', 'ktc', 'cardx']) AS bank) r LEFT JOIN ("
+    "SELECT d2.bank, count(*) AS n, count(*) FILTER (WHERE s.checksum IS NULL) AS n_new, "
+    "count(*) FILTER (WHERE s.checksum <> d2.checksum) AS n_upd FROM d2 LEFT JOIN state1 s "
+    "ON d2.bank = s.bank AND d2.source_id = s.source_id WHERE d2.bank NOT IN ('bbl', 'cardx') GROUP BY d2.bank) c ON r.bank = c.bank"))
+def q_run_life_cycle(spark, sf_dir):
+    """Start and finish events of run 2, folded to one row for every requested source. One source's fetch
+    failed and one brought no rows; the start events are those that a run commits before it reads its snapshot."""
+    deduped = first_seen(I.feed_snapshots(spark, sf_dir).filter("snap = 2 AND bank <> 'cardx'"), key=("snap", "bank", "source_id")).drop("snap")
+    state1, _ = I.feed_states(spark, sf_dir)
+    requested = U.requested_sources(spark)
+    failed = requested.where("bank = 'bbl'").withColumn("error_message", F.lit("timed out"))
+    run = I.run_ingest(state1, deduped, I.NOW_2, failed, deduplicated=True)
+    finished = I.NOW_2.replace("06:00:00", "06:01:30")
+    events = U.start_events(requested, I.NOW_2).unionByName(
+        U.finish_events(requested, run.audit.where("status = 'success'"), failed, I.NOW_2, finished))
+    n = events.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("n_events"))
+    return R.fold_runs(events).join(n, "id").select("bank", "status", "started_at", "finished_at", "n_events", "promotions_found",
+                                                    "promotions_new", "promotions_updated", "error_message")
+
+
 @register("dry_run_audit", _audit_sql("0", "0"))
 def q_dry_run_audit(spark, sf_dir):
     """A dry run counts what it found and reports no new or updated rows."""
@@ -430,7 +457,6 @@ def q_low_coverage_banks(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ runs
-from promospark.operators import runs as R  # noqa: E402
 from promospark.sources.feeds import load_run_events  # noqa: E402
 from promospark.sources.specs import SOURCE_NAMES  # noqa: E402
 
@@ -544,6 +570,16 @@ def q_repeated_failures(spark, sf_dir):
     return R.repeated_failures(runs(spark, sf_dir), 3)
 
 
+@register("failure_alerts", O.with_runs(
+    "SELECT id, bank, started_at, consecutive_failures, error_message AS last_error FROM ("
+    "SELECT *, k - coalesce(max(CASE WHEN status <> 'failed' THEN k END) OVER (PARTITION BY bank ORDER BY k), 0) AS consecutive_failures "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY bank ORDER BY started_at, id DESC) AS k FROM runs WHERE started_at IS NOT NULL)) "
+    "WHERE status = 'failed' AND consecutive_failures >= 3"))
+def q_failure_alerts(spark, sf_dir):
+    """Each failed run that was at least the third failed one of its bank in a row."""
+    return R.failure_alerts(runs(spark, sf_dir))
+
+
 @register("failure_streaks", O.with_runs(
     "SELECT bank, count(*) AS failures_in_last_3 FROM ("
     "SELECT *, row_number() OVER (PARTITION BY bank ORDER BY started_at DESC NULLS LAST, id ASC) AS rn "

@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 
 from promospark.operators.dedup import first_seen
 from promospark.operators.extract import normalize_tiles
-from promospark.operators.upsert import (STATE_COLUMNS, apply_upsert, initial_state, plan_upsert,
-                                         upsert_counts)
+from promospark.operators.upsert import STATE_COLUMNS, apply_upsert, initial_state, plan_unique, upsert_counts
 from promospark.plans.store import TableStore, input_fingerprint
 from promospark.sources.feeds import load_promo_tiles
 
@@ -42,7 +41,7 @@ def run_ingest(state: DataFrame, snapshot: DataFrame, now: str,
     if failed is not None:
         snapshot = snapshot.join(failed.select("bank"), "bank", "left_anti")
     incoming = snapshot if deduplicated else first_seen(snapshot)
-    plan = plan_upsert(state, incoming)
+    plan = plan_unique(state, incoming)
     counts = upsert_counts(plan)
     if dry_run:
         counts = counts.select("bank", F.lit(0).cast("long").alias("promotions_new"),

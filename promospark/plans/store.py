@@ -1,11 +1,17 @@
 """Versioned table store on a shared file system.
 
-There is no table format here (no MERGE target), so every ingest run writes a
-complete new version ``<root>/<table>/v=<N>/`` from the previous one and only
-then records it in ``<root>/<table>/_versions`` (one JSON line per committed
-version, with the batch id that produced it). Readers use the last committed
-version, so a run that dies half-way leaves the previous version intact, and a
-replayed batch id is recognised and skipped (idempotent re-runs).
+There is no table format here (no MERGE target), so a run writes new files under
+``<root>/<table>/v=<N>-<batch>/`` and only then records version N in
+``<root>/<table>/_versions`` (one JSON file per committed version, with the batch
+id that produced it). Readers use the last committed version, so a run that dies
+half-way leaves the previous version intact, and a replayed batch id is recognised
+and skipped (idempotent re-runs). The record of a version is created only if it
+isn't there: of two writers of the same version one fails with ``CommitConflict``.
+
+A version may consist of parts (one folder per source, or per bucket):
+``commit_parts`` writes the parts that a run touched, and the new version names the
+other parts' folders of the version before. ``append`` and ``read_all`` keep tables
+that only grow. ``expire`` and ``forget`` delete files that no kept version names.
 
 The store root lives under the cluster's shared checkpoint folder
 (``spark.checkpoint.dir``); writing a table there also cuts the lineage of
@@ -15,8 +21,11 @@ the large extraction plans.
 from __future__ import annotations
 
 import hashlib
+import json
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from promospark.session import checkpoint_dir
 
@@ -54,10 +63,16 @@ class TableStore:
             v for v in self.versions(table) if v["version"] == version)
         if entry is None:
             raise FileNotFoundError(f"table {table!r} has no committed version")
-        return self.spark.read.parquet(entry["path"])
+        parts = entry.get("parts")
+        return self.spark.read.parquet(*[parts[k] for k in sorted(parts)]) if parts else self.spark.read.parquet(entry["path"])
+
+    def read_all(self, table: str, tag: str | None = None) -> DataFrame | None:
+        """The rows of every version of a table that only grows, or of those with ``tag``; None where there are none."""
+        paths = [v["path"] for v in self.versions(table) if v["path"] and (tag is None or v["tag"] == tag)]
+        return self.spark.read.parquet(*paths) if paths else None
 
     def commit(self, table: str, df: DataFrame, batch_id: str,
-               partition_by: list[str] | None = None) -> dict:
+               partition_by: list[str] | None = None, tag: str | None = None) -> dict:
         """Write ``df`` as the next version of ``table`` and record it. A batch id
         that was already committed is not written again."""
         versions = self.versions(table)
@@ -70,19 +85,98 @@ class TableStore:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
-        entry = {"version": version, "path": path, "batch_id": batch_id}
-        self.spark.createDataFrame([entry], _LOG_SCHEMA).coalesce(1) \
-            .write.mode("append").json(self._log(table))
+        return self._record(table, {"version": version, "path": path, "batch_id": batch_id, "tag": tag})
+
+    #: A version of a table that only grows is what one batch brought to it (``read_all``).
+    append = commit
+
+    def commit_parts(self, table: str, df: DataFrame, batch_id: str, part: str, touched: list) -> dict:
+        """The next version of ``table``: the parts ``touched`` (values of the column ``part``) with the rows of
+        ``df``, which has rows of those parts alone, and the other parts as they are."""
+        versions = self.versions(table)
+        for v in versions:
+            if v.get("batch_id") == batch_id:
+                return v
+        version = (versions[-1]["version"] + 1) if versions else 1
+        path = self._table_dir(table) + f"/v={version}-{_short(batch_id)}"
+        df.withColumn("_part", F.col(part).cast("string")).write.mode("overwrite").partitionBy("_part").parquet(path)
+        parts = dict(versions[-1]["parts"] or {}) if versions else {}
+        for value in map(str, touched):
+            folder = f"{path}/_part={quote(value)}"
+            parts.pop(value, None)
+            if path_exists(self.spark, folder):
+                parts[value] = folder
+        # Where a version has no rows at all, its own folder has the schema.
+        return self._record(table, {"version": version, "path": path, "batch_id": batch_id, "parts": parts})
+
+    def read_parts(self, table: str, values: list | None = None) -> DataFrame | None:
+        """The last version of a table in parts, or its parts ``values`` alone; None where there are none."""
+        entry = self.latest(table)
+        parts = (entry or {}).get("parts") or {}
+        paths = [p for v, p in sorted(parts.items()) if values is None or v in set(map(str, values))]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def _record(self, table: str, entry: dict) -> dict:
+        """Record a version unless somebody else has recorded it."""
+        fs, path = _file_system(self.spark, self._log(table) + f"/v{entry['version']:08d}.json")
+        data = (json.dumps({k: v for k, v in entry.items() if v is not None}, ensure_ascii=False) + "\n").encode()
+        try:
+            stream = fs.create(path, False)
+        except Exception as e:
+            if fs.exists(path):
+                raise CommitConflict(f"version {entry['version']} of {table!r} was committed by another writer") from e
+            raise
+        try:
+            stream.write(bytearray(data))
+        finally:
+            stream.close()
         return entry
 
+    # -- retention -------------------------------------------------------
+    def expire(self, table: str, keep: int = 2) -> int:
+        """Delete the folders that none of the last ``keep`` versions names; returns their number."""
+        versions = self.versions(table)
+
+        def named(v: dict) -> set[str]:
+            return set((v["parts"] or {}).values()) or {v["path"]}
 
-_LOG_SCHEMA = "version INT, path STRING, batch_id STRING"
+        kept = set().union(*map(named, versions[-keep:])) if versions else set()
+        gone = set().union(*map(named, versions[:-keep])) - kept if len(versions) > keep else set()
+        return sum(map(self._delete, gone))
+
+    def forget(self, table: str, tag: str) -> int:
+        """Delete the rows of the versions with ``tag`` of a table that only grows; their records stay, so that
+        replays of their batches are still recognised, but name no rows any more."""
+        gone = [v for v in self.versions(table) if v["tag"] == tag and v["path"]]
+        for v in gone:
+            fs, path = _file_system(self.spark, self._log(table) + f"/v{v['version']:08d}.json")
+            stream = fs.create(path, True)
+            stream.write(bytearray((json.dumps({"version": v["version"], "batch_id": v["batch_id"], "tag": tag}) + "\n").encode()))
+            stream.close()
+            self._delete(v["path"])
+        return len(gone)
+
+    def _delete(self, folder: str) -> bool:
+        fs, path = _file_system(self.spark, folder)
+        return bool(fs.exists(path) and fs.delete(path, True))
+
+
+class CommitConflict(RuntimeError):
+    """Another writer has committed the version."""
+
+
+_LOG_SCHEMA = "version INT, path STRING, batch_id STRING, tag STRING, parts MAP<STRING, STRING>"
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` is there, on any file system Spark reads; errors raise."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
 
 
 def _short(s: str) -> str:
