@@ -26,13 +26,10 @@ WITH d AS (
   SELECT k, count(*) - count(DISTINCT line) AS n FROM line GROUP BY k
 ), ranked AS (
   SELECT DISTINCT k, source, h FROM hashed
-), low AS (
-  SELECT *, row_number() OVER (PARTITION BY k ORDER BY h) AS r FROM ranked
-), two AS (
-  SELECT k, max(h) FILTER (r = 1) AS h1, max(h) FILTER (r = 2) AS h2 FROM low GROUP BY k
+), digest AS (
+  SELECT k, list(h ORDER BY h) AS hs FROM ranked GROUP BY k
 ), freq AS (
-  SELECT source, h, count(DISTINCT coalesce(CASE WHEN h = h1 THEN h2 ELSE h1 END, -1)) AS n
-  FROM ranked JOIN two USING (k) GROUP BY source, h
+  SELECT source, h, count(DISTINCT hs) AS n FROM ranked JOIN digest USING (k) GROUP BY source, h
 ), host AS (
   SELECT source, count(*) AS n_docs FROM d GROUP BY source
 ), above AS (

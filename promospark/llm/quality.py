@@ -5,11 +5,9 @@ the pieces between LF. A line takes part if it holds a word. For comparison over
 documents a line is normalised (A-Z lower-cased, white space runs to one space,
 trimmed) and hashed to 60 bits.
 
-Per host, a line's frequency is the number of distinct documents that hold it.
-Documents whose lowest *other* line hash is the same count as one there: copies
-of one document share it, while boilerplate stands among different lines. So
-a group of copies, which belongs to the duplicate stages, does not turn its own
-text into boilerplate. A line above its host's limit is removed. A document is
+Per host, a line's frequency is the number of distinct documents that hold it:
+documents with the same set of lines (exact copies, whatever the order) count as one,
+all others each. A line above its host's limit is removed. A document is
 depleted if no more than ``min_words`` words and ``min_share`` of its words are left.
 
 Defined results: null or empty text has no words and fails the base rules; a null
@@ -110,14 +108,15 @@ def base_measures(docs: DataFrame, limits: QualityLimits, id_col: str = "doc_id"
 
 
 def frequent_lines(measures: DataFrame, limits: QualityLimits) -> DataFrame:
-    """(host, hash) of the lines above their host's limit."""
+    """(host, hash) of the lines above their host's limit.
+
+    Sets of lines are made distinct per host before their lines are counted, so that counting needs no
+    distinct values: its partial sums leave a row per line and task, however frequent the line is."""
     hashes = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["hash"])))
-    lines = measures.where(F.size("lines") > 0).select("host", hashes.alias("hashes")).select(
-        "host", F.get("hashes", F.lit(0)).alias("low"), F.get("hashes", F.lit(1)).alias("next"),
-        F.explode("hashes").alias("hash"))
-    other = F.when(F.col("hash") == F.col("low"), F.col("next")).otherwise(F.col("low"))
-    counts = (lines.select("host", "hash", F.coalesce(other, F.lit(-1)).alias("other"))
-              .groupBy("host", "hash").agg(F.countDistinct("other").alias("n_docs")))
+    sets = (measures.where(F.size("lines") > 0).select("host", hashes.alias("hashes"))
+            .select("host", "hashes", F.md5(F.to_json("hashes").cast("binary")).alias("digest")))
+    distinct = sets.groupBy("host", "digest").agg(F.first("hashes").alias("hashes"))
+    counts = distinct.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n_docs"))
     hosts = measures.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs")).withColumnRenamed("host", "h_host")
     limit = F.greatest(F.lit(limits.line_docs), F.floor(F.col("host_docs") * limits.line_docs_per_mille / 1000))
     return (counts.where(F.col("n_docs") > limits.line_docs)

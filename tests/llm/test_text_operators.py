@@ -73,12 +73,13 @@ def test_frequent_lines_go_and_depleted_documents_with_them(spark):
     rows += [(100 + i, "\n".join(x.upper() for x in rng.sample(shared, 6)) + f"\n{words(1)}\n" + words(3), "h")
              for i in range(80)]
     near = [words(20) for _ in range(5)]
-    rows += [(200 + i, "\n".join([*near, words(9)]), "h") for i in range(40)]  # near copies of one document
+    rows += [(200 + i, "\n".join([*near, words(9)]), "h") for i in range(40)]  # five shared lines, one own: boilerplate
+    rows += [(2000 + i, "\n".join([*shared[:3], *near[:2], words(60)][::(-1) ** i]), "h") for i in [0] * 90]  # exact copies
     rows += [(300, rows[0][1], "other"), (301, "\n".join(shared), "other")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = by_id(quality_report(df).collect())
     assert all(got[i].kept and got[i].n_removed_lines == 1 for i in range(1000, 1360))
-    assert all(got[200 + i].kept and got[200 + i].n_removed_lines == 0 for i in range(40))
+    assert all(not got[200 + i].kept and got[200 + i].n_removed_lines == 5 for i in range(40))
     assert all(not got[100 + i].kept and not got[100 + i].base_failed for i in range(80))
     assert got[300].kept and got[301].kept and got[301].n_removed_lines == 0
     kept = by_id(quality_filter(df.selectExpr("*", "0L AS n_chars", "1 AS hash", "2 AS row")).collect())
@@ -87,6 +88,19 @@ def test_frequent_lines_go_and_depleted_documents_with_them(spark):
     assert quality_report(df.limit(0)).collect() == []
 
 
+def test_lines_count_distinct_documents(spark):
+    def page(i, shared, own, copies=1):
+        lines = [" ".join(f"s{k}x{j}" for j in range(6)) for k in range(shared)]
+        return [(i, "\n".join(lines + [f"own{i} {k} words" for k in range(own)]), "h")] * copies
+    rows = [r for i in range(150) for r in page(i, 18, 2)]
+    got = quality_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(r.n_removed_lines == 18 and not r.kept and not r.base_failed for r in got) and len(got) == 150
+    # exact copies count as one document, in whatever order their lines stand
+    copies = [(k, "\n".join(rows[0][1].split("\n")[::(-1) ** k]), "h") for k in range(150)]
+    got = quality_report(spark.createDataFrame(copies, "doc_id long, text string, source string")).collect()
+    assert all(r.n_removed_lines == 0 and r.kept for r in got) and len(got) == 150
+
+
 def test_limits_are_parameters(spark):
     df = spark.createDataFrame([(1, "one two three", "s")], "doc_id long, text string, source string")
     assert quality_report(df, QualityLimits(min_words=2)).first().kept
