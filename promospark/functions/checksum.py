@@ -41,11 +41,34 @@ def json_string(col: Column, plain: Column | None = None) -> Column:
 
 
 def json_float(col: Column) -> Column:
-    """Python ``repr`` of a float for integral values below 1e16, else Spark's text."""
+    """A float as Python's ``repr`` writes it (JSON's NaN and Infinity included), or ``null``.
+
+    Its digits are the first 16 where they are enough to tell the number, else 17; the point is set anew."""
     integral = (F.floor(col) == col) & (F.abs(col) < F.lit(1e16))
+    shorter = F.format_string("%.15e", col)
+    text = F.when(shorter.try_cast("double") == col, shorter).otherwise(F.format_string("%.16e", col))
+    shape = r"^-?(\d+)\.(\d*)e\+?(-?\d+)$"
+    whole, fraction, power = (F.regexp_extract(text, shape, k) for k in (1, 2, 3))
+    given = F.concat(whole, fraction)
+    lead = F.length(given) - F.length(F.regexp_replace(given, "^0+", ""))
+    digits = F.regexp_replace(F.regexp_replace(given, "^0+", ""), "0+$", "")
+    # The value is 0.digits times ten to the ``point``.
+    point = F.length(whole) + F.coalesce(F.nullif(power, F.lit("")).cast("int"), F.lit(0)) - lead
+    n = F.length(digits)
+    fixed = (F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+             .when(point >= n, F.concat(digits, F.repeat(F.lit("0"), point - n), F.lit(".0")))
+             .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n))))
+    exponent = F.concat(F.when(point <= 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(point - 1).cast("string"), F.greatest(
+        F.lit(2), F.length(F.abs(point - 1).cast("string"))), F.lit("0")))
+    scientific = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""), exponent)
+    sign = F.when(F.startswith(text, F.lit("-")), F.lit("-")).otherwise("")
     return (F.when(col.isNull(), F.lit("null"))
+            .when(F.isnan(col), F.lit("NaN"))
+            .when(F.abs(col) == F.lit(float("inf")), F.concat(sign, F.lit("Infinity")))
+            .when((col == 0.0) & F.startswith(text, F.lit("-")), F.lit("-0.0"))
             .when(integral, F.concat(col.cast("bigint").cast("string"), F.lit(".0")))
-            .otherwise(col.cast("string")))
+            .when((point > -4) & (point <= 16), F.concat(sign, fixed))
+            .otherwise(F.concat(sign, scientific)))
 
 
 def json_string_list(col: Column) -> Column:

@@ -2,10 +2,11 @@
 import datetime as dt
 import hashlib
 import json
+import random
 
 from pyspark.sql import functions as F
 
-from promospark.functions.checksum import CHECKSUM_FIELDS, checksum
+from promospark.functions.checksum import CHECKSUM_FIELDS, checksum, json_float
 
 SCHEMA = ("bank STRING, card_types ARRAY<STRING>, category STRING, description STRING, "
           "discount_type STRING, discount_value STRING, end_date DATE, image_url STRING, "
@@ -44,3 +45,14 @@ def test_checksum_sensitivity(spark):
     df = spark.createDataFrame([base, tuple(changed), base], SCHEMA)
     a, b, c = [r[0] for r in df.select(checksum()).collect()]
     assert a == c and a != b
+
+
+def test_floats_as_python_writes_them(spark):
+    rng = random.Random(4)
+    floats = [0.0, -0.0, 1.0, -3.0, 0.1, 0.001, 0.0001, 0.00012345, 0.00001, -1.5e-7, 9.999e15, 1e16, 1.2345e17, -1e22, 1e100, 1e-100,
+              123456789.125, 12345678.9, 9007199254740993.0, 1234567890123456.5, float("nan"), float("inf"), float("-inf"), None]
+    floats += [rng.choice([-1, 1]) * rng.random() * 10.0 ** rng.randint(-12, 25) for _ in range(500)]
+    floats += [round(rng.random() * 10 ** rng.randint(0, 9), rng.randint(0, 3)) for _ in range(300)]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(floats)], "k INT, x DOUBLE").select("k", json_float(F.col("x")).alias("t")).collect()
+    for r in rows:
+        assert r.t == json.dumps(floats[r.k])
