@@ -33,6 +33,7 @@ from promospark.operators.upsert import KEY, STATE_COLUMNS, deactivate_missing,
 from promospark.plans.ingest import run_ingest
 from promospark.plans.store import TableStore
 from promospark.session import checkpoint_dir
+from promospark.sources.specs import SPECS
 
 
 def _seen_keys(store: TableStore, table: str, snapshot_id: str, but_batch: str | None = None) -> DataFrame | None:
@@ -127,21 +128,29 @@ def ingest_mixed_batch(store: TableStore, table: str, audit_table: str, rows: Da
     """Split a micro-batch by its rows' snapshots, ingest each part under an id of its own, and close the snapshots whose
     end it holds; returns the closed ones. The names of a batch's snapshots are collected: a batch holds few.
 
+    Rows of unknown sources would fail every retry of the batch; they go to the table ``<table>_rejects``.
     Rows that come behind their snapshot's end raise; rows of the batch that holds the end still count."""
     ended = F.coalesce(F.col(end_col), F.lit(False)) if end_col in rows.columns else F.lit(False)
-    rows = rows.withColumn("_ended", ended)
-    found = rows.groupBy(snapshot_col).agg(F.max("_ended").alias("ended"), F.count_if(~F.col("_ended")).alias("n")).collect()
+    known = F.coalesce(F.col("bank").isin(*SPECS), F.lit(False))
+    rows = rows.withColumn("_ended", ended).withColumn("_known", known | F.col("_ended"))
+    found = rows.groupBy(snapshot_col).agg(F.max("_ended").alias("ended"), F.count_if(F.col("_known") & ~F.col("_ended")).alias("n"),
+                                           F.count_if(~F.col("_known")).alias("n_unknown")).collect()
     if any(r[snapshot_col] is None for r in found):
         raise ValueError("rows without a snapshot: each row must name the snapshot that it is a part of")
     closed = []
     for r in sorted(found, key=lambda r: r[snapshot_col]):
         snapshot = r[snapshot_col]
         part_id = f"{batch_id}-{snapshot}"
+        if r.n_unknown:
+            unknown = rows.where((F.col(snapshot_col) == snapshot) & ~F.col("_known"))
+            store.append(f"{table}_rejects", unknown.select(
+                F.lit(snapshot).alias("snapshot_id"), "bank", "hub_slug", F.col("title_raw").alias("title"), "href",
+                F.lit("unknown source").alias("reason")), part_id, tag=snapshot)
         if r.n and not store.has_batch(table, part_id):
             if store.has_batch(table, f"close-{snapshot}"):
                 raise ValueError(f"snapshot {snapshot!r} is closed and can't take more rows")
-            tiles = rows.where((F.col(snapshot_col) == snapshot) & ~F.col("_ended"))
-            ingest_batch(store, table, audit_table, tiles.drop("_ended", snapshot_col, end_col), part_id, now, snapshot)
+            tiles = rows.where((F.col(snapshot_col) == snapshot) & F.col("_known") & ~F.col("_ended"))
+            ingest_batch(store, table, audit_table, tiles.drop("_ended", "_known", snapshot_col, end_col), part_id, now, snapshot)
         if r.ended and close_snapshot(store, table, snapshot, now, audit_table):
             closed.append(snapshot)
     return closed

@@ -141,7 +141,8 @@ def test_two_snapshots_in_one_batch(spark, tmp_path):
         return (rows.unionByName(end) if ended else rows).withColumn("snapshot_id", F.lit(name))
 
     half = F.col("l_linenumber") % 2 == 0
-    files = [marked(one.where(half), "s1", False), marked(one.where(~half), "s1", True).unionByName(marked(two.where(half), "s2", False)),
+    stray = one.limit(2).withColumn("bank", F.lit("moon"))
+    files = [marked(one.where(half).unionByName(stray), "s1", False), marked(one.where(~half), "s1", True).unionByName(marked(two.where(half), "s2", False)),
              marked(two.where(~half), "s2", True)]
     for k, rows in enumerate(files):
         rows.coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
@@ -161,6 +162,7 @@ def test_two_snapshots_in_one_batch(spark, tmp_path):
     assert audit(whole) == audit(mixed)  # every batch's audit is readable: one row per source and snapshot
     assert {k[0] for k in audit(whole)} == {"s1", "s2"} and all(v[0] == "success" for v in audit(whole).values())
     assert sum(v[4] for v in audit(whole).values()) == sum(not r[3] for r in a)
+    assert [(r.snapshot_id, r.bank, r.reason) for r in mixed.read_all("promotions_rejects").collect()] == [("s1", "moon", "unknown source")] * 2
     assert mixed.read_all("promotions_seen") is None  # keys of closed snapshots are dropped
     # replays do nothing, and a closed snapshot takes no more rows
     assert ingest_mixed_batch(mixed, "promotions", "scrape_runs", files[2], "stream-0", "2026-03-02 06:00:00") == []
