@@ -2,8 +2,11 @@
 
 Four kinds of evidence on a document are multiplied: the likelihood of its text, of its
 declared language, of its address's suffix, and the prior of its host. The text model
-(hashed byte trigrams) is fitted on at most about ``LABELLED_DOCS`` documents for each
-declared language, chosen by hash; all else is computed from every document. What the
+(hashed byte trigrams) is fitted for every declared language, on at most about
+``LABELLED_DOCS`` of its distinct texts, chosen by hash; all else is computed from every
+document. Declarations count by their primary subtag (``en-us`` and ``EN_GB`` are ``en``);
+what isn't two to eight letters declares nothing. Texts are scored by ``MODELS_AT_ONCE``
+languages at a time, so that the models sent to the tasks have a size bound. What the
 text alone says, summed over documents by grouped aggregation, gives
 P(declared | language), P(suffix | language) and the hosts' priors; a host's counts are smoothed
 by its parent domain's, those by the whole table's.
@@ -14,8 +17,10 @@ language has less than ``MIN_POSTERIOR``.
 
 Defined results: null, empty and letterless texts get the language that the other
 evidence favours and are rejected; null declaration, address and host are neutral;
-repeated rows are judged alike; without any declared language, all are rejected with a
-null language; extra columns are ignored by ``identify`` and kept by ``language_filter``.
+repeated rows are judged alike; of languages that are equally likely the first in
+alphabetical order is given; texts of any length are scored whole; without any declared
+language, all are rejected with a null language; an empty table gives no row; extra
+columns are ignored by ``identify`` and kept by ``language_filter``.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +40,8 @@ BUCKETS = 1 << 14
 EFFECTIVE = 40.0
 TRIGRAMS_PER_EFFECTIVE = 4.0
 MIN_POSTERIOR = 0.5
-#: Declared languages beyond the most frequent ones have no model of their own.
-MAX_LANGUAGES = 64
+#: Languages whose models are broadcast together (16 MB).
+MODELS_AT_ONCE = 256
 HOST_WEIGHT = 20.0
 SMOOTHING = 0.5
 #: Bytes of a text that are looked up at once.
@@ -64,46 +70,66 @@ def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                                           pa.array(own[at], pa.int64())], names=["label", "bucket", "n"])
 
 
-def fit_text_model(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and log P(trigram bucket | language), from rows (declared, body)."""
+def primary_subtag(declared: Column) -> Column:
+    """The language that a declaration names: its letters before the first hyphen or underscore."""
+    tag = F.regexp_extract(F.lower(F.trim(declared.cast("string"))), "^([a-z]{2,8})(?:[-_].*)?$", 1)
+    return F.nullif(tag, F.lit(""))
+
+
+def _log_shares(counts: pd.DataFrame) -> pd.DataFrame:
+    """One language's model, from at most ``BUCKETS`` rows."""
+    table = np.full(BUCKETS, SMOOTHING)
+    table[counts["bucket"].to_numpy()] += counts["n"].to_numpy()
+    shares = np.log(table / table.sum()).astype("<f4")
+    return pd.DataFrame({"label": [counts["label"].iloc[0]], "model": [shares.tobytes()]})
+
+
+def fit_text_model(rows: DataFrame) -> DataFrame:
+    """(label, model): log P(trigram bucket | language) as floats, a row per language of rows (declared, body).
+
+    The sample is drawn from a language's distinct texts, so copies of one are in it once or not at all."""
     ship_package(rows.sparkSession)
-    found = (rows.where(F.col("declared").isNotNull()).groupBy("declared").agg(F.count(F.lit(1)).alias("n"))
-             .orderBy(F.desc("n"), "declared").limit(MAX_LANGUAGES).collect())
-    if not found:
-        return [], np.zeros((0, BUCKETS))
-    languages = sorted(r["declared"] for r in found)
-    shares = F.create_map(*[F.lit(x) for r in found for x in (r["declared"], min(1.0, LABELLED_DOCS / r["n"]))])
-    place = F.pmod(F.xxhash64("body"), F.lit(1_000_000))
-    chosen = rows.where(place < shares[F.col("declared")] * 1_000_000)
-    counts = (chosen.select(F.col("declared").alias("label"), "body")
-              .mapInArrow(_count_trigrams, "label string, bucket int, n bigint")
-              .groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect())
-    table = np.full((len(languages), BUCKETS), SMOOTHING)
-    at = {x: i for i, x in enumerate(languages)}
-    for r in counts:  # at most languages x buckets of them
-        table[at[r["label"]], r["bucket"]] += r["n"]
-    return languages, np.log(table / table.sum(1, keepdims=True))
+    labelled = rows.where(F.col("declared").isNotNull()).select("declared", "body", F.xxhash64("body").alias("hash"))
+    sizes = labelled.groupBy("declared").agg(F.countDistinct("hash").alias("texts")).select(F.col("declared").alias("label"), "texts")
+    place = F.pmod(F.xxhash64("hash"), F.lit(1_000_000))
+    chosen = (labelled.join(F.broadcast(sizes), F.col("declared") == F.col("label"))  # a row per language
+              .where(place * F.col("texts") < LABELLED_DOCS * 1_000_000)
+              .groupBy("label", "hash").agg(F.first("body").alias("body")))
+    return (chosen.select("label", "body").mapInArrow(_count_trigrams, "label string, bucket int, n bigint")
+            .groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+            .groupBy("label").applyInPandas(_log_shares, "label string, model binary"))
 
 
 def _scorer(model):
+    """Rows with the log likelihoods of some languages put behind those in ``text_score``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.ascontiguousarray(model.value.T)
         for batch in batches:
             out = []
-            for text in batch.column("body").to_pylist():
+            for text, before in zip(batch.column("body").to_pylist(), batch.column("text_score").to_pylist()):
                 total, n = np.zeros(table.shape[1]), 0
                 for buckets in _buckets(text):
-                    total += table[buckets].sum(0)
+                    total += table.take(buckets, 0).sum(0, dtype=np.float64)
                     n += len(buckets)
                 weight = min(n / TRIGRAMS_PER_EFFECTIVE, EFFECTIVE) / n if n else 0.0
-                total = (total - total.max()) * weight
-                out.append(np.round(total, 6))
-            names = [c for c in batch.schema.names if c != "body"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.list_(pa.float64()))],
-                                             names=[*names, "text_score"])
+                out.append(before + np.round(total * weight, 6).tolist())
+            at = batch.schema.names.index("text_score")
+            yield batch.set_column(at, "text_score", pa.array(out, pa.list_(pa.float64())))
     return run
 
 
+def _scored(rows: DataFrame, models: DataFrame, languages: list[str]) -> DataFrame:
+    """``rows`` without body, with ``text_score``: log likelihoods by language, the best being 0."""
+    out = rows.withColumn("text_score", F.array().cast("array<double>"))
+    for k in range(0, len(languages), MODELS_AT_ONCE):
+        some = languages[k:k + MODELS_AT_ONCE]
+        found = {r.label: np.frombuffer(r.model, "<f4") for r in models.where(F.col("label").isin(some)).collect()}
+        model = rows.sparkSession.sparkContext.broadcast(np.stack([found[x] for x in some]))
+        out = out.mapInArrow(_scorer(model), out.schema)
+    best = F.array_max("text_score")
+    return out.drop("body").withColumn("text_score", F.transform("text_score", lambda x: F.round(x - best, 6)))
+
+
 def _softmax(column: str) -> Column:
     """Posterior from log scores; the sums have a fixed order."""
     top = F.array_max(column)
@@ -137,22 +163,19 @@ def identify(docs: DataFrame, key: Column | None = None, id_col: str = "doc_id",
     address = F.lower(F.col(address_col).cast("string"))
     host = F.nullif(F.regexp_replace(F.regexp_replace(address, r"^[a-z][a-z0-9+.-]*://", ""), r"[/:?#].*$", ""), F.lit(""))
     rows = docs.select((key if key is not None else F.col(id_col)).alias("doc_id"),
-                       F.lower(F.trim(F.col(declared_col).cast("string"))).alias("declared"), host.alias("host"),
+                       primary_subtag(F.col(declared_col)).alias("declared"), host.alias("host"),
                        text_or_empty(text_col).alias("text"))
-    rows = rows.withColumn("declared", F.nullif("declared", F.lit("")))
     dotted = F.size(F.split("host", r"\.")) > 1
     rows = rows.select("doc_id", "declared", "host", F.when(dotted, F.substring_index("host", ".", -2)).alias("parent"),
                        F.when(dotted, F.substring_index("host", ".", -1)).alias("suffix"),
                        F.col("text").rlike(r"\p{L}").alias("has_letter"), F.col("text").cast("binary").alias("body"))
-    languages, model = fit_text_model(rows)
+    models = cut(fit_text_model(rows))
+    languages = sorted(r.label for r in models.select("label").collect())
     if not languages:
         return rows.select("doc_id", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"),
                            F.lit(None).cast("string").alias("text_language"), F.lit(False).alias("accepted"))
     size = len(languages)
-    slim = "declared string, host string, parent string, suffix string, has_letter boolean, text_score array<double>"
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    scored = cut(rows.mapInArrow(_scorer(spark.sparkContext.broadcast(model)), f"doc_id {id_type}, {slim}")
-                 .withColumn("text_posterior", _softmax("text_score")))
+    scored = cut(_scored(rows, models, languages).withColumn("text_posterior", _softmax("text_score")))
     whole = scored.agg(*[F.sum(F.round(F.col("text_posterior")[k] * 1000).cast("long")).alias(f"k{k}") for k in range(size)]).first()
     totals = [(x or 0) / 1000.0 for x in whole]
     everything = [(t + 1.0) / (sum(totals) + size) for t in totals]

@@ -51,6 +51,30 @@ def test_language_evidence_and_edges(spark):
     assert len(unlabelled) == len(rows) and not any(r.accepted for r in unlabelled)
 
 
+def test_every_declared_language_has_a_model(spark):
+    rng = random.Random(12)
+    codes = [a + b for a in "abcdefghij" for b in "qrstuvw"]  # 70 languages of words of their own
+    words = {c: ["".join(rng.choice(c + "aeiou") for _ in range(6)) for _ in range(30)] for c in codes}
+    rows = []
+    for k, c in enumerate(codes):
+        for j in range(5 if k % 7 else 30):
+            rows.append((len(rows), " ".join(rng.choices(words[c], k=40)), [c, c.upper(), f"{c}-US", f" {c}_x-y "][j % 4], None))
+        rows += [(len(rows) + j, rows[-1][1], c, None) for j in range(3)]  # copies
+    rows += [(90_000 + k, " ".join(words[c]), bad, None) for k, (c, bad) in enumerate(zip(codes, ["", "1", "x", "no language", None, "-en"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in identify(df).collect()}
+    want = {i: primary for (i, _, lang, _) in rows[:-6] for primary in [lang.strip().lower().replace("_", "-").split("-")[0]]}
+    assert all(got[i].language == c and got[i].accepted for i, c in want.items())
+    assert all(got[90_000 + k].language == codes[k] for k in range(6))
+    assert {r.language for r in got.values()} == set(codes)
+
+
+def test_ties_go_to_the_first_language(spark):
+    same = [(k, "one and the same words", lang, None) for k, lang in enumerate(["zz", "bb", "mm"] * 4)] + [(99, "one and the same words", None, None)]
+    got = {r.doc_id: r for r in identify(spark.createDataFrame(same, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[99].language == "bb" and got[99].posterior == 0.3333 and not got[99].accepted
+
+
 def test_chats_equal_sql(spark):
     rng = random.Random(6)
     rows = []
