@@ -8,11 +8,13 @@ gathers sequences of one length, from which batches are drawn.
 
 Each document is packed in the task that reads it; nothing is shuffled, whatever
 its source or size. Null text is packed as empty (the end id alone); repeated
-rows are packed once each; an empty table gives no piece.
+rows are packed once each; an empty table gives no piece; a very long text is packed
+whole, in the memory of its task; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -60,13 +62,31 @@ class ChunkIds(Remembered):
         return b"".join(map(self.__getitem__, chunks))
 
 
+#: The stores of the tokenizers that this process has used.
+_STORES: dict[str, ChunkIds] = {}
+
+
+def chunk_ids(path: str) -> ChunkIds:
+    """The store of a tokenizer file; kept per process, so that later tasks know what earlier ones met."""
+    if path not in _STORES:
+        _STORES[path] = ChunkIds(path)
+    return _STORES[path]
+
+
+#: A comma or full stop behind anything but a plain letter or digit: it may belong to a longer run of signs.
+SIGNS_IN_A_ROW = re.compile("[^A-Za-z0-9À-ÖØ-öø-ÿ\\s][,.]")
+
+
 def text_chunks(text: str) -> list[str]:
+    """The pieces between spaces and line ends, commas and full stops at the ends of words apart where each is alone."""
+    if not SIGNS_IN_A_ROW.search(text):
+        text = text.replace(", ", " , ").replace(". ", " . ").replace(",\n", " , ").replace(".\n", " . ")
     return text.replace("\n", " ").split(" ")
 
 
 def _packer(path: str, max_length: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = ChunkIds(path)
+        store = chunk_ids(path)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             doc_ids, done = batch.column("doc_id").to_pylist(), 0

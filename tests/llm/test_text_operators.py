@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from promospark.llm.bpe_automaton import compile_automaton, decode, encode, encode_digests
 from promospark.llm.common import tokenizer_path
-from promospark.llm.packing import pack, piece_lengths, write_buckets
+from promospark.llm.packing import ChunkIds, pack, piece_lengths, text_chunks, write_buckets
 from promospark.llm.quality import QualityLimits, quality_filter, quality_report
 from promospark.llm.suffix_dedup import merge_shards, remove_earlier, removal_report
 from promospark.llm.token_counts import CACHE_SCHEMA, token_counts, tokenizer_digest
@@ -151,6 +151,17 @@ def test_packing(spark, edge_docs, tmp_path):
         pack(edge_docs, WORD_BPE, max_length=1000)
 
 
+def test_chunks_give_the_ids_of_the_whole_text():
+    library, store = Tokenizer.from_file(WORD_BPE), ChunkIds(WORD_BPE)
+    rng = random.Random(8)
+    pieces = ["word", "Élan", "l'été", "x1", "12", ",", ".", "...", "\"", "?", "_", "́", "ß", "ſ", "漢", "٣", " ", "\n", "\t", "\x85", "’s", "'S", "İ"]
+    for _ in range(3000):
+        text = "".join(rng.choices(pieces, [6, 2, 1, 1, 1, 6, 6, 1, 1, 1, 1, 1, 1, 1, 1, 1, 8, 4, 1, 1, 1, 1, 1], k=rng.randint(0, 14)))
+        chunks = text_chunks(text)
+        store.add(set(chunks))
+        assert np.frombuffer(store.of(chunks), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_automaton_equals_the_library(spark, edge_docs):
     library, own = Tokenizer.from_file(BYTE_BPE), compile_automaton(BYTE_BPE)
     rng = random.Random(5)
