@@ -128,6 +128,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = batch.column("code").to_numpy(zero_copy_only=False)
         for places, digits in _by_length(batch.column("reduced").to_pylist()):
             rows, codes = neighbour_codes(digits)
+            order = np.argsort(rows, kind="stable")  # a word's rows together take less room in the shuffle
+            rows, codes = rows[order], codes[order]
             yield pa.RecordBatch.from_arrays([pa.array(own[places][rows]), pa.array(codes.view(np.int64))],
                                              names=["source", "target"])
 
