@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from promospark.session import ship_package  # noqa: F401 - the operators take i
 #: The white space that separates words (fixed value).
 WORD_SPACE = " \t\n\x0b\x0c\r"
 
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder in ``spark.checkpoint.dir``.
 
@@ -35,6 +37,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_cut(df: DataFrame) -> None:
+    """Delete the files of a result of ``cut`` that nothing reads any more.
+
+    What was made of it must have been cut itself before, since its lineage ends in these files."""
+    spark = df.sparkSession
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that are no longer held, which it does when the driver's
+    garbage is collected: jobs of many rounds ask for it, else their files pile up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
