@@ -80,3 +80,11 @@ def test_each_pattern_is_in_the_plan_once(spark):
     for pattern in (PCT_RE, POINTS_RE, BAHT_RE, MIN_SPEND_RE):
         assert plan.count(", " + pattern + ", 1)") == 1, pattern
     assert plan.count("concat_ws(, ") == 1  # the scan that tells whether any text needs escaping
+
+
+def test_first_seen_carries_its_own_columns_alone(spark):
+    from conftest import SF
+    from promospark.plans.catalog import REGISTRY
+    for name in ("first_seen", "html_first_seen"):
+        plan = plan_text(spark, REGISTRY[name][0](spark, SF))
+        assert "AS raw_data" not in plan and "AS id#" not in plan, name
