@@ -88,3 +88,37 @@ def test_first_seen_carries_its_own_columns_alone(spark):
     for name in ("first_seen", "html_first_seen"):
         plan = plan_text(spark, REGISTRY[name][0](spark, SF))
         assert "AS raw_data" not in plan and "AS id#" not in plan, name
+
+
+def test_numeric_dates_need_no_formatter(spark):
+    texts = [f"{a}{s}{b}{s}{c}" for s in "/-" for a in ("1", "29", "31", "0000", "2024") for b in ("02", "2", "13", "0")
+             for c in ("2023", "2024", "0000", "9999", "29", "30", "1", "12345")] + [" 1/2/2024 ", "1/2/2024\n", "๑/๒/๒๐๒๔", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for fmt, pattern in ((D.FMT_DMY_SLASH, "d/M/yyyy"), (D.FMT_DMY_DASH, "d-M-yyyy"), (D.FMT_YMD, "yyyy-M-d")):
+        stripped = F.regexp_replace("t", r"^\s+|\s+$", "")
+        want = F.when(stripped.rlike(D._SHAPES[fmt]), F.try_to_date(stripped, pattern))
+        got = df.select(F.unix_date(D.format_date("t", fmt)).alias("got"), F.unix_date(want).alias("want"))
+        assert got.where("got IS NOT NULL").count() > 5 and got.where("NOT got <=> want").count() == 0, fmt
+    plan = plan_text(spark, normalize_tiles(tiles(spark)))
+    assert "d/M/yyyy" not in plan and "d-M-yyyy" not in plan
+
+
+def test_plain_text_is_normalised_as_any_text(spark):
+    from promospark.sources.specs import WS_CLASS, ZERO_WIDTH_CLASS
+    texts = ["a b", " a  b ", "ก ข", "a\tb", "a b", "a​b", "　a", "a ​ b", "é", "", " ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = F.trim(F.regexp_replace(F.regexp_replace("t", ZERO_WIDTH_CLASS, ""), WS_CLASS + "+", " "))
+    assert df.where(~normalize_text("t").eqNullSafe(want)).count() == 0
+    assert df.where(~D._strip(F.col("t")).eqNullSafe(D._strip_any(F.col("t")))).count() == 0
+
+
+def test_snapshots_are_stored_apart(spark):
+    from conftest import SF
+    from promospark.plans import ingest as I
+    from promospark.plans.store import TableStore, input_fingerprint
+    snaps = I.feed_snapshots(spark, SF)
+    versions = TableStore(spark).versions("feed_snapshots_" + input_fingerprint(spark, SF, ["lineitem", "part"]))
+    assert [(v["batch_id"], v["tag"]) for v in versions] == [("extract-1", "1"), ("extract-2", "2")]
+    assert versions[0]["path"] not in "".join(snaps.where("snap = 2").inputFiles())
+    assert {r.snap: r["count"] for r in snaps.groupBy("snap").count().collect()} == {
+        snap: normalize_tiles(I.snapshot_tiles(spark, SF, snap)).count() for snap in (1, 2)}
