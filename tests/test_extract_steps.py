@@ -82,6 +82,28 @@ def test_each_pattern_is_in_the_plan_once(spark):
     assert plan.count("concat_ws(, ") == 1  # the scan that tells whether any text needs escaping
 
 
+def test_titles_are_worked_out_once(spark):
+    from conftest import SF
+    from promospark.plans import ingest as I
+    from promospark.sources.feeds import TEMPLATES
+    plan = plan_text(spark, normalize_tiles(I.snapshot_tiles(spark, SF, 2)))
+    # The filter of short titles neither stands in the join nor repeats the title there.
+    assert plan.count(TEMPLATES[7][0]) == 1 and plan.count("Unknown source") == 1
+
+
+def test_lower_case_is_made_for_the_rules_that_read_it(spark):
+    from promospark.functions.text import discount_steps
+    texts = ["ลด 5% MIN 300 BAHT", "GET 20 POINTS", "CASH BACK 30 Baht", "MINIMUM 1,000", "ฟรี", "0 %", None]
+    df = spark.createDataFrame([(t, b) for t in texts for b in (True, False)], "t string, b boolean")
+    got = D.apply_steps(df, discount_steps(F.col("t"), F.col("b")))
+    want = extract_discount("t")
+    bad = got.where(~F.col("discount_type").eqNullSafe(want["discount_type"]) | ~F.col("discount_value").eqNullSafe(want["discount_value"])
+                    | ~F.col("minimum_spend").eqNullSafe(F.when(F.col("b"), extract_minimum_spend("t"))))
+    assert got.count() == 2 * len(texts) and bad.count() == 0
+    plan = plan_text(spark, D.apply_steps(df, discount_steps(F.col("t"), F.col("b"))))
+    assert "lower(t" not in plan.replace("THEN lower(t", "")
+
+
 def test_first_seen_carries_its_own_columns_alone(spark):
     from conftest import SF
     from promospark.plans.catalog import REGISTRY
