@@ -71,3 +71,18 @@ def test_soft_delete_only_refreshed_banks(spark):
     out = {(r["bank"], r["source_id"]): (r["is_active"], r["deactivated"])
            for r in deactivate_missing(state, seen, refreshed, NOW2).collect()}
     assert out == {("b1", "a"): (True, False), ("b1", "b"): (False, True), ("b2", "c"): (True, False)}
+
+
+def test_refreshed_sources_are_told_without_the_plan(spark):
+    from promospark.plans.ingest import run_ingest
+    from test_extract_steps import plan_text
+    state = initial_state(rows_df(spark, [(b, s, "c", "t", 1) for b in "xyz" for s in "pq"]).drop("ord", "seq"), NOW1)
+    batch = rows_df(spark, [("x", "p", "c", "t", 1), ("x", "p", "d", "t", 2), ("y", "q", "c", "t", 3), ("z", "p", "c", "t", 4)])
+    failed = spark.createDataFrame([("z", "timed out")], "bank string, error_message string")
+    run = run_ingest(state, batch, NOW2, failed)
+    gone = {(r.bank, r.source_id) for r in run.state.where("deactivated").collect()}
+    assert gone == {("x", "q"), ("y", "p")}  # z failed, so it isn't refreshed
+    raw = run_ingest(state, batch.where("seq <> 2"), NOW2, failed, deduplicated=True, found=batch)
+    assert {(r.bank, r.source_id) for r in raw.state.where("deactivated").collect()} == gone
+    # One join with the stored checksums and one with the refreshed sources.
+    assert plan_text(spark, run_ingest(state, batch, NOW2).state).count("Join LeftOuter") == 2
