@@ -86,3 +86,19 @@ def test_refreshed_sources_are_told_without_the_plan(spark):
     assert {(r.bank, r.source_id) for r in raw.state.where("deactivated").collect()} == gone
     # One join with the stored checksums and one with the refreshed sources.
     assert plan_text(spark, run_ingest(state, batch, NOW2).state).count("Join LeftOuter") == 2
+
+
+def test_rows_are_chosen_by_the_columns_in_use_alone(spark, tmp_path):
+    from promospark.operators.dedup import first_seen
+    from test_extract_steps import plan_text
+    path = f"{tmp_path}/rows"
+    rows_df(spark, [("x", "p", "c", "t", 2), ("x", "p", "d", "u", 1), ("x", "q", "c", "t", 3)]).write.parquet(path)
+    rows = spark.read.parquet(path)
+    stored = initial_state(first_seen(rows.where("seq > 1")), NOW1)
+    repeats = plan_upsert(stored, rows)
+    assert {(r.source_id, r.w.checksum, r.w.title) for r in repeats.where("w IS NOT NULL").collect()} == {("p", "c", "t")}
+    for chosen in (first_seen(rows).select("source_id", "checksum"), repeats.select("source_id", "w.checksum")):
+        plan = "".join(line for line in plan_text(spark, chosen).splitlines() if "Relation [" not in line)
+        assert "Window" in plan and "raw_data" not in plan and "description" not in plan
+    # Rows of a key are reduced in the map tasks, before the shuffle.
+    assert first_seen(rows)._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
