@@ -88,6 +88,36 @@ def test_refreshed_sources_are_told_without_the_plan(spark):
     assert plan_text(spark, run_ingest(state, batch, NOW2).state).count("Join LeftOuter") == 2
 
 
+def test_states_made_in_passes_are_those_of_one_pass(spark, tmp_path, monkeypatch):
+    import os
+    import shutil
+    from conftest import SF
+    from promospark.plans import ingest as I
+    from promospark.plans.catalog import REGISTRY
+    from promospark.plans.store import TableStore
+    from pyspark.sql import DataFrameWriter
+    written = []
+    parquet = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: (written.append(path), parquet(self, path, *a, **b)))
+    os.mkdir(one := f"{tmp_path}/one")
+    os.mkdir(many := f"{tmp_path}/many")
+    for t in ("lineitem", "part"):
+        for d in (one, many):
+            shutil.copy(f"{SF}/{t}.parquet", d)
+    names = ["upsert_next_state", "upsert_run_counts", "upsert_batch_repeats", "deactivated_keys", "run_audit", "run_life_cycle",
+             "dry_run_audit", "failed_source_isolation", "expiry_status", "detail_work_list", "facets"]
+    want = {n: sorted(map(str, REGISTRY[n][0](spark, one).collect())) for n in names}
+    monkeypatch.setattr(I, "PASS_BYTES", 30_000)
+    passes = I.feed_passes(spark, many)
+    assert passes > 3 and I.feed_passes(spark, one) == passes
+    for n in names:
+        assert sorted(map(str, REGISTRY[n][0](spark, many).collect())) == want[n] != [], n
+    store = TableStore(spark)
+    assert store.versions(I._promotions_table_name(spark, many))[1]["batch_id"] == "run-2"
+    state = [p for p in written if f"{store.root}/{I._promotions_table_name(spark, many)}/" in p]
+    assert [p.rsplit("/", 1)[1] for p in state] == [f"_pass={k}" for _ in (1, 2) for k in range(passes)]
+
+
 def test_rows_are_chosen_by_the_columns_in_use_alone(spark, tmp_path):
     from promospark.operators.dedup import first_seen
     from test_extract_steps import plan_text
